@@ -1,0 +1,52 @@
+"""Lexicon look-ups inside one row, for lexicons small enough to be literals.
+
+A word's valence is a chain of hash-set tests (Spark turns a long IN list into
+one), so scoring a token array needs neither an explode nor a join.
+`operators.lexicon` decides by size whether this form is used.
+"""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from collections.abc import Mapping
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def valence_of(word: Column, valences: Mapping[str, int]) -> Column:
+    """The word's valence, null if the lexicon lacks it."""
+    by_valence: dict[int, list[str]] = defaultdict(list)
+    for entry, valence in valences.items():
+        by_valence[valence].append(entry)
+    found = F.lit(None).cast("int")
+    for valence, entries in sorted(by_valence.items()):
+        found = F.when(word.isin(entries), valence).otherwise(found)
+    return found
+
+
+def only_lexicon_words(words: Column, valences: Mapping[str, int]) -> Column:
+    entries = list(valences)
+    return F.filter(words, lambda word: word.isin(entries))
+
+
+def mean_valence(words: Column, valences: Mapping[str, int], skip_zero: bool = False) -> Column:
+    """Mean valence of the lexicon words, each occurrence counted; 0 if none.
+
+    With `skip_zero`, entries of valence 0 do not count as lexicon words.
+    """
+
+    def add(seen: Column, valence: Column) -> Column:
+        counts = valence.isNotNull() & (valence != 0) if skip_zero else valence.isNotNull()
+        return F.struct(
+            (seen["total"] + F.coalesce(valence, F.lit(0))).alias("total"),
+            (seen["hits"] + F.when(counts, 1).otherwise(0)).alias("hits"),
+        )
+
+    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("hits"))
+    return F.aggregate(
+        F.transform(words, lambda word: valence_of(word, valences)),
+        start,
+        add,
+        lambda seen: F.when(seen["hits"] > 0, seen["total"].cast("double") / seen["hits"]).otherwise(0.0),
+    )
