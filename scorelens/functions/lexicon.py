@@ -33,19 +33,22 @@ def only_lexicon_words(words: Column, valences: Mapping[str, int]) -> Column:
 def mean_valence(words: Column, valences: Mapping[str, int], skip_zero: bool = False) -> Column:
     """Mean valence of the lexicon words, each occurrence counted; 0 if none.
 
-    With `skip_zero`, entries of valence 0 do not count as lexicon words.
+    With `skip_zero`, entries of valence 0 do not count as lexicon words. Most
+    tokens are no lexicon words: one set test per token drops those, and only
+    the rest are looked up by valence.
     """
+    counted = {word: valence for word, valence in valences.items() if valence or not skip_zero}
+    if not counted:
+        return F.when(words.isNotNull(), 0.0)
 
-    def add(seen: Column, valence: Column) -> Column:
-        counts = valence.isNotNull() & (valence != 0) if skip_zero else valence.isNotNull()
+    def add(seen: Column, word: Column) -> Column:
         return F.struct(
-            (seen["total"] + F.coalesce(valence, F.lit(0))).alias("total"),
-            (seen["hits"] + F.when(counts, 1).otherwise(0)).alias("hits"),
+            (seen["total"] + valence_of(word, counted)).alias("total"), (seen["hits"] + 1).alias("hits")
         )
 
     start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("hits"))
     return F.aggregate(
-        F.transform(words, lambda word: valence_of(word, valences)),
+        only_lexicon_words(words, counted),
         start,
         add,
         lambda seen: F.when(seen["hits"] > 0, seen["total"].cast("double") / seen["hits"]).otherwise(0.0),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelens.session import settle
+
 # A term with more than one in HOT_SHARE of all uses is joined by broadcast.
 # By that definition fewer than HOT_SHARE terms can be hot.
 HOT_SHARE = 1000
@@ -70,7 +72,8 @@ def idf_weights(df: DataFrame, words: str = "words") -> DataFrame:
 def join_on_term(terms: DataFrame, table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Inner join of many term rows with one row per term.
 
-    `table` has a `uses` column. Its few hot terms are broadcast, which keeps
+    `table` has a `uses` column and should be a settled one, as it is read
+    several times. Its few hot terms are broadcast, which keeps
     most term rows where they are; only the rest are shuffled by term, and
     among those no term is frequent.
     """
@@ -86,13 +89,18 @@ def join_on_term(terms: DataFrame, table: DataFrame, by: Sequence[str] = ()) ->
 
 
 def term_frequencies(df: DataFrame, words: str = "words", key: str = "id") -> DataFrame:
-    """Bag of words in long form: (key, term, tf)."""
-    return df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """Bag of words in long form: (key, term, tf).
+
+    The null test changes nothing, as tokens are never null. An inner join on
+    the term would add it; with it in place already, both branches of
+    `join_on_term` have the same plan here and share its shuffle.
+    """
+    terms = df.select(key, F.explode(words).alias("term")).where(F.col("term").isNotNull())
+    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf_terms(df: DataFrame, words: str = "words", key: str = "id") -> DataFrame:
     """(key, term, tf, tfidf) with the whole vocabulary, nothing held on the driver."""
-    weighted = join_on_term(
-        term_frequencies(df, words, key), idf_weights(df, words).select("term", "uses", "idf")
-    )
+    weights = settle(idf_weights(df, words).select("term", "uses", "idf"), "idf")
+    weighted = join_on_term(term_frequencies(df, words, key), weights)
     return weighted.select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,7 +119,7 @@ def fit_arm(data: Prepared, mode: str, options: Options) -> Arm:
             model,
         )
     if mode == "reg":
-        path = models.regularisation_path(train, test, options.regs)
+        path = models.regularisation_path(data.featured, options.regs)
         rows = [(reg, "train_rmse", fit) for reg, fit, _ in path]
         return Arm(rows + [(reg, "test_rmse", error) for reg, _, error in path], None)
     if mode == "ridge":
@@ -184,8 +185,6 @@ def run_per_community(comments: DataFrame, communities: Sequence[str], **changes
 
 def bayes_rows(comments: DataFrame, by: Sequence[str] = (), remove_stop_words: bool = True) -> DataFrame:
     """Rows for closed-form naive Bayes: id, by, part, binary label, words."""
-    from pyspark.ml.feature import StopWordsRemover
-
     scored = with_binary_label(with_score(keep_real_comments(comments)), by=by, output="label")
     tokens = CommentTokenizer().transform(hash_split(scored))
     if remove_stop_words:
@@ -198,5 +197,4 @@ def bayes_per_community(comments: DataFrame) -> DataFrame:
     """Naive Bayes test accuracy of every community, from one fit over all of them."""
     by = ["subreddit"]
     rows = settle(bayes_rows(comments, by), "bayes-rows")
-    likelihoods = bayes.log_likelihoods(bayes.term_counts(rows, by=by), by=by)
-    return accuracy(bayes.predict(rows, likelihoods, by=by), "label", by)
+    return accuracy(bayes.predict(rows, bayes.fit(rows, by=by), by=by), "label", by)

@@ -6,7 +6,9 @@ computed by Spark over the whole frame.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, OneVsRest, OneVsRestModel
@@ -14,9 +16,11 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from scorelens.functions.scores import squared_error
 from scorelens.operators.evaluate import accuracy, regression_errors
-from scorelens.operators.splits import RANDOM_SEED, TUNING_PERCENT
+from scorelens.operators.splits import RANDOM_SEED, TEST, TRAIN, TUNING_PERCENT, train_part
 
 SCORE, BUCKET = "score_double", "score_bucket"
 
@@ -82,14 +86,27 @@ def fit_ridge(train: DataFrame, regs: Sequence[float] = REG_GRID) -> Tuned:
 
 
 def regularisation_path(
-    train: DataFrame, test: DataFrame, regs: Sequence[float] = REG_GRID
+    parts: DataFrame, regs: Sequence[float] = REG_GRID
 ) -> list[tuple[float, float, float]]:
-    """(reg_param, train_rmse, test_rmse) of one fit per penalty."""
-    rows = []
-    for reg in regs:
-        model = fit_linear(train, reg)
-        rows.append((float(reg), training_rmse(model), rmse(model, test)))
-    return rows
+    """(reg_param, train_rmse, test_rmse) of one fit per penalty.
+
+    `parts` has a `part` column. Fits run side by side, and one pass over all
+    rows measures every model on both parts.
+    """
+    train = train_part(parts)
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        fitted = list(pool.map(lambda reg: fit_linear(train, reg), regs))
+    scored = parts.select("part", SCORE, "features")
+    for i, model in enumerate(fitted):
+        scored = model.setPredictionCol(f"p{i}").transform(scored)
+    errors = scored.groupBy("part").agg(
+        F.array(*[F.sqrt(F.avg(squared_error(F.col(SCORE), F.col(f"p{i}")))) for i in range(len(fitted))])
+    )
+    by_part = {part: values for part, values in errors.collect()}
+    nothing = [math.nan] * len(fitted)
+    return list(
+        zip(map(float, regs), by_part.get(TRAIN, nothing), by_part.get(TEST, nothing), strict=True)
+    )
 
 
 def fit_forest(train: DataFrame, seed: int = RANDOM_SEED):

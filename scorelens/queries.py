@@ -333,7 +333,7 @@ def random_split(spark, sf):
 
 def _bayes(spark, sf):
     rows = settle(bayes_rows(comments(spark, sf)), "bayes-rows")
-    return rows, bayes.log_likelihoods(bayes.term_counts(rows))
+    return rows, bayes.fit(rows)
 
 
 def nb_priors(spark, sf):
@@ -362,7 +362,7 @@ def nb_bucket_accuracy(spark, sf):
     buckets = with_log_bucket(_scored(spark, sf), "label").select("id", "label")
     rows = settle(rows.join(buckets, "id"), "bayes-buckets")
     classes = bayes.classes_of(rows)
-    likelihoods = bayes.log_likelihoods(bayes.term_counts(rows, classes), classes)
+    likelihoods = bayes.fit(rows, classes)
     return evaluate.accuracy(bayes.predict(rows, likelihoods, classes), "label")
 
 
@@ -419,8 +419,7 @@ def linear_weights(spark, sf):
 
 
 def reg_path_one_feature(spark, sf):
-    train, test = _parts(_linear_frame(spark, sf, LINEAR_FEATURES[:1]))
-    path = models.regularisation_path(train, test)
+    path = models.regularisation_path(_linear_frame(spark, sf, LINEAR_FEATURES[:1]))
     curve = spark.createDataFrame(path, "reg_param double, train_rmse double, test_rmse double")
     written = fresh_path(spark, "curve")
     writers.write_curve(curve, written)

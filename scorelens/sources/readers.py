@@ -16,6 +16,16 @@ COMMENT_COLUMNS = (
 COMMENT_SCHEMA = StructType([StructField(name, StringType()) for name in COMMENT_COLUMNS])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a table that is too small for the cluster's cores to all of them.
+
+    A file of one row group is read by one task, which then does all the text
+    work. A table of more splits than that is left as it is read: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def read_json_comments(spark: SparkSession, path: str, schema=COMMENT_SCHEMA) -> DataFrame:
     """JSON lines from any file system Spark knows; no pass to infer a schema."""
     return spark.read.schema(schema).json(path)

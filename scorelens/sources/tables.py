@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelens.sources.readers import spread
+
 # A lexicon for the invented prose: words that occur in it, valences ours.
 SMALL_LEXICON = {
     "die": -3, "ha": 2, "no": -1, "anti": -1, "haha": 3, "idiot": -3, "worthless": -2, "moron": -3,
@@ -31,7 +33,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     The join is left to Spark: it broadcasts a side only when that side's size
     allows it.
     """
-    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    documents = spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     events = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     seconds = _epoch_seconds(F.col("ts"), dict(events.dtypes)["ts"])
