@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelens.session import settle
+
 CELLS = 4096
 SMALL_CELL = 100_000
 CHUNK = 1024
@@ -59,13 +61,16 @@ def upper_quartile(df: DataFrame, score: str = "score_double", by: Sequence[str]
     scores are counted before the shuffle, so a group that holds a third of
     all rows arrives as its distinct scores. These are cut into chunks of 1024
     points: the chunk that holds the rank is found from chunk totals, and only
-    that chunk is then looked at score by score.
+    that chunk is then looked at score by score. The counts are written out,
+    so the table itself is read once.
     """
     by = list(by)
-    counts = (
-        df.where(F.col(score).isNotNull())
-        .groupBy(*by, F.col(score).alias("value"), F.floor(F.col(score) / CHUNK).alias("chunk"))
-        .agg(F.count("*").alias("n"))
+    value = F.col(score)
+    counts = settle(
+        df.where(value.isNotNull())
+        .groupBy(*by, value.alias("value"), F.floor(value / CHUNK).alias("chunk"))
+        .agg(F.count("*").alias("n")),
+        "score-counts",
     )
     up_to_here = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
@@ -96,4 +101,5 @@ def upper_quartile(df: DataFrame, score: str = "score_double", by: Sequence[str]
             F.max("max_score").alias("max_score"),
             F.min("value").alias("threshold"),
         )
+        .where(F.col("threshold").isNotNull())
     )

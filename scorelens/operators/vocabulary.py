@@ -89,18 +89,17 @@ def join_on_term(terms: DataFrame, table: DataFrame, by: Sequence[str] = ()) ->
 
 
 def term_frequencies(df: DataFrame, words: str = "words", key: str = "id") -> DataFrame:
-    """Bag of words in long form: (key, term, tf).
-
-    The null test changes nothing, as tokens are never null. An inner join on
-    the term would add it; with it in place already, both branches of
-    `join_on_term` have the same plan here and share its shuffle.
-    """
-    terms = df.select(key, F.explode(words).alias("term")).where(F.col("term").isNotNull())
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """Bag of words in long form: (key, term, tf)."""
+    return df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf_terms(df: DataFrame, words: str = "words", key: str = "id") -> DataFrame:
-    """(key, term, tf, tfidf) with the whole vocabulary, nothing held on the driver."""
+    """(key, term, tf, tfidf) with the whole vocabulary, nothing held on the driver.
+
+    Tokens meet their weights before they are counted: hot terms do so in
+    place, and only the others are shuffled twice.
+    """
     weights = settle(idf_weights(df, words).select("term", "uses", "idf"), "idf")
-    weighted = join_on_term(term_frequencies(df, words, key), weights)
-    return weighted.select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
+    weighted = join_on_term(df.select(key, F.explode(words).alias("term")), weights)
+    tf = F.count("*")
+    return weighted.groupBy(key, "term").agg(tf.alias("tf"), (tf * F.max("idf")).alias("tfidf"))
