@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scorelens.functions import scores
 from scorelens.operators.quantile import upper_quartile
+from scorelens.session import settle
 
 
 def with_score(comments: DataFrame) -> DataFrame:
@@ -20,9 +21,13 @@ def with_score(comments: DataFrame) -> DataFrame:
 def with_binary_label(
     scored: DataFrame, by: Sequence[str] = (), output: str = "score_bucket"
 ) -> DataFrame:
-    """1.0 above the upper quartile (of the row's group), else 0.0."""
+    """1.0 above the upper quartile (of the row's group), else 0.0.
+
+    Thresholds of groups, one row each, are settled first: Spark then knows
+    their size when it plans the join and moves no comment if they are few.
+    """
     if by:
-        limits = upper_quartile(scored, by=by).select(*by, "threshold")
+        limits = settle(upper_quartile(scored, by=by).select(*by, "threshold"), "thresholds")
         labelled = scored.join(limits, list(by))
     else:
         limit = upper_quartile(scored).select("threshold").scalar()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,16 +25,18 @@ def _cell(key: Column, low, high) -> Column:
     return F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).cast("int")
 
 
-def value_at_rank(df: DataFrame, key: str, rank: int):
-    """The rank-th smallest non-null key (from 1); None if there are fewer.
+def value_at_rank(df: DataFrame, key: str, rank: int | Callable[[int], int]):
+    """The rank-th smallest non-null key (from 1); None if there is no such rank.
 
-    Counts the keys in a few thousand equal cells, then looks only into the
-    cell that holds the rank, until that cell is small. Each pass is a
-    map-side aggregate over the key column alone; the driver sees cell counts.
+    `rank` may be a function of the number of keys. The table is read once, to
+    write out its key column. Over that, each pass counts the keys in a few
+    thousand equal cells and then looks only into the cell that holds the
+    rank, until it is small; the driver sees cell counts, no task sees many keys.
     """
     column = F.col(key)
-    keys = df.select(key).where(column.isNotNull())
+    keys = settle(df.select(key).where(column.isNotNull()), "keys")
     count, low, high = keys.agg(F.count("*"), F.min(key), F.max(key)).first()
+    rank = rank(count) if callable(rank) else rank
     if not 1 <= rank <= count:
         return None
     while low < high:

@@ -44,7 +44,7 @@ def random_split(df: DataFrame, percent: int = TRAIN_PERCENT, seed: int = RANDOM
 
 def ordered_split(df: DataFrame, percent: int = ORDERED_PERCENT, key: str = "id") -> DataFrame:
     """The first floor(percent * n / 100) rows in key order train, the rest test."""
-    last = value_at_rank(df, key, df.count() * percent // 100)
+    last = value_at_rank(df, key, lambda rows: rows * percent // 100)
     in_train = F.lit(False) if last is None else F.col(key) <= F.lit(last)
     return df.withColumn("part", _parts(in_train))
 

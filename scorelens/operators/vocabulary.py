@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelens.operators.quantile import value_at_rank
 from scorelens.session import settle
 
 # A term with more than one in HOT_SHARE of all uses is joined by broadcast.
@@ -24,17 +25,27 @@ def term_uses(df: DataFrame, words: str = "words", by: Sequence[str] = ()) -> Da
 def top_terms(uses: DataFrame, size: int, by: Sequence[str] = ()) -> DataFrame:
     """The `size` most used terms (of each group), ties in term order.
 
+    `uses` should be settled, as it is read several times. The use count of
+    the last term kept is found first: terms above it are a plain filter, and
+    only those that share it are sorted. A sort-and-limit of all terms would
+    take `size` terms of every partition through one task.
+
     Within groups the ranking runs twice, first inside hashed slices of the
     group's terms, so no task sees more than `size` terms of every slice.
     """
     order = [F.desc("uses"), F.col("term")]
-    if not by:
-        return uses.orderBy(*order).limit(size)
-    slice_of_term = F.pmod(F.hash("term"), F.lit(SALTS))
-    for keys in ([*by, slice_of_term], list(by)):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        uses = uses.withColumn("place", place).where(F.col("place") <= size).drop("place")
-    return uses
+    if by:
+        slice_of_term = F.pmod(F.hash("term"), F.lit(SALTS))
+        for keys in ([*by, slice_of_term], list(by)):
+            place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+            uses = uses.withColumn("place", place).where(F.col("place") <= size).drop("place")
+        return uses
+    last = value_at_rank(uses, "uses", lambda terms: terms - size + 1)
+    if last is None:
+        return uses
+    above = uses.where(F.col("uses") > last)
+    ties = uses.where(F.col("uses") == last).orderBy("term").limit(size - above.count())
+    return above.unionByName(ties)
 
 
 def document_frequency(df: DataFrame, words: str = "words") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from scorelens.functions import lexicon, scores, text
 from scorelens.operators.quantile import upper_quartile
 from scorelens.operators.vocabulary import term_uses, top_terms
+from scorelens.session import settle
 
 HOURS = 24
 
@@ -70,6 +71,9 @@ class LexiconFilter(
 class CommentFeatures(Transformer, _HasValences, DefaultParamsReadable, DefaultParamsWritable):
     """Score, lengths, links, punctuation, hour and sentiment of each comment.
 
+    A `sentiment` column that is there already is kept: that of a lexicon too
+    large to be part of a stage, joined by `operators.lexicon.with_sentiment`.
+
     The hour is marked as nominal with 24 values, so that one-hot encoding has
     the same width whatever hours the data holds.
     """
@@ -87,6 +91,7 @@ class CommentFeatures(Transformer, _HasValences, DefaultParamsReadable, DefaultP
 
 def with_comment_features(df: DataFrame, valences) -> DataFrame:
     body, words = F.col("body"), F.col("words")
+    sentiment = F.col("sentiment") if "sentiment" in df.columns else lexicon.mean_valence(words, valences)
     return df.withColumns(
         {
             "score_double": scores.score_double(F.col("score")),
@@ -95,7 +100,7 @@ def with_comment_features(df: DataFrame, valences) -> DataFrame:
             "avg_word_length": text.mean_or_zero(text.chars_count(words), text.words_count(words)),
             "link_count": text.link_count(body),
             "hour": text.hour_of_day(F.col("created_utc")),
-            "sentiment": lexicon.mean_valence(words, valences),
+            "sentiment": sentiment,
             "question_mark": text.char_count(body, "?"),
             "excl_mark": text.char_count(body, "!"),
         }
@@ -122,8 +127,9 @@ class VocabularyCounter(
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
-        best = top_terms(term_uses(dataset, self.getInputCol()), self.getOrDefault(self.vocabSize))
-        terms = [row["term"] for row in best.select("term").collect()]
+        uses = settle(term_uses(dataset, self.getInputCol()), "term-uses")
+        best = top_terms(uses, self.getOrDefault(self.vocabSize)).select("term", "uses").collect()
+        terms = [row["term"] for row in sorted(best, key=lambda row: (-row["uses"], row["term"]))]
         return CountVectorizerModel.from_vocabulary(
             terms, inputCol=self.getInputCol(), outputCol=self.getOutputCol()
         )

@@ -208,7 +208,8 @@ def regex_bag(spark, sf):
 
 
 def vocabulary_topk(spark, sf):
-    return vocabulary.top_terms(vocabulary.term_uses(_content_words(spark, sf)), VOCABULARY)
+    uses = settle(vocabulary.term_uses(_content_words(spark, sf)), "term-uses")
+    return vocabulary.top_terms(uses, VOCABULARY)
 
 
 def term_doc_freq(spark, sf):
