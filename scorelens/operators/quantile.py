@@ -29,12 +29,20 @@ def value_at_rank(df: DataFrame, key: str, rank: int | Callable[[int], int]):
     """The rank-th smallest non-null key (from 1); None if there is no such rank.
 
     `rank` may be a function of the number of keys. The table is read once, to
-    write out its key column. Over that, each pass counts the keys in a few
-    thousand equal cells and then looks only into the cell that holds the
-    rank, until it is small; the driver sees cell counts, no task sees many keys.
+    write out its key column.
+    """
+    return value_at_rank_of_settled(settle(df.select(key), "keys"), key, rank)
+
+
+def value_at_rank_of_settled(df: DataFrame, key: str, rank: int | Callable[[int], int]):
+    """The same over a frame that is cheap to read again.
+
+    Each pass counts the keys in a few thousand equal cells and then looks only
+    into the cell that holds the rank, until it is small; the driver sees cell
+    counts, and no task sees many keys.
     """
     column = F.col(key)
-    keys = settle(df.select(key).where(column.isNotNull()), "keys")
+    keys = df.select(key).where(column.isNotNull())
     count, low, high = keys.agg(F.count("*"), F.min(key), F.max(key)).first()
     rank = rank(count) if callable(rank) else rank
     if not 1 <= rank <= count:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelens.operators.quantile import value_at_rank
+from scorelens.operators.quantile import value_at_rank_of_settled
 from scorelens.session import settle
 
 # A term with more than one in HOT_SHARE of all uses is joined by broadcast.
@@ -40,7 +40,7 @@ def top_terms(uses: DataFrame, size: int, by: Sequence[str] = ()) -> DataFrame:
             place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
             uses = uses.withColumn("place", place).where(F.col("place") <= size).drop("place")
         return uses
-    last = value_at_rank(uses, "uses", lambda terms: terms - size + 1)
+    last = value_at_rank_of_settled(uses, "uses", lambda terms: terms - size + 1)
     if last is None:
         return uses
     above = uses.where(F.col("uses") > last)

@@ -7,7 +7,7 @@ Spark's own `StopWordsRemover`, `HashingTF`, `IDF`, `OneHotEncoder`, `PCA` and
 
 from __future__ import annotations
 
-from pyspark import keyword_only
+from pyspark import SparkContext, keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -107,6 +107,21 @@ def with_comment_features(df: DataFrame, valences) -> DataFrame:
     )
 
 
+def _count_model(terms: list[str], input_column: str, output_column: str) -> CountVectorizerModel:
+    """`CountVectorizerModel.from_vocabulary`, the terms handed to the JVM as one text.
+
+    Term by term, a vocabulary of 2^18 takes about a minute to hand over.
+    """
+    jvm = SparkContext._active_spark_context._jvm
+    array = jvm.org.apache.commons.lang3.StringUtils.splitPreserveAllTokens("\n".join(terms), "\n")
+    if len(array) != len(terms):
+        return CountVectorizerModel.from_vocabulary(terms, inputCol=input_column, outputCol=output_column)
+    model = CountVectorizerModel._create_from_java_class(
+        "org.apache.spark.ml.feature.CountVectorizerModel", array
+    )
+    return model._set(inputCol=input_column, outputCol=output_column, vocabSize=len(terms))
+
+
 class VocabularyCounter(
     Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
 ):
@@ -130,9 +145,7 @@ class VocabularyCounter(
         uses = settle(term_uses(dataset, self.getInputCol()), "term-uses")
         best = top_terms(uses, self.getOrDefault(self.vocabSize)).select("term", "uses").collect()
         terms = [row["term"] for row in sorted(best, key=lambda row: (-row["uses"], row["term"]))]
-        return CountVectorizerModel.from_vocabulary(
-            terms, inputCol=self.getInputCol(), outputCol=self.getOutputCol()
-        )
+        return _count_model(terms, self.getInputCol(), self.getOutputCol())
 
 
 class _LabelParams(HasInputCol, HasOutputCol):
