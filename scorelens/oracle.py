@@ -328,9 +328,11 @@ QUERIES = {
     "community_comments": "SELECT id, score FROM kept WHERE subreddit = 'src3'",
     "row_cap": f"SELECT id, score FROM kept ORDER BY id LIMIT {ROW_CAP}",
     "subreddit_counts": "SELECT subreddit, count(*) AS comments FROM kept GROUP BY subreddit",
-    "stage_counts": """
-        SELECT (SELECT count(*) FROM comments) AS loaded, count(*) AS filtered,
-               count(*) FILTER (part = 'train') AS train, count(*) FILTER (part = 'test') AS test FROM parts""",
+    "stage_counts": f"""
+        SELECT (SELECT count(*) FROM comments) AS loaded, (SELECT count(*) FROM kept) AS filtered,
+               count(*) AS limited, count(*) FILTER (part = 'train') AS train,
+               count(*) FILTER (part = 'test') AS test
+        FROM (SELECT * FROM parts ORDER BY id LIMIT {ROW_CAP})""",
     "score_cast": "SELECT id, try_cast(score AS double) AS score_double FROM kept",
     "top_scores": f"""
         SELECT id, subreddit, score_double FROM scored ORDER BY score_double DESC, id LIMIT {TOP_SCORES}""",
@@ -376,6 +378,14 @@ QUERIES = {
         f"WHERE id IN (SELECT id FROM {SENTIMENT_ROWS})",
     ),
     "features_tfidf": _slots("SELECT * FROM hashed_tfidf", _metadata_slots(str(HASH_BUCKETS))),
+    "features_record": _slots(
+        *[
+            f"SELECT b.id, {slot} AS slot, {name}::double AS value FROM body_stats b"
+            for slot, name in enumerate(("body_chars", "link_count", "space_words", "space_word_length"))
+        ],
+        "SELECT id, 4 AS slot, sentiment AS value FROM run_sentiments",
+        f"SELECT id, slot + 5 AS slot, value FROM ({_bag('run_rows', BAG)})",
+    ),
     "features_words": _slots(_bag("content_rows", 2**18)),
     "quartile_threshold": """
         SELECT count(*) AS "rows", max(score_double) AS max_score, (SELECT threshold FROM threshold) AS threshold

@@ -19,7 +19,7 @@ from scorelens.operators.counts import majority_baseline
 from scorelens.operators.evaluate import accuracy
 from scorelens.operators.filters import first_rows, keep_real_comments, one_community
 from scorelens.operators.labels import with_binary_label, with_score
-from scorelens.operators.splits import TRAIN, hash_split, test_part, train_part
+from scorelens.operators.splits import TRAIN, hash_split, ordered_split, test_part, train_part
 from scorelens.plans import models
 from scorelens.plans.features import DEFAULT_BUCKETS, PCA_VOCABULARY, FittedFeatures, feature_plan
 from scorelens.plans.stages import CommentTokenizer
@@ -38,6 +38,7 @@ class Options:
     mode: linear, ridge, reg, forest, sgd, logistic, bayes or binary.
     fit_on: `all` fits vocabulary, IDF and threshold on all rows; `train` keeps
     the test rows out of them.
+    split: `hash` trains on 70 % of the ids, `ordered` on the first 60 % of rows.
     """
 
     plan: str = "bag"
@@ -50,6 +51,7 @@ class Options:
     pca_vocabulary: int = PCA_VOCABULARY
     regs: Sequence[float] = models.REG_GRID
     fit_on: str = "all"
+    split: str = "hash"
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,8 @@ class Prepared:
 
 
 def prepare(comments: DataFrame, kind: str, binary: bool, options: Options) -> Prepared:
-    rows = hash_split(with_score(first_rows(keep_real_comments(comments), options.limit)))
+    scored = with_score(first_rows(keep_real_comments(comments), options.limit))
+    rows = ordered_split(scored) if options.split == "ordered" else hash_split(scored)
     plan = feature_plan(
         kind,
         buckets=options.buckets,

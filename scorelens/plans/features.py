@@ -23,6 +23,7 @@ from scorelens.plans.stages import (
     CommentFeatures,
     CommentTokenizer,
     LexiconFilter,
+    RecordFeatures,
     ScoreLabeler,
     ScoreLabelerModel,
     VocabularyCounter,
@@ -39,7 +40,8 @@ PCA_VOCABULARY = 4_000
 
 METADATA = ["chars_count", "avg_word_length", "link_count", "words_count", "hour_encoded", "sentiment"]
 PUNCTUATION = ["question_mark", "excl_mark"]
-PLANS = ("bag", "sentiment", "metadata", "tfidf", "pca", "words")
+RECORD = ["body_chars", "link_count", "space_words", "space_word_length", "sentiment"]
+PLANS = ("bag", "sentiment", "metadata", "tfidf", "pca", "words", "record")
 
 
 def feature_plan(
@@ -59,6 +61,7 @@ def feature_plan(
     tfidf: `buckets` hashed counts weighted by IDF, stop words kept, metadata.
     pca: `buckets` principal components of a bag of `pca_vocabulary` terms, metadata.
     words: counts of the top 2^18 terms and nothing else.
+    record: raw-body lengths, links, sentiment, counts of the top `buckets` word runs.
     """
     valences = dict(valences or {})
     stop = StopWordsRemover(inputCol="words", outputCol="filtered")
@@ -68,6 +71,15 @@ def feature_plan(
     def bag(size: int) -> VocabularyCounter:
         return VocabularyCounter(inputCol="filtered", outputCol="words_features", vocabSize=size)
 
+    if kind == "record":
+        return Pipeline(
+            stages=[
+                RecordFeatures(valences=valences),
+                VocabularyCounter(inputCol="words", outputCol="words_features", vocabSize=buckets),
+                ScoreLabeler(binary=binary),
+                VectorAssembler(inputCols=[*RECORD, "words_features"], outputCol="features"),
+            ]
+        )
     every = METADATA + PUNCTUATION
     vectorise, inputs = {
         "bag": ([stop, bag(buckets)], ["words_features", *every]),
@@ -140,19 +152,16 @@ class FittedFeatures:
         return self.model.stages[-1].getInputCols()
 
     def names(self, width: int) -> list[str]:
-        """A name for each of the `width` feature slots."""
-        tail = []
-        for column in self.input_columns:
-            if column == "hour_encoded":
-                tail += [f"hour={hour}" for hour in range(HOURS - 1)]
-            elif not column.startswith("words_") or column == "words_count":
-                tail.append(column)
-        words = self.vocabulary
-        if words:
-            head = [f"word {term}" for term in words]
-        else:
-            head = [f"Feature {slot}" for slot in range(width - len(tail))]
-        return head + tail
+        """A name for each of the `width` feature slots, in slot order."""
+        blocks = {column: [column] for column in self.input_columns}
+        if "hour_encoded" in blocks:
+            blocks["hour_encoded"] = [f"hour={hour}" for hour in range(HOURS - 1)]
+        for column in ("words_features", "words_reduced"):
+            if column in blocks:
+                unnamed = width - sum(len(names) for other, names in blocks.items() if other != column)
+                terms = [f"word {term}" for term in self.vocabulary]
+                blocks[column] = terms or [f"Feature {slot}" for slot in range(unnamed)]
+        return [name for names in blocks.values() for name in names]
 
 
 def fit_features(comments: DataFrame, plan: Pipeline) -> FittedFeatures:

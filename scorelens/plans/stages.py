@@ -107,6 +107,38 @@ def with_comment_features(df: DataFrame, valences) -> DataFrame:
     )
 
 
+class RecordFeatures(Transformer, _HasValences, DefaultParamsReadable, DefaultParamsWritable):
+    """The single-record variant: lengths of the raw body, and sentiment over word runs.
+
+    Words are split on single spaces here, and lexicon words of valence 0 do
+    not count in the mean.
+    """
+
+    @keyword_only
+    def __init__(self, *, valences=None):
+        super().__init__()
+        self._setDefault(valences={})
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return with_record_features(dataset, self.getOrDefault(self.valences))
+
+
+def with_record_features(df: DataFrame, valences) -> DataFrame:
+    body = F.col("body")
+    df = df.withColumn("words", text.word_runs(body))
+    return df.withColumns(
+        {
+            "score_double": scores.score_double(F.col("score")),
+            "body_chars": F.length(body),
+            "link_count": text.link_count(body),
+            "space_words": text.space_words_count(body),
+            "space_word_length": text.space_word_length(body),
+            "sentiment": lexicon.mean_valence(F.col("words"), valences, skip_zero=True),
+        }
+    )
+
+
 def _count_model(terms: list[str], input_column: str, output_column: str) -> CountVectorizerModel:
     """`CountVectorizerModel.from_vocabulary`, the terms handed to the JVM as one text.
 

@@ -16,9 +16,20 @@ from scorelens.operators import bayes, counts, evaluate, explain, lexicon, quant
 from scorelens.operators.filters import first_rows, keep_real_comments, one_community
 from scorelens.operators.labels import with_binary_label, with_log_bucket, with_score
 from scorelens.plans import models
-from scorelens.plans.experiments import bayes_per_community, bayes_rows, run_experiment, run_per_community
+from scorelens.plans.experiments import (
+    bayes_per_community,
+    bayes_rows,
+    explain_experiment,
+    run_experiment,
+    run_per_community,
+)
 from scorelens.plans.features import feature_plan, fit_features
-from scorelens.plans.stages import CommentTokenizer, VocabularyCounter, with_comment_features
+from scorelens.plans.stages import (
+    CommentTokenizer,
+    VocabularyCounter,
+    with_comment_features,
+    with_record_features,
+)
 from scorelens.session import fresh_path, settle
 from scorelens.sources import readers, writers
 from scorelens.sources.tables import SMALL_LEXICON, comments
@@ -122,7 +133,7 @@ def subreddit_counts(spark, sf):
 
 
 def stage_counts(spark, sf):
-    return counts.stage_counts(comments(spark, sf))
+    return counts.stage_counts(comments(spark, sf), ROW_CAP)
 
 
 def score_cast(spark, sf):
@@ -171,32 +182,24 @@ def sentiment_by_join(spark, sf):
     return lexicon.with_sentiment(_words(spark, sf), _lexicon(spark), limit=0).select("id", "sentiment")
 
 
-def _run_sentiment(spark, sf) -> DataFrame:
-    runs = _real(spark, sf).withColumn("words", text.word_runs(F.col("body")))
-    return lexicon.with_sentiment(runs, _lexicon(spark), skip_zero=True)
-
-
 def run_sentiment(spark, sf):
-    return _run_sentiment(spark, sf).select("id", "sentiment")
+    runs = _real(spark, sf).withColumn("words", text.word_runs(F.col("body")))
+    return lexicon.with_sentiment(runs, _lexicon(spark), skip_zero=True).select("id", "sentiment")
 
 
-def _body_stats() -> list:
+def raw_text_stats(spark, sf):
     body = F.col("body")
-    return [
+    return _real(spark, sf).select(
+        "id",
         F.length(body).alias("body_chars"),
         text.link_count(body).alias("link_count"),
         text.space_words_count(body).alias("space_words"),
         text.space_word_length(body).alias("space_word_length"),
-    ]
-
-
-def raw_text_stats(spark, sf):
-    return _real(spark, sf).select("id", *_body_stats())
+    )
 
 
 def record_features(spark, sf):
-    score = scores.score_double(F.col("score")).alias("score_double")
-    return _run_sentiment(spark, sf).select("id", *_body_stats(), "sentiment", score)
+    return with_record_features(_real(spark, sf), SMALL_LEXICON).drop(*COMMENT[1:], "words")
 
 
 # Vectorisers and feature plans
@@ -462,6 +465,12 @@ def experiment_per_community(spark, sf):
     )
 
 
+def logistic_weights(spark, sf):
+    """Highest and lowest weights of every bucket's fit."""
+    view = comments(spark, sf)
+    return explain_experiment(view, plan="metadata", mode="logistic", reg_param=0.125, valences=SMALL_LEXICON)
+
+
 def logistic_tuned(spark, sf):
     rows = splits.hash_split(_scored(spark, sf))
     plan = feature_plan("metadata", valences=SMALL_LEXICON, binary=True)
@@ -532,6 +541,7 @@ ALL = {
         prediction_sample,
         last_predictions,
         experiment_per_community,
+        logistic_weights,
         logistic_tuned,
     )
 } | {
@@ -541,6 +551,8 @@ ALL = {
     "features_metadata": _plan_slots("metadata"),
     "features_tfidf": _plan_slots("tfidf", buckets=HASH_BUCKETS),
     "features_words": _plan_slots("words"),
+    "features_record": _plan_slots("record"),
+    "linear_record": _experiment(plan="record", mode="linear", buckets=BAG, split="ordered"),
     "linear_bag": _experiment(plan="bag", mode="linear", buckets=BAG, reg_param=8.0),
     "ridge_bag": _experiment(plan="bag", mode="ridge", buckets=BAG),
     "reg_path_bag": _experiment(plan="bag", mode="reg", buckets=BAG),
@@ -548,6 +560,6 @@ ALL = {
     "sgd_metadata": _experiment(plan="metadata", mode="sgd"),
     "linear_pca": _experiment(plan="pca", mode="linear", buckets=10, pca_vocabulary=BAG),
     "experiment_all": _experiment(plan="all", mode="linear", buckets=BAG),
-    "experiment_bin_class": _experiment(plan="bin_class"),
-    "experiment_multi_class": _experiment(plan="multi_class", buckets=BAG, reg_param=0.125),
+    "experiment_bin_class": _experiment(plan="bin_class", reg_param=0.125),
+    "experiment_multi_class": _experiment(plan="multi_class", buckets=BAG, reg_param=1.0),
 }

@@ -32,6 +32,7 @@ def test_placeholders(spark):
     assert sorted(kept) == [1, 7]
     stages = counts.stage_counts(df).first()
     assert (stages["loaded"], stages["filtered"], stages["train"] + stages["test"]) == (7, 2, 2)
+    assert counts.stage_counts(df, limit=1).first()["limited"] == 1
 
 
 def rank_by_hand(values):

@@ -33,11 +33,13 @@ def test_plan_width_and_names(real, kind):
     words = {"bag": 20, "sentiment": len(fitted.vocabulary), "metadata": 0, "tfidf": 20, "pca": 20}
     if kind == "words":
         assert width == len(fitted.vocabulary)
+    elif kind == "record":
+        assert width == 20 + 5
     else:
         assert width == words[kind] + METADATA_WIDTH - (2 if kind == "sentiment" else 0)
     names = fitted.names(width)
     assert len(names) == width == len(set(names))
-    assert bool(fitted.vocabulary) == (kind in ("bag", "sentiment", "words"))
+    assert bool(fitted.vocabulary) == (kind in ("bag", "sentiment", "words", "record"))
 
 
 def test_feature_files_carry_no_slot_metadata(real):
@@ -210,6 +212,14 @@ def test_fit_on_train_keeps_test_words_out(spark, sf):
     assert set(careful.fitted.vocabulary) < set(everything.fitted.vocabulary)
 
 
+def test_ordered_split_of_an_experiment(spark, sf):
+    options = Options(split="ordered", buckets=20, valences=SMALL_LEXICON)
+    data = prepare(comments(spark, sf), "record", False, options)
+    last, first = data.train.agg(F.max("id")).first()[0], data.test.agg(F.min("id")).first()[0]
+    assert last < first
+    assert data.train.count() == data.featured.count() * 60 // 100
+
+
 def test_limit(spark, sf):
     data = prepare(comments(spark, sf), "metadata", False, Options(limit=50, valences=SMALL_LEXICON))
     assert data.featured.count() == 50
