@@ -6,16 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions import scores
-from scorelens.operators.filters import GONE_AUTHOR, GONE_BODIES, keep_real_comments
-from scorelens.operators.quantile import value_at_rank
+from scorelens.operators.filters import GONE_AUTHOR, GONE_BODIES, cap_test, keep_real_comments
 from scorelens.operators.splits import hash_percent
 
 
 def stage_counts(comments: DataFrame, limit: int = -1, train_percent: int = 70) -> DataFrame:
     """Rows loaded, left after the placeholder filter, after the row cap, and in each split part."""
     real = F.coalesce((F.col("author") != GONE_AUTHOR) & ~F.col("body").isin(*GONE_BODIES), F.lit(False))
-    last = value_at_rank(keep_real_comments(comments), "id", limit) if limit > 0 else None
-    capped = real if last is None else real & (F.col("id") <= F.lit(last))
+    capped = real & cap_test(keep_real_comments(comments), limit) if limit > 0 else real
     in_train = hash_percent("id") < train_percent
     return comments.agg(
         F.count("*").alias("loaded"),

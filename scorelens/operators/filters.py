@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.operators.quantile import value_at_rank
@@ -21,14 +21,25 @@ def one_community(comments: DataFrame, subreddit: str) -> DataFrame:
     return comments.where(F.col("subreddit") == subreddit)
 
 
+def row_order(df: DataFrame, key: str = "id") -> Column:
+    """A numeric order of the rows: the key itself, or 60 bits of a text key's digest."""
+    if dict(df.dtypes)[key] == "string":
+        return F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return F.col(key)
+
+
+def cap_test(df: DataFrame, n: int, key: str = "id") -> Column:
+    """True for the first n rows in `row_order` of a unique key."""
+    order = row_order(df, key)
+    last = value_at_rank(df.select(order.alias("row_order")), "row_order", n)
+    return F.lit(True) if last is None else order <= F.lit(last)
+
+
 def first_rows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
-    """The n rows of smallest key, for a numeric key that is unique.
+    """n rows, always the same ones; all rows if n is not positive.
 
-    Finds the n-th smallest key and filters by it, so the kept rows stay where
-    they are: a plain sort-and-limit of a million rows would pull them all
-    through one task.
+    Finds the n-th place in the key's order and filters by it, so the kept rows
+    stay where they are: a plain sort-and-limit of a million rows would pull
+    them all through one task.
     """
-    if n <= 0:
-        return df
-    last = value_at_rank(df, key, n)
-    return df if last is None else df.where(F.col(key) <= F.lit(last))
+    return df.where(cap_test(df, n, key)) if n > 0 else df

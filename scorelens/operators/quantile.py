@@ -41,6 +41,8 @@ def value_at_rank_of_settled(df: DataFrame, key: str, rank: int | Callable[[int]
     into the cell that holds the rank, until it is small; the driver sees cell
     counts, and no task sees many keys.
     """
+    if dict(df.dtypes)[key] in ("string", "binary", "boolean"):
+        raise ValueError(f"{key} is no number")
     column = F.col(key)
     keys = df.select(key).where(column.isNotNull())
     count, low, high = keys.agg(F.count("*"), F.min(key), F.max(key)).first()

@@ -32,7 +32,11 @@ def read_json_comments(spark: SparkSession, path: str, schema=COMMENT_SCHEMA) ->
 
 
 def read_csv_comments(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; quoted bodies may hold line ends and doubled quotes."""
+    """CSV with a header; quoted bodies may hold line ends and doubled quotes.
+
+    A file with such bodies cannot be cut, so each file is one task's work:
+    large tables should come in many files.
+    """
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', lineSep="\n")
 
 

@@ -99,6 +99,15 @@ def test_first_rows(spark):
     assert filters.first_rows(df, -1).count() == 1000
 
 
+def test_first_rows_of_text_keys(spark):
+    df = spark.range(1000).select(F.conv("id", 10, 36).alias("id"))
+    first = {row["id"] for row in filters.first_rows(df.repartition(3), 100).collect()}
+    second = {row["id"] for row in filters.first_rows(df.repartition(7), 100).collect()}
+    assert len(first) == 100 and first == second
+    with pytest.raises(ValueError):
+        splits.ordered_split(df)
+
+
 def test_labels(spark):
     labelled = labels.with_binary_label(scored(spark, [1, 2, 3, 4])).orderBy("id").collect()
     assert [row["score_bucket"] for row in labelled] == [0.0, 0.0, 0.0, 1.0]

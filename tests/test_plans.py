@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from scorelens.operators import bayes, evaluate, splits
 from scorelens.operators.filters import keep_real_comments
 from scorelens.operators.labels import with_score
+from scorelens.operators.lexicon import with_sentiment
 from scorelens.plans import models
 from scorelens.plans.experiments import Options, bayes_rows, explain_experiment, prepare, run_experiment
 from scorelens.plans.features import PLANS, feature_plan, fit_features
-from scorelens.plans.stages import CommentTokenizer, ScoreLabeler, VocabularyCounter
+from scorelens.plans.stages import CommentFeatures, CommentTokenizer, ScoreLabeler, VocabularyCounter
+from scorelens.sources.readers import lexicon_frame, read_json_comments
 from scorelens.sources.tables import SMALL_LEXICON, comments
 
 METADATA_WIDTH = 30
@@ -220,6 +222,26 @@ def test_ordered_split_of_an_experiment(spark, sf):
     assert data.train.count() == data.featured.count() * 60 // 100
 
 
+def test_experiment_from_json_lines_with_text_ids(spark, sf, tmp_path):
+    view = comments(spark, sf)
+    view.write.json(str(tmp_path / "json"))
+    options = {"plan": "metadata", "mode": "linear", "valences": SMALL_LEXICON}
+    stored = read_json_comments(spark, str(tmp_path / "json"))
+    for ours, theirs in zip(
+        run_experiment(stored, **options).collect(), run_experiment(view, **options).collect(), strict=True
+    ):
+        assert math.isclose(ours["value"], theirs["value"], rel_tol=1e-6)
+    assert run_experiment(stored, limit=60, **options).count() == 2
+
+
+def test_sentiment_of_a_large_lexicon_is_kept(spark, real):
+    words = CommentTokenizer().transform(real)
+    joined = with_sentiment(words, lexicon_frame(spark, SMALL_LEXICON), limit=0)
+    by_join = CommentFeatures().transform(joined).select("id", "sentiment").orderBy("id").collect()
+    by_stage = CommentFeatures(valences=SMALL_LEXICON).transform(words).select("id", "sentiment")
+    assert by_join == by_stage.orderBy("id").collect()
+
+
 def test_limit(spark, sf):
     data = prepare(comments(spark, sf), "metadata", False, Options(limit=50, valences=SMALL_LEXICON))
     assert data.featured.count() == 50
