@@ -1,7 +1,7 @@
 """The registered queries: one operator or composition each, over whole tables.
 
-Each takes the session and the folder of the tables. Results that are fitted
-by Spark ML run their fits when the query is built; all others are lazy.
+Each takes the session and the folder of the tables. What a query fits or
+settles runs when the query is built; the rest is lazy.
 """
 
 from __future__ import annotations
