@@ -29,7 +29,7 @@ def accuracy(predictions: DataFrame, label: str = "score_bucket", by: Sequence[s
     return predictions.groupBy(*by).agg(
         F.count("*").alias("rows"),
         right.alias("right"),
-        (right.cast("double") / F.count("*")).alias("accuracy"),
+        F.try_divide(right.cast("double"), F.count("*")).alias("accuracy"),
     )
 
 

@@ -7,6 +7,7 @@ comparison reads that copy.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -157,7 +158,10 @@ def _arms(options: Options) -> list[tuple[str, str, bool]]:
 
 
 def run_experiment(comments: DataFrame, options: Options = Options(), **changes) -> DataFrame:
-    """Metric rows `(plan, mode, reg_param, metric, value)`, one set per arm."""
+    """Metric rows `(plan, mode, reg_param, metric, value)`, one set per arm.
+
+    A test metric is null where no row fell into the test part.
+    """
     options = replace(options, **changes)
     prepared: dict[tuple[str, bool], Prepared] = {}
     rows = []
@@ -165,7 +169,7 @@ def run_experiment(comments: DataFrame, options: Options = Options(), **changes)
         if (kind, binary) not in prepared:
             prepared[kind, binary] = prepare(comments, kind, binary, options)
         arm = fit_arm(prepared[kind, binary], mode, options)
-        rows += [(kind, mode, float(reg), metric, float(value)) for reg, metric, value in arm.metrics]
+        rows += [(kind, mode, float(reg), metric, value) for reg, metric, value in arm.metrics]
     return comments.sparkSession.createDataFrame(rows, METRICS)
 
 
@@ -178,12 +182,14 @@ def explain_experiment(comments: DataFrame, options: Options = Options(), **chan
 
 
 def run_per_community(comments: DataFrame, communities: Sequence[str], **changes) -> DataFrame:
-    """The same experiment for each named community; their number is the caller's."""
-    frames = [
-        run_experiment(one_community(comments, name), **changes).withColumn("subreddit", F.lit(name))
-        for name in communities
-    ]
-    return reduce(DataFrame.unionByName, frames)
+    """The same experiment for each named community, a few of them side by side."""
+
+    def run(name: str) -> DataFrame:
+        metrics = run_experiment(one_community(comments, name), **changes)
+        return metrics.withColumn("subreddit", F.lit(name))
+
+    with ThreadPoolExecutor(models.PARALLEL_FITS) as pool:
+        return reduce(DataFrame.unionByName, pool.map(run, communities))
 
 
 def bayes_rows(comments: DataFrame, by: Sequence[str] = (), remove_stop_words: bool = True) -> DataFrame:

@@ -460,9 +460,10 @@ def _experiment(**options):
 
 
 def experiment_per_community(spark, sf):
-    return run_per_community(
-        comments(spark, sf), SOME_COMMUNITIES[:2], valences=SMALL_LEXICON, plan="metadata", mode="ridge"
-    )
+    """One fit for every community of the table."""
+    view = comments(spark, sf)
+    names = [row[0] for row in view.select("subreddit").distinct().orderBy("subreddit").collect()]
+    return run_per_community(view, names, valences=SMALL_LEXICON, plan="metadata", mode="linear", reg_param=8.0)
 
 
 def logistic_weights(spark, sf):

@@ -265,6 +265,11 @@ def test_last_and_first_predictions(spark):
     assert evaluate.regression_errors(df).first()["rmse"] == 1.0
 
 
+def test_accuracy_of_no_rows(spark):
+    empty = spark.createDataFrame([], "score_bucket double, prediction double")
+    assert tuple(evaluate.accuracy(empty).first()) == (0, 0, None)
+
+
 def test_scores_that_are_no_numbers_are_left_out(spark):
     df = spark.createDataFrame([(1, "4"), (2, "x"), (3, None)], "id int, score string")
     assert [row["id"] for row in with_score(df).collect()] == [1]
