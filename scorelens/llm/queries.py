@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.llm import packing, simhash
+from scorelens.llm import packing, quality, sharding, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(_table(spark, sf_dir, "documents"))
 
 
-ALL = {"op2_simhash": op2_simhash, "op4_packing": op4_packing}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digests(_table(spark, sf_dir, "documents"))
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeated(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ALL = {
+    f.__name__: f
+    for f in (op2_simhash, op3_quality, op4_packing, op9_sharding, op10_substrings)
+}
 ORACLE: dict[str, str] = {}
