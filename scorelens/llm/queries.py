@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.llm import packing, quality, sharding, simhash, substrings
+from scorelens.llm import merkle, packing, pii, quality, sharding, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,22 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_neighbours(_table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans, given = F.col("pii_spans"), F.filter("pii_spans", lambda s: s["given"])
+    of = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(of(kind.name) for kind in pii.KINDS),
+        F.sha2(pii.listed(given), 256).alias("base_sha256"),
+        pii.listed(spans).alias("spans"),
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digests(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +53,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = {
     f.__name__: f
-    for f in (op2_simhash, op3_quality, op4_packing, op9_sharding, op10_substrings)
+    for f in (op2_simhash, op3_quality, op4_packing, op6_merkle, op8_pii, op9_sharding, op10_substrings)
 }
 ORACLE: dict[str, str] = {}
