@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.llm import merkle, packing, pii, quality, sharding, simhash, substrings
+from scorelens.llm import hmm, merkle, packing, pii, quality, sharding, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.text_scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans, given = F.col("pii_spans"), F.filter("pii_spans", lambda s: s["given"])
@@ -53,6 +57,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = {
     f.__name__: f
-    for f in (op2_simhash, op3_quality, op4_packing, op6_merkle, op8_pii, op9_sharding, op10_substrings)
+    for f in (op2_simhash, op3_quality, op4_packing, op6_merkle, op7_hmm, op8_pii, op9_sharding, op10_substrings)
 }
 ORACLE: dict[str, str] = {}
