@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.llm import hmm, merkle, packing, pii, quality, sharding, simhash, substrings
+from scorelens.llm import decontaminate, hmm, licenses, merkle, packing, pii, quality, sharding, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -26,6 +30,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_neighbours(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +65,6 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = {
     f.__name__: f
-    for f in (op2_simhash, op3_quality, op4_packing, op6_merkle, op7_hmm, op8_pii, op9_sharding, op10_substrings)
+    for f in (op1_licenses, op2_simhash, op3_quality, op4_packing, op5_decontamination, op6_merkle, op7_hmm, op8_pii, op9_sharding, op10_substrings)
 }
 ORACLE: dict[str, str] = {}
