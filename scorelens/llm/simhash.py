@@ -68,15 +68,18 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a bigint) per row; fp 0 for texts without words."""
+    """doc_id, digest (a hash of the text) and fp (the fingerprint as a bigint) per row; fp 0 for texts without words."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [_signed(fingerprint(t, size)) for _, texts in slices(batch) for t in texts]
-            yield pa.record_batch([batch.column(0), pa.array(made, pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch(
+                [batch.column(0), batch.column(2), pa.array(made, pa.int64())], ["doc_id", "digest", "fp"]
+            )
 
     rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return rows.mapInArrow(each, "doc_id bigint, fp bigint")
+    rows = rows.withColumn("digest", F.xxhash64("text"))
+    return rows.mapInArrow(each, "doc_id bigint, digest bigint, fp bigint")
 
 
 def fingerprint_links(fps: DataFrame, file: int = FILE) -> DataFrame:
@@ -117,6 +120,12 @@ def fingerprint_links(fps: DataFrame, file: int = FILE) -> DataFrame:
     return checked.unionByName(stars).distinct()
 
 
+def _rooted(fps: DataFrame) -> DataFrame:
+    """The columns of `fps` (a written table of distinct fp) and root, the name of each fingerprint's component."""
+    roots = settle(components(fingerprint_links(fps.select("fp"))), "roots")
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id for every row of `docs`.
 
@@ -126,11 +135,32 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """
     rows = settle(fingerprints(docs, size), "fingerprints")
     fps = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = settle(components(fingerprint_links(fps.select("fp"))), "roots")
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(fps)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One row of each component of near-duplicates, columns unchanged.
+
+    The smallest doc_id stays; a null one only where there is no other, and of
+    several texts under that id the one with the smallest hash. Of rows equal
+    in id and text one stays. Texts without words are duplicates of each other.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
+    rows = settle(fingerprints(docs, size), "fingerprints")
+    fps = settle(rows.groupBy("fp").agg(first.alias("least")), "distinct-fingerprints")
+    least = _rooted(fps).groupBy("root").agg(F.min("least").alias("least"))
+    place = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    stay = least.select(place(F.col("least.doc_id")).alias("keep_place"), F.col("least.digest").alias("keep_digest"))
+    marked = docs.select(
+        F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"),
+        place(F.col("doc_id").cast("bigint")).alias("keep_place"),
+        F.xxhash64("text").alias("keep_digest"),
+    )
+    kept = marked.join(stay, ["keep_place", "keep_digest"]).dropDuplicates(["keep_place", "keep_digest"])
+    return kept.select(*(F.col("row").getField(n).alias(n) for n in docs.columns))
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
