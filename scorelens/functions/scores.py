@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def score_double(score: Column) -> Column:
-    """Score text as a number; text that is no number gives null."""
-    return score.try_cast("double")
+    """Score text as a number; null for text that is none, and for NaN and the infinities."""
+    number = score.try_cast("double")
+    return F.when(F.abs(number) < math.inf, number)
 
 
 def binary_label(score: Column, threshold) -> Column:
@@ -21,15 +22,20 @@ def binary_label(score: Column, threshold) -> Column:
 def log_bucket(score: Column) -> Column:
     """0 for scores up to zero, else one more than the whole part of log2."""
     doublings = (F.ln(score) / F.lit(math.log(2))).cast("int") + 1
-    return F.when(score <= 0, 0.0).otherwise(doublings.cast("double"))
+    return F.when(score <= 0, 0.0).when(F.abs(score) < math.inf, doublings.cast("double"))
+
+
+def _power_of_two(exponent: Column) -> Column:
+    """As a bigint; what would be larger is the largest bigint."""
+    return F.when(exponent >= 63, F.lit((1 << 63) - 1)).otherwise(F.pow(F.lit(2.0), exponent).cast("bigint"))
 
 
 def bucket_low(bucket: Column) -> Column:
-    return F.when(bucket <= 0, -1).otherwise(F.pow(F.lit(2.0), bucket - 1).cast("int"))
+    return F.when(bucket <= 0, F.lit(-1).cast("bigint")).otherwise(_power_of_two(bucket - 1))
 
 
 def bucket_high(bucket: Column) -> Column:
-    return F.when(bucket <= 0, -1).otherwise(F.pow(F.lit(2.0), bucket).cast("int"))
+    return F.when(bucket <= 0, F.lit(-1).cast("bigint")).otherwise(_power_of_two(bucket))
 
 
 def squared_error(label: Column, prediction: Column) -> Column:

@@ -35,6 +35,7 @@ def accuracy(predictions: DataFrame, label: str = "score_bucket", by: Sequence[s
 
 def prediction_sample(predictions: DataFrame, k: int = SAMPLE_ROWS, key: str = "id") -> DataFrame:
     """The first k scored rows in key order, with body, words and error."""
+    # The column names.
     return (
         with_squared_error(predictions)
         .select(key, "body", "words", "score_double", "prediction", "sq_err")

@@ -4,26 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 
 TOP = 10
-WEIGHT_SCHEMA = "slot int, feature string, weight double"
+WEIGHT_SCHEMA = "side string, slot int, feature string, weight double"
 
 
-def weight_frame(spark: SparkSession, weights: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """One row per weight of a fitted model; slots without a name get their number."""
-    rows = [
-        (slot, names[slot] if slot < len(names) else f"Feature {slot}", float(weight))
-        for slot, weight in enumerate(weights)
-    ]
-    return spark.createDataFrame(rows, WEIGHT_SCHEMA)
+def ranked_weights(weights: Sequence[float], names: Sequence[str], k: int = TOP) -> list[tuple]:
+    """(side, slot, feature, weight) of the k largest and the k smallest weights, ties in slot order.
 
+    A fitted model's weights are an array of the driver; only the rows that are
+    shown become rows. Slots without a name get their number.
+    """
+    weights = np.asarray(weights, "double")
+    rows = []
+    for side, order in (("top", np.argsort(-weights, kind="stable")), ("bottom", np.argsort(weights, kind="stable"))):
+        for slot in order[:k].tolist():
+            rows.append((side, slot, names[slot] if slot < len(names) else f"Feature {slot}", float(weights[slot])))
+    return rows
 
-def explain_weights(weights: DataFrame, k: int = TOP) -> DataFrame:
-    """The k largest and the k smallest weights, ties in slot order."""
 
-    def side(name: str, order: Column) -> DataFrame:
-        return weights.orderBy(order, "slot").limit(k).select(F.lit(name).alias("side"), "*")
-
-    return side("top", F.desc("weight")).unionByName(side("bottom", F.asc("weight")))
+def explain_weights(spark: SparkSession, weights: Sequence[float], names: Sequence[str], k: int = TOP) -> DataFrame:
+    return spark.createDataFrame(ranked_weights(weights, names, k), WEIGHT_SCHEMA)

@@ -29,7 +29,7 @@ def row_order(df: DataFrame, key: str = "id") -> Column:
 
 
 def cap_test(df: DataFrame, n: int, key: str = "id") -> Column:
-    """True for the first n rows in `row_order` of a unique key."""
+    """True for the rows up to the n-th place in `row_order`: n rows, and those that share the last one's key."""
     order = row_order(df, key)
     last = value_at_rank(df.select(order.alias("row_order")), "row_order", n)
     return F.lit(True) if last is None else order <= F.lit(last)
@@ -38,6 +38,9 @@ def cap_test(df: DataFrame, n: int, key: str = "id") -> Column:
 def first_rows(df: DataFrame, n: int, key: str = "id") -> DataFrame:
     """n rows, always the same ones; all rows if n is not positive.
 
+    Rows that repeat the key of the last one kept are kept with it, so keys
+    that aren't unique may give more rows.
+
     Finds the n-th place in the key's order and filters by it, so the kept rows
     stay where they are: a plain sort-and-limit of a million rows would pull
     them all through one task.

@@ -1,9 +1,9 @@
-"""Lexicon filter and sentiment, by literal sets or by a join.
+"""Lexicon filter and sentiment, for lexicons of any size.
 
-A lexicon is a frame `(word string, valence int)`. Its size is checked first:
-up to `LITERAL_LIMIT` entries it becomes literals of a row expression, and the
-token arrays never leave their rows. A larger one is joined to the exploded
-tokens and Spark chooses the join by the lexicon's size. Both give the same.
+A lexicon is a frame `(word string, valence int)`; a repeated word counts with
+its largest valence. Tokens are counted per row and word, then meet the
+lexicon; Spark picks the join by the lexicon's size. Rows are told apart by
+their key, which must be unique. A null token array has no lexicon words.
 """
 
 from __future__ import annotations
@@ -11,33 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.functions import lexicon as by_literals
 
-LITERAL_LIMIT = 20_000
-
-
-def literal_valences(lexicon: DataFrame, limit: int = LITERAL_LIMIT) -> dict[str, int] | None:
-    """The lexicon as a dict, or None when it has more than `limit` entries."""
-    rows = lexicon.select("word", "valence").limit(limit + 1).collect()
-    return None if len(rows) > limit else {row["word"]: row["valence"] for row in rows}
+def unique_entries(lexicon: DataFrame) -> DataFrame:
+    entries = lexicon.where(F.col("word").isNotNull() & F.col("valence").isNotNull())
+    return entries.groupBy("word").agg(F.max("valence").alias("valence"))
 
 
 def with_lexicon_words(
-    df: DataFrame,
-    lexicon: DataFrame,
-    words: str = "words",
-    output: str = "filtered",
-    key: str = "id",
-    limit: int = LITERAL_LIMIT,
+    df: DataFrame, lexicon: DataFrame, words: str = "words", output: str = "filtered", key: str = "id"
 ) -> DataFrame:
     """Keep the lexicon words of each row, in order; drop rows that have none."""
-    valences = literal_valences(lexicon, limit)
-    if valences is not None:
-        kept = df.withColumn(output, by_literals.only_lexicon_words(F.col(words), valences))
-        return kept.where(F.array_size(output) > 0)
     hits = (
         df.select(key, F.posexplode(words).alias("position", "word"))
-        .join(lexicon, "word", "left_semi")
+        .join(unique_entries(lexicon).select("word"), "word", "left_semi")
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("position", "word"))).alias("hits"))
         .select(key, F.col("hits.word").alias(output))
@@ -52,18 +38,19 @@ def with_sentiment(
     output: str = "sentiment",
     skip_zero: bool = False,
     key: str = "id",
-    limit: int = LITERAL_LIMIT,
 ) -> DataFrame:
-    """Add the mean valence of each row's lexicon words, 0 where it has none."""
-    valences = literal_valences(lexicon, limit)
-    if valences is not None:
-        return df.withColumn(output, by_literals.mean_valence(F.col(words), valences, skip_zero))
-    entries = lexicon.where(F.col("valence") != 0) if skip_zero else lexicon
+    """Add the mean valence of each row's lexicon words, 0 where it has none.
+
+    With `skip_zero`, entries of valence 0 do not count as lexicon words.
+    """
+    entries = unique_entries(lexicon)
+    if skip_zero:
+        entries = entries.where(F.col("valence") != 0)
+    uses = df.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count("*").alias("uses"))
     means = (
-        df.select(key, F.explode(words).alias("word"))
-        .join(entries, "word")
+        uses.join(entries, "word")
         .groupBy(key)
-        .agg(F.avg("valence").alias(output))
+        .agg((F.sum(F.col("valence") * F.col("uses")).cast("double") / F.sum("uses")).alias(output))
     )
     return df.join(means, key, "left").withColumn(output, F.coalesce(output, F.lit(0.0)))
 
@@ -74,8 +61,10 @@ def lexicon_hits(df: DataFrame, lexicon: DataFrame, words: str = "words") -> Dat
     Tokens are counted per word before they meet the lexicon.
     """
     uses = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
-    return lexicon.join(uses, "word", "left").select(
-        "word", "valence", F.coalesce("uses", F.lit(0)).alias("uses")
+    return (
+        unique_entries(lexicon)
+        .join(uses, "word", "left")
+        .select("word", "valence", F.coalesce("uses", F.lit(0)).alias("uses"))
     )
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from scorelens.session import settle
 
 CELLS = 4096
-SMALL_CELL = 100_000
 CHUNK = 1024
 
 
@@ -21,7 +20,8 @@ def _cell(key: Column, low, high) -> Column:
         # Decimal, as the distance between two bigints may not fit a bigint.
         offset = key.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
         return F.floor(offset / F.lit(width).cast("decimal(20,0)")).cast("int")
-    share = (key - F.lit(low)) / F.lit(high - low)
+    # Halves, as the distance between two doubles may not fit a double.
+    share = (key / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
     return F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).cast("int")
 
 
@@ -34,33 +34,35 @@ def value_at_rank(df: DataFrame, key: str, rank: int | Callable[[int], int]):
     return value_at_rank_of_settled(settle(df.select(key), "keys"), key, rank)
 
 
-def value_at_rank_of_settled(df: DataFrame, key: str, rank: int | Callable[[int], int]):
-    """The same over a frame that is cheap to read again.
+def value_at_rank_of_settled(
+    df: DataFrame, key: str, rank: int | Callable[[int], int], weight: str | None = None
+):
+    """The same over a frame that is cheap to read again; a row counts `weight` times.
 
     Each pass counts the keys in a few thousand equal cells and then looks only
-    into the cell that holds the rank, until it is small; the driver sees cell
-    counts, and no task sees many keys.
+    into the cell that holds the rank, until it holds one value; the driver
+    sees cell counts, and no task sees many keys.
     """
     if dict(df.dtypes)[key] in ("string", "binary", "boolean"):
         raise ValueError(f"{key} is no number")
     column = F.col(key)
-    keys = df.select(key).where(column.isNotNull())
-    count, low, high = keys.agg(F.count("*"), F.min(key), F.max(key)).first()
+    keys = df.where(column.isNotNull())
+    size = F.sum(weight) if weight else F.count("*")
+    count, low, high = keys.agg(size, F.min(key), F.max(key)).first()
+    count = count or 0
     rank = rank(count) if callable(rank) else rank
     if not 1 <= rank <= count:
         return None
     while low < high:
-        inside = keys.where(column.between(F.lit(low), F.lit(high)))
-        if count <= SMALL_CELL:
-            return inside.orderBy(key).offset(rank - 1).first()[0]
         cells = (
-            inside.groupBy(_cell(column, low, high).alias("cell"))
-            .agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+            keys.where(column.between(F.lit(low), F.lit(high)))
+            .groupBy(_cell(column, low, high).alias("cell"))
+            .agg(size.alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
             .collect()
         )
         for cell in sorted(cells, key=lambda row: row["cell"]):
             if rank <= cell["n"]:
-                count, low, high = cell["n"], cell["low"], cell["high"]
+                low, high = cell["low"], cell["high"]
                 break
             rank -= cell["n"]
     return low
@@ -74,10 +76,21 @@ def upper_quartile(df: DataFrame, score: str = "score_double", by: Sequence[str]
     all rows arrives as its distinct scores. These are cut into chunks of 1024
     points: the chunk that holds the rank is found from chunk totals, and only
     that chunk is then looked at score by score. The counts are written out,
-    so the table itself is read once.
+    so the table itself is read once. Without groups the rank is searched for
+    by cells, so that no task has to see all scores.
     """
     by = list(by)
     value = F.col(score)
+    if not by:
+        counts = settle(
+            df.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("n")), "score-counts"
+        )
+        threshold = value_at_rank_of_settled(counts, "value", lambda rows: rows - rows // 4, "n")
+        return (
+            counts.agg(F.sum("n").alias("rows"), F.max("value").alias("max_score"))
+            .withColumn("threshold", F.lit(threshold).cast("double"))
+            .where(F.col("threshold").isNotNull())
+        )
     counts = settle(
         df.where(value.isNotNull())
         .groupBy(*by, value.alias("value"), F.floor(value / CHUNK).alias("chunk"))

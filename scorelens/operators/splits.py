@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.operators.quantile import value_at_rank
+from scorelens.session import settle
 
 TRAIN, TEST = "train", "test"
 
@@ -33,13 +34,11 @@ def hash_split(df: DataFrame, percent: int = TRAIN_PERCENT, key: str = "id", sal
 
 
 def random_split(df: DataFrame, percent: int = TRAIN_PERCENT, seed: int = RANDOM_SEED) -> DataFrame:
-    """Spark's seeded random split, put back together with a part column.
+    """A seeded random split: one draw per row, written with the row, so both parts see the same draw.
 
     It depends on how the rows lie in partitions; prefer `hash_split`.
     """
-    share = percent / 100
-    train, test = df.randomSplit([share, 1 - share], seed)
-    return train.withColumn("part", F.lit(TRAIN)).unionByName(test.withColumn("part", F.lit(TEST)))
+    return settle(df.withColumn("part", _parts(F.rand(seed) < percent / 100)), "random-split")
 
 
 def ordered_split(df: DataFrame, percent: int = ORDERED_PERCENT, key: str = "id") -> DataFrame:

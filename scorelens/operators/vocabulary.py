@@ -12,7 +12,7 @@ from scorelens.session import settle
 
 # A term with more than one in HOT_SHARE of all uses is joined by broadcast.
 # By that definition fewer than HOT_SHARE terms can be hot.
-HOT_SHARE = 1000
+HOT_SHARE = 65_536
 SALTS = 64
 
 
@@ -22,18 +22,23 @@ def term_uses(df: DataFrame, words: str = "words", by: Sequence[str] = ()) -> Da
     return terms.groupBy(*by, "term").agg(F.count("*").alias("uses"))
 
 
+def term_digest(term: Column) -> Column:
+    """60 bits of the term's MD5 digest: an order that no task has to sort."""
+    return F.conv(F.substring(F.md5(term.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def top_terms(uses: DataFrame, size: int, by: Sequence[str] = ()) -> DataFrame:
-    """The `size` most used terms (of each group), ties in term order.
+    """The `size` most used terms; of terms used equally often, those of the smallest digest.
 
     `uses` should be settled, as it is read several times. The use count of
-    the last term kept is found first: terms above it are a plain filter, and
-    only those that share it are sorted. A sort-and-limit of all terms would
-    take `size` terms of every partition through one task.
+    the last term kept is found first, then the digest of the last one kept
+    among those of that count; the rest is a plain filter. A sort-and-limit of
+    all terms would take `size` terms of every partition through one task.
 
     Within groups the ranking runs twice, first inside hashed slices of the
     group's terms, so no task sees more than `size` terms of every slice.
     """
-    order = [F.desc("uses"), F.col("term")]
+    order = [F.desc("uses"), term_digest(F.col("term"))]
     if by:
         slice_of_term = F.pmod(F.hash("term"), F.lit(SALTS))
         for keys in ([*by, slice_of_term], list(by)):
@@ -43,9 +48,10 @@ def top_terms(uses: DataFrame, size: int, by: Sequence[str] = ()) -> DataFrame:
     last = value_at_rank_of_settled(uses, "uses", lambda terms: terms - size + 1)
     if last is None:
         return uses
-    above = uses.where(F.col("uses") > last)
-    ties = uses.where(F.col("uses") == last).orderBy("term").limit(size - above.count())
-    return above.unionByName(ties)
+    left = size - uses.where(F.col("uses") > last).count()
+    digest = term_digest(F.col("term"))
+    cut = value_at_rank_of_settled(uses.where(F.col("uses") == last).select(digest.alias("digest")), "digest", left)
+    return uses.where((F.col("uses") > last) | ((F.col("uses") == last) & (digest <= F.lit(cut))))
 
 
 def document_frequency(df: DataFrame, words: str = "words") -> DataFrame:
@@ -76,6 +82,7 @@ def smoothed_idf(rows: Column, doc_freq: Column) -> Column:
 
 
 def idf_weights(df: DataFrame, words: str = "words") -> DataFrame:
+    df = settle(df.select(words), "words")
     rows = df.agg(F.count("*")).scalar()
     return term_statistics(df, words).withColumn("idf", smoothed_idf(rows, F.col("doc_freq")))
 
@@ -107,10 +114,15 @@ def term_frequencies(df: DataFrame, words: str = "words", key: str = "id") -> Da
 def tfidf_terms(df: DataFrame, words: str = "words", key: str = "id") -> DataFrame:
     """(key, term, tf, tfidf) with the whole vocabulary, nothing held on the driver.
 
-    Tokens meet their weights before they are counted: hot terms do so in
-    place, and only the others are shuffled twice.
+    Texts are read once: the counts of each row's terms, and one line without
+    a term per row, are written and give the document frequencies, the number
+    of rows and the terms that meet their weights.
     """
-    weights = settle(idf_weights(df, words).select("term", "uses", "idf"), "idf")
-    weighted = join_on_term(df.select(key, F.explode(words).alias("term")), weights)
-    tf = F.count("*")
-    return weighted.groupBy(key, "term").agg(tf.alias("tf"), (tf * F.max("idf")).alias("tfidf"))
+    counted = term_frequencies(df.select(key, F.array_append(words, None).alias(words)), words, key)
+    counted = settle(counted, "term-frequencies")
+    terms = counted.where(F.col("term").isNotNull())
+    rows = counted.where(F.col("term").isNull()).agg(F.sum("tf")).scalar()
+    doc_freq = F.count("*")
+    weights = terms.groupBy("term").agg(doc_freq.alias("uses"), smoothed_idf(rows, doc_freq).alias("idf"))
+    joined = join_on_term(terms, settle(weights, "idf"))
+    return joined.select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))

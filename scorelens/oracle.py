@@ -5,8 +5,8 @@ from __future__ import annotations
 from scorelens.functions.text import LINK, WORD_RUN
 from scorelens.plans.models import REG_GRID
 from scorelens.queries import (
-    BAG,
     HASH_BUCKETS,
+    LARGE_LEXICON,
     LINEAR_FEATURES,
     ROW_CAP,
     SOME_COMMUNITIES,
@@ -49,7 +49,7 @@ TABLES = {
                cast(cast(floor(epoch(e.ts)) AS bigint) AS varchar) AS created_utc,
                cast(cast(floor(e.value) AS bigint) - 5 AS varchar) AS score
         FROM documents d
-        JOIN events e ON d.doc_id = e.event_id
+        LEFT JOIN events e ON d.doc_id = e.event_id
         LEFT JOIN pages p ON p.page_id = d.doc_id""",
     "kept": """
         SELECT * FROM comments
@@ -228,7 +228,8 @@ def _vocabulary(rows: str, size: int) -> str:
     """(term, slot) of the most used terms."""
     return f"""
         SELECT term, (row_number() OVER (ORDER BY uses DESC, term) - 1)::integer AS slot
-        FROM (SELECT term, count(*) AS uses FROM {rows} GROUP BY term ORDER BY uses DESC, term LIMIT {size})"""
+        FROM (SELECT term, count(*) AS uses FROM {rows} GROUP BY term
+              ORDER BY uses DESC, substr(md5(term), 1, 15) LIMIT {size})"""
 
 
 def _bag(rows: str, size: int) -> str:
@@ -320,6 +321,12 @@ QUERIES = {
     "lexicon_hits": """
         SELECT word, valence, count(term) AS uses FROM lexicon LEFT JOIN token_rows ON term = word
         GROUP BY word, valence""",
+    "sentiment_large_lexicon": f"""
+        WITH entries AS (SELECT term AS word, length(term) % 7 - 3 AS valence
+                         FROM ({_vocabulary("token_rows", LARGE_LEXICON)})),
+        means AS (SELECT id, sum(valence) / count(*)::double AS sentiment
+                  FROM token_rows JOIN entries ON term = word GROUP BY id)
+        SELECT k.id, round(coalesce(sentiment, 0.0), 9) AS sentiment FROM kept k LEFT JOIN means m ON k.id = m.id""",
     "community_tables": f"""
         SELECT strftime(to_timestamp(created_utc::bigint) AT TIME ZONE 'UTC', '%Y-%m') AS month, subreddit,
                count(*) AS comments, sum(length(body))::bigint AS chars
@@ -355,7 +362,8 @@ QUERIES = {
         FROM body_stats b JOIN kept k ON b.id = k.id LEFT JOIN run_sentiments s ON b.id = s.id""",
     "regex_bag": "SELECT id, term, count(*) AS tf FROM run_rows GROUP BY id, term",
     "vocabulary_topk": f"""
-        SELECT term, count(*) AS uses FROM content_rows GROUP BY term ORDER BY uses DESC, term LIMIT {VOCABULARY}""",
+        SELECT term, count(*) AS uses FROM content_rows GROUP BY term
+        ORDER BY uses DESC, substr(md5(term), 1, 15) LIMIT {VOCABULARY}""",
     "term_doc_freq": "SELECT term, count(DISTINCT id) AS doc_freq FROM content_rows GROUP BY term",
     "idf_weights": """
         SELECT term, count(*) AS uses, count(DISTINCT id) AS doc_freq,
@@ -371,10 +379,12 @@ QUERIES = {
     "hashed_tfidf": _slots("SELECT * FROM hashed_tfidf"),
     "hour_one_hot": "SELECT id, hour::integer AS slot, 1.0::double AS value FROM features WHERE hour < 23",
     "features_metadata": _slots(_metadata_slots("0")),
-    "features_bag": _slots(_bag("content_rows", BAG), _metadata_slots(_width("content_rows", BAG))),
+    "features_bag": _slots(
+        _bag("content_rows", VOCABULARY), _metadata_slots(_width("content_rows", VOCABULARY))
+    ),
     "features_sentiment": _slots(
-        _bag(SENTIMENT_ROWS, BAG),
-        f"SELECT * FROM ({_metadata_slots(_width(SENTIMENT_ROWS, BAG), punctuation=False)}) "
+        _bag(SENTIMENT_ROWS, 2**18),
+        f"SELECT * FROM ({_metadata_slots(_width(SENTIMENT_ROWS, 2**18), punctuation=False)}) "
         f"WHERE id IN (SELECT id FROM {SENTIMENT_ROWS})",
     ),
     "features_tfidf": _slots("SELECT * FROM hashed_tfidf", _metadata_slots(str(HASH_BUCKETS))),
@@ -384,7 +394,7 @@ QUERIES = {
             for slot, name in enumerate(("body_chars", "link_count", "space_words", "space_word_length"))
         ],
         "SELECT id, 4 AS slot, sentiment AS value FROM run_sentiments",
-        f"SELECT id, slot + 5 AS slot, value FROM ({_bag('run_rows', BAG)})",
+        f"SELECT id, slot + 5 AS slot, value FROM ({_bag('run_rows', 2**31)})",
     ),
     "features_words": _slots(_bag("content_rows", 2**18)),
     "quartile_threshold": """
@@ -400,8 +410,8 @@ QUERIES = {
                count(*) FILTER (label = 1) / count(*)::double AS above_share
         FROM labelled, threshold t""",
     "bucket_distribution": """
-        SELECT label AS bucket, CASE WHEN label <= 0 THEN -1 ELSE 2 ** (label - 1) END::integer AS low,
-               CASE WHEN label <= 0 THEN -1 ELSE 2 ** label END::integer AS high,
+        SELECT label AS bucket, CASE WHEN label <= 0 THEN -1 ELSE 2 ** (label - 1) END::bigint AS low,
+               CASE WHEN label <= 0 THEN -1 ELSE 2 ** label END::bigint AS high,
                count(*) AS comments, count(*) / (SELECT count(*) FROM bucketed)::double AS share
         FROM bucketed GROUP BY label""",
     "majority_baseline": """
@@ -467,5 +477,6 @@ QUERIES = {
         FROM two_predictions WHERE part = 'test' ORDER BY id DESC LIMIT 5""",
 }
 QUERIES["lexicon_filter_by_join"] = QUERIES["lexicon_filter"]
+QUERIES["lexicon_file_hits"] = QUERIES["lexicon_hits"]
 
 ALL = {name: _query(sql) for name, sql in QUERIES.items()}

@@ -6,29 +6,33 @@ comparison reads that copy.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.operators import bayes, explain
-from scorelens.operators.counts import majority_baseline
+from scorelens.operators.counts import class_distribution, majority_baseline
 from scorelens.operators.evaluate import accuracy
-from scorelens.operators.filters import first_rows, keep_real_comments, one_community
+from scorelens.operators.filters import first_rows, keep_real_comments
 from scorelens.operators.labels import with_binary_label, with_score
-from scorelens.operators.splits import TRAIN, hash_split, ordered_split, test_part, train_part
+from scorelens.operators.least_squares import solve_by_group
+from scorelens.operators.splits import TEST, TRAIN, hash_split, ordered_split, random_split, test_part, train_part
 from scorelens.plans import models
-from scorelens.plans.features import DEFAULT_BUCKETS, PCA_VOCABULARY, FittedFeatures, feature_plan
+from scorelens.plans.features import DEFAULT_BUCKETS, PCA_VOCABULARY, PLANS, FittedFeatures, feature_plan
 from scorelens.plans.stages import CommentTokenizer
 from scorelens.session import settle
 
 METRICS = "plan string, mode string, reg_param double, metric string, value double"
+WEIGHTS = "plan string, mode string, bucket double, side string, slot int, feature string, weight double"
 COMPARISONS = ("all", "bin_class", "multi_class")
 CLASS_MODES = ("binary", "bayes", "logistic")
+MODES = ("linear", "ridge", "reg", "forest", "sgd", *CLASS_MODES)
+SPLITS = {"hash": hash_split, "random": random_split, "ordered": ordered_split}
 
 
 @dataclass(frozen=True)
@@ -37,23 +41,35 @@ class Options:
 
     plan: a feature plan, or a comparison: all, bin_class, multi_class.
     mode: linear, ridge, reg, forest, sgd, logistic, bayes or binary.
+    lexicon: frame (word, valence), needed by every plan but words.
     fit_on: `all` fits vocabulary, IDF and threshold on all rows; `train` keeps
     the test rows out of them.
-    split: `hash` trains on 70 % of the ids, `ordered` on the first 60 % of rows.
+    split: `hash` trains on 70 % of the ids, `random` on 70 % of the rows by a
+    seeded draw, `ordered` on the first 60 % of rows.
     """
 
     plan: str = "bag"
     mode: str = "linear"
     reg_param: float = 0.0
     limit: int = -1
-    buckets: int = DEFAULT_BUCKETS
-    valences: Mapping[str, int] = field(default_factory=dict)
+    buckets: int | None = DEFAULT_BUCKETS
+    lexicon: DataFrame | None = None
     stop_words: Sequence[str] | None = None
     pca_vocabulary: int = PCA_VOCABULARY
     regs: Sequence[float] = models.REG_GRID
     fit_on: str = "all"
     split: str = "hash"
 
+    def __post_init__(self):
+        for name, known in (
+            ("plan", (*PLANS, *COMPARISONS)),
+            ("mode", MODES),
+            ("fit_on", ("all", "train")),
+            ("split", tuple(SPLITS)),
+        ):
+            if getattr(self, name) not in known:
+                raise ValueError(f"{name} is one of {', '.join(known)}, not {getattr(self, name)!r}")
+
 
 @dataclass(frozen=True)
 class Prepared:
@@ -66,13 +82,19 @@ class Prepared:
     featured: DataFrame
 
 
-def prepare(comments: DataFrame, kind: str, binary: bool, options: Options) -> Prepared:
+def prepare_rows(comments: DataFrame, options: Options) -> DataFrame:
+    """The rows of an experiment with their part and cleaned tokens, written once: every stage reads that copy."""
     scored = with_score(first_rows(keep_real_comments(comments), options.limit))
-    rows = ordered_split(scored) if options.split == "ordered" else hash_split(scored)
+    return settle(CommentTokenizer().transform(SPLITS[options.split](scored)), "tokenized")
+
+
+def prepare(rows: DataFrame, kind: str, binary: bool, options: Options) -> Prepared:
+    """Fit a plan on rows of `prepare_rows` and write its features."""
     plan = feature_plan(
         kind,
         buckets=options.buckets,
-        valences=options.valences,
+        lexicon=options.lexicon,
+        tokenized=True,
         binary=binary,
         stop_words=options.stop_words,
         pca_vocabulary=options.pca_vocabulary,
@@ -83,8 +105,8 @@ def prepare(comments: DataFrame, kind: str, binary: bool, options: Options) -> P
     return Prepared(kind, fitted, train_part(featured), test_part(featured), featured)
 
 
-def _weights(spark: SparkSession, data: Prepared, model) -> DataFrame | None:
-    """Weight frames of a fitted model: every bucket's for one-vs-rest."""
+def _weights(data: Prepared, model) -> list[tuple]:
+    """(bucket, side, slot, feature, weight) of a fitted model: every bucket's for one-vs-rest."""
     if hasattr(model, "theta"):
         per_class = {0.0: model.theta.toArray()[0]}
     elif hasattr(model, "models"):
@@ -92,14 +114,9 @@ def _weights(spark: SparkSession, data: Prepared, model) -> DataFrame | None:
     elif hasattr(model, "coefficients"):
         per_class = {None: model.coefficients.toArray()}
     else:
-        return None
-    frames = [
-        explain.explain_weights(explain.weight_frame(spark, w, data.fitted.names(len(w)))).withColumn(
-            "bucket", F.lit(bucket).cast("double")
-        )
-        for bucket, w in per_class.items()
-    ]
-    return reduce(DataFrame.unionByName, frames)
+        return []
+    names = data.fitted.names(len(next(iter(per_class.values()))))
+    return [(bucket, *row) for bucket, w in per_class.items() for row in explain.ranked_weights(w, names)]
 
 
 @dataclass(frozen=True)
@@ -157,39 +174,83 @@ def _arms(options: Options) -> list[tuple[str, str, bool]]:
     return [(options.plan, options.mode, False)]
 
 
-def run_experiment(comments: DataFrame, options: Options = Options(), **changes) -> DataFrame:
-    """Metric rows `(plan, mode, reg_param, metric, value)`, one set per arm.
+@dataclass(frozen=True)
+class Report:
+    """What one run of an experiment tells, a frame each; every arm is fitted once.
 
-    A test metric is null where no row fell into the test part.
+    metrics: plan, mode, reg_param, metric, value. distribution: plan, mode,
+    bucket, low, high, comments, share of the labels the arm's plan makes.
+    weights: plan, mode, bucket, side, slot, feature, weight; no rows for
+    models without weights.
     """
+
+    metrics: DataFrame
+    distribution: DataFrame
+    weights: DataFrame
+
+
+def report_experiment(comments: DataFrame, options: Options = Options(), **changes) -> Report:
     options = replace(options, **changes)
+    rows = prepare_rows(comments, options)
     prepared: dict[tuple[str, bool], Prepared] = {}
-    rows = []
+    metrics, weights, shares = [], [], []
     for kind, mode, binary in _arms(options):
         if (kind, binary) not in prepared:
-            prepared[kind, binary] = prepare(comments, kind, binary, options)
-        arm = fit_arm(prepared[kind, binary], mode, options)
-        rows += [(kind, mode, float(reg), metric, value) for reg, metric, value in arm.metrics]
-    return comments.sparkSession.createDataFrame(rows, METRICS)
+            prepared[kind, binary] = prepare(rows, kind, binary, options)
+        data = prepared[kind, binary]
+        arm = fit_arm(data, mode, options)
+        metrics += [(kind, mode, float(reg), metric, value) for reg, metric, value in arm.metrics]
+        weights += [(kind, mode, *row) for row in _weights(data, arm.model)]
+        classes = class_distribution(data.featured)
+        shares.append(classes.select(F.lit(kind).alias("plan"), F.lit(mode).alias("mode"), "*"))
+    spark = comments.sparkSession
+    return Report(
+        spark.createDataFrame(metrics, METRICS),
+        reduce(DataFrame.unionByName, shares),
+        spark.createDataFrame(weights, WEIGHTS),
+    )
 
 
-def explain_experiment(comments: DataFrame, options: Options = Options(), **changes) -> DataFrame | None:
-    """Highest and lowest weights of a single-arm experiment."""
-    options = replace(options, **changes)
-    kind, mode, binary = _arms(options)[0]
-    data = prepare(comments, kind, binary, options)
-    return _weights(comments.sparkSession, data, fit_arm(data, mode, options).model)
+def run_experiment(comments: DataFrame, options: Options = Options(), **changes) -> DataFrame:
+    """Metric rows `(plan, mode, reg_param, metric, value)`, one set per arm.
+
+    A test metric is null where no row fell into the test part.
+    """
+    return report_experiment(comments, options, **changes).metrics
+
 
+def explain_experiment(comments: DataFrame, options: Options = Options(), **changes) -> DataFrame:
+    """Highest and lowest weights of every arm."""
+    return report_experiment(comments, options, **changes).weights
 
-def run_per_community(comments: DataFrame, communities: Sequence[str], **changes) -> DataFrame:
-    """The same experiment for each named community, a few of them side by side."""
 
-    def run(name: str) -> DataFrame:
-        metrics = run_experiment(one_community(comments, name), **changes)
-        return metrics.withColumn("subreddit", F.lit(name))
+def linear_per_community(
+    comments: DataFrame, lexicon: DataFrame, reg_param: float = 0.0, by: str = "subreddit"
+) -> DataFrame:
+    """Linear regression on metadata for every community at once: (by, reg_param, metric, value).
 
-    with ThreadPoolExecutor(models.PARALLEL_FITS) as pool:
-        return reduce(DataFrame.unionByName, pool.map(run, communities))
+    Metadata needs no fit, so one pass sums the products of the features per
+    community, a grouped step solves each community's small system, and a
+    second pass measures all of them. As many jobs for any number of
+    communities, and none of their names reaches the driver. The penalty means
+    what Spark's does. Metrics of a part without rows are null.
+    """
+    options = Options(plan="metadata", lexicon=lexicon)
+    rows = prepare_rows(comments, options)
+    plan = feature_plan("metadata", lexicon=lexicon, tokenized=True)
+    features = vector_to_array("features").alias("x")
+    data = FittedFeatures(plan.fit(rows)).transform(rows).select(by, "part", F.col("score_double").alias("y"), features)
+    data = settle(data, "community-features")
+    solved = solve_by_group(data.where(F.col("part") == TRAIN), [by], reg_param)
+    predicted = data.join(solved, by, "left").withColumn(
+        "error", F.pow(F.col("y") - F.col("intercept") - F.aggregate(F.zip_with("x", "weights", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v), 2)
+    )
+    rmse = lambda part: F.sqrt(F.avg(F.when(F.col("part") == part, F.col("error"))))
+    errors = predicted.groupBy(by).agg(rmse(TRAIN).alias("train_rmse"), rmse(TEST).alias("test_rmse"))
+    metric = lambda name: F.struct(F.lit(name).alias("metric"), F.col(name).alias("value"))
+    return errors.select(
+        by, F.lit(float(reg_param)).alias("reg_param"), F.inline(F.array(metric("train_rmse"), metric("test_rmse")))
+    )
 
 
 def bayes_rows(comments: DataFrame, by: Sequence[str] = (), remove_stop_words: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.operators.labels import with_score
+from scorelens.operators.lexicon import unique_entries
 from scorelens.plans.stages import (
     HOURS,
     CommentFeatures,
@@ -28,16 +29,19 @@ from scorelens.plans.stages import (
     ScoreLabelerModel,
     VocabularyCounter,
 )
+from scorelens.session import write_once
 
 # Vocabulary or bucket count asked for by default, and the
 # vocabulary of the words-only plan.
 DEFAULT_BUCKETS = 50_000
 WORDS_ONLY_VOCABULARY = 2**18
+ALL_TERMS = 2**31 - 1
 
 # PCA needs a dense vocabulary x vocabulary matrix on the driver, 8 bytes a
 # cell; 4,000 terms take 128 MB. Spark itself stops at 65,535.
 PCA_VOCABULARY = 4_000
 
+# The slots of each plan, in order, and the names of the plans.
 METADATA = ["chars_count", "avg_word_length", "link_count", "words_count", "hour_encoded", "sentiment"]
 PUNCTUATION = ["question_mark", "excl_mark"]
 RECORD = ["body_chars", "link_count", "space_words", "space_word_length", "sentiment"]
@@ -47,8 +51,9 @@ PLANS = ("bag", "sentiment", "metadata", "tfidf", "pca", "words", "record")
 def feature_plan(
     kind: str = "bag",
     *,
-    buckets: int = DEFAULT_BUCKETS,
-    valences: Mapping[str, int] | None = None,
+    buckets: int | None = DEFAULT_BUCKETS,
+    lexicon: DataFrame | None = None,
+    tokenized: bool = False,
     binary: bool = False,
     stop_words: Sequence[str] | None = None,
     pca_vocabulary: int = PCA_VOCABULARY,
@@ -62,8 +67,18 @@ def feature_plan(
     pca: `buckets` principal components of a bag of `pca_vocabulary` terms, metadata.
     words: counts of the top 2^18 terms and nothing else.
     record: raw-body lengths, links, sentiment, counts of the top `buckets` word runs.
+
+    `lexicon` is a frame (word, valence), needed by every plan but `words`; it
+    is written once and the stages name the written copy. Where `buckets` is a
+    vocabulary, None keeps all terms. With `tokenized`, the rows bring their
+    cleaned tokens as `words` (not for `record`, which has its own).
     """
-    valences = dict(valences or {})
+    if kind not in PLANS:
+        raise ValueError(f"no plan {kind!r}; there are {', '.join(PLANS)}")
+    if lexicon is None and kind != "words":
+        raise ValueError(f"plan {kind!r} needs a lexicon")
+    entries = "" if lexicon is None else write_once(unique_entries(lexicon), "lexicon")
+    buckets = ALL_TERMS if buckets is None else buckets
     stop = StopWordsRemover(inputCol="words", outputCol="filtered")
     if stop_words is not None:
         stop = stop.setStopWords(list(stop_words))
@@ -74,7 +89,7 @@ def feature_plan(
     if kind == "record":
         return Pipeline(
             stages=[
-                RecordFeatures(valences=valences),
+                RecordFeatures(lexicon=entries),
                 VocabularyCounter(inputCol="words", outputCol="words_features", vocabSize=buckets),
                 ScoreLabeler(binary=binary),
                 VectorAssembler(inputCols=[*RECORD, "words_features"], outputCol="features"),
@@ -84,7 +99,7 @@ def feature_plan(
     vectorise, inputs = {
         "bag": ([stop, bag(buckets)], ["words_features", *every]),
         "sentiment": (
-            [LexiconFilter(inputCol="words", outputCol="filtered", valences=valences), bag(buckets)],
+            [LexiconFilter(inputCol="words", outputCol="filtered", lexicon=entries), bag(buckets)],
             ["words_features", *METADATA],
         ),
         "metadata": ([], every),
@@ -107,9 +122,9 @@ def feature_plan(
     }[kind]
     return Pipeline(
         stages=[
-            CommentTokenizer(),
+            *([] if tokenized else [CommentTokenizer()]),
             *vectorise,
-            CommentFeatures(valences=valences),
+            CommentFeatures(lexicon=entries),
             ScoreLabeler(binary=binary),
             OneHotEncoder(inputCols=["hour"], outputCols=["hour_encoded"]),
             VectorAssembler(inputCols=inputs, outputCol="features"),

@@ -14,13 +14,12 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, OneVsRest, OneVsRestModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions.scores import squared_error
 from scorelens.operators.evaluate import accuracy, regression_errors
-from scorelens.operators.splits import RANDOM_SEED, TEST, TRAIN, TUNING_PERCENT, train_part
+from scorelens.operators.splits import RANDOM_SEED, TEST, TRAIN, TUNING_PERCENT, hash_split, test_part, train_part
 
 SCORE, BUCKET = "score_double", "score_bucket"
 
@@ -64,25 +63,25 @@ class Tuned:
     metrics: tuple[float, ...]
 
 
-def _tune(estimator, param, regs: Sequence[float], evaluator, train: DataFrame):
-    search = TrainValidationSplit(
-        estimator=estimator,
-        estimatorParamMaps=ParamGridBuilder().addGrid(param, list(regs)).build(),
-        evaluator=evaluator,
-        trainRatio=TUNING_PERCENT / 100,
-        seed=RANDOM_SEED,
-        parallelism=PARALLEL_FITS,
-    ).fit(train)
-    metrics = tuple(search.validationMetrics)
+def tuning_split(train: DataFrame, key: str = "id") -> DataFrame:
+    """Which training rows a penalty is fitted on and which it is judged on; follows from the key alone."""
+    return hash_split(train, TUNING_PERCENT, key, salt="tuning-")
+
+
+def _tune(fit, evaluator, regs: Sequence[float], train: DataFrame) -> Tuned:
+    """Each penalty is fitted on the tuning part and judged on the rest; the best one is fitted on all."""
+    parts = tuning_split(train)
+    fitted_on, judged_on = train_part(parts), test_part(parts)
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        metrics = tuple(pool.map(lambda reg: evaluator.evaluate(fit(fitted_on, reg).transform(judged_on)), regs))
     best = (max if evaluator.isLargerBetter() else min)(range(len(metrics)), key=metrics.__getitem__)
-    return Tuned(search.bestModel, float(list(regs)[best]), metrics)
+    return Tuned(fit(train, regs[best]), float(regs[best]), metrics)
 
 
 def fit_ridge(train: DataFrame, regs: Sequence[float] = REG_GRID) -> Tuned:
     """Linear regression, the penalty chosen by validation RMSE."""
-    linear = _linear()
     judge = RegressionEvaluator(labelCol=SCORE, predictionCol="prediction", metricName="rmse")
-    return _tune(linear, linear.regParam, regs, judge, train.select(SCORE, "features"))
+    return _tune(fit_linear, judge, regs, train)
 
 
 def regularisation_path(
@@ -134,9 +133,8 @@ def fit_logistic(train: DataFrame, reg: float = 0.0) -> OneVsRestModel:
 
 def tune_logistic(train: DataFrame, regs: Sequence[float] = REG_GRID) -> Tuned:
     """One-vs-rest logistic regression, the penalty chosen by validation F1."""
-    logistic = _logistic()
     judge = MulticlassClassificationEvaluator(labelCol=BUCKET, predictionCol="prediction")
-    return _tune(one_vs_rest(logistic), logistic.regParam, regs, judge, train.select(BUCKET, "features"))
+    return _tune(fit_logistic, judge, regs, train)
 
 
 def fit_naive_bayes(train: DataFrame):

@@ -16,7 +16,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.functions import lexicon, scores, text
+from scorelens.functions import scores, text
+from scorelens.operators.lexicon import with_lexicon_words, with_sentiment
 from scorelens.operators.quantile import upper_quartile
 from scorelens.operators.vocabulary import term_uses, top_terms
 from scorelens.session import settle
@@ -24,14 +25,15 @@ from scorelens.session import settle
 HOURS = 24
 
 
-def _valences(value) -> dict[str, int]:
-    return {str(word): int(valence) for word, valence in dict(value).items()}
+class _HasLexicon(Params):
+    """A written lexicon (word, valence) of any size, and the rows' unique key; see `operators.lexicon`."""
 
+    lexicon = Param(Params._dummy(), "lexicon", "folder of the lexicon's Parquet table", TypeConverters.toString)
+    key = Param(Params._dummy(), "key", "unique column", TypeConverters.toString)
 
-class _HasValences(Params):
-    """A lexicon small enough to be part of the stage; see `operators.lexicon`."""
-
-    valences = Param(Params._dummy(), "valences", "lexicon word -> valence", _valences)
+    def entries(self, dataset: DataFrame) -> DataFrame | None:
+        path = self.getOrDefault(self.lexicon)
+        return dataset.sparkSession.read.parquet(path) if path else None
 
 
 class CommentTokenizer(
@@ -50,48 +52,54 @@ class CommentTokenizer(
 
 
 class LexiconFilter(
-    Transformer, HasInputCol, HasOutputCol, _HasValences, DefaultParamsReadable, DefaultParamsWritable
+    Transformer, HasInputCol, HasOutputCol, _HasLexicon, DefaultParamsReadable, DefaultParamsWritable
 ):
     """Keep lexicon words only and drop rows that have none."""
 
     @keyword_only
-    def __init__(self, *, inputCol: str = "words", outputCol: str = "filtered", valences=None):
+    def __init__(
+        self, *, inputCol: str = "words", outputCol: str = "filtered", lexicon: str = "", key: str = "id"
+    ):
         super().__init__()
-        self._setDefault(inputCol="words", outputCol="filtered", valences={})
+        self._setDefault(inputCol="words", outputCol="filtered", lexicon="", key="id")
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        kept = lexicon.only_lexicon_words(
-            F.col(self.getInputCol()), self.getOrDefault(self.valences)
+        entries = self.entries(dataset)
+        if entries is None:
+            raise ValueError("this stage needs a lexicon")
+        return with_lexicon_words(
+            dataset, entries, self.getInputCol(), self.getOutputCol(), self.getOrDefault(self.key)
         )
-        output = self.getOutputCol()
-        return dataset.withColumn(output, kept).where(F.array_size(output) > 0)
 
 
-class CommentFeatures(Transformer, _HasValences, DefaultParamsReadable, DefaultParamsWritable):
+class CommentFeatures(Transformer, _HasLexicon, DefaultParamsReadable, DefaultParamsWritable):
     """Score, lengths, links, punctuation, hour and sentiment of each comment.
 
-    A `sentiment` column that is there already is kept: that of a lexicon too
-    large to be part of a stage, joined by `operators.lexicon.with_sentiment`.
+    A `sentiment` column that is there already is kept; without one and without
+    a lexicon there is none.
 
     The hour is marked as nominal with 24 values, so that one-hot encoding has
-    the same width whatever hours the data holds.
+    the same width whatever hours the data holds. A time that can't be read
+    counts as the last hour, whose block is all zeros.
     """
 
     @keyword_only
-    def __init__(self, *, valences=None):
+    def __init__(self, *, lexicon: str = "", key: str = "id"):
         super().__init__()
-        self._setDefault(valences={})
+        self._setDefault(lexicon="", key="id")
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         hour = {"ml_attr": {"type": "nominal", "name": "hour", "num_vals": HOURS}}
-        return with_comment_features(dataset, self.getOrDefault(self.valences)).withMetadata("hour", hour)
+        featured = with_comment_features(dataset, self.entries(dataset), self.getOrDefault(self.key))
+        return featured.withColumn("hour", F.coalesce("hour", F.lit(HOURS - 1.0))).withMetadata("hour", hour)
 
 
-def with_comment_features(df: DataFrame, valences) -> DataFrame:
+def with_comment_features(df: DataFrame, entries: DataFrame | None, key: str = "id") -> DataFrame:
     body, words = F.col("body"), F.col("words")
-    sentiment = F.col("sentiment") if "sentiment" in df.columns else lexicon.mean_valence(words, valences)
+    if entries is not None and "sentiment" not in df.columns:
+        df = with_sentiment(df, entries, key=key)
     return df.withColumns(
         {
             "score_double": scores.score_double(F.col("score")),
@@ -100,14 +108,13 @@ def with_comment_features(df: DataFrame, valences) -> DataFrame:
             "avg_word_length": text.mean_or_zero(text.chars_count(words), text.words_count(words)),
             "link_count": text.link_count(body),
             "hour": text.hour_of_day(F.col("created_utc")),
-            "sentiment": sentiment,
             "question_mark": text.char_count(body, "?"),
             "excl_mark": text.char_count(body, "!"),
         }
     )
 
 
-class RecordFeatures(Transformer, _HasValences, DefaultParamsReadable, DefaultParamsWritable):
+class RecordFeatures(Transformer, _HasLexicon, DefaultParamsReadable, DefaultParamsWritable):
     """The single-record variant: lengths of the raw body, and sentiment over word runs.
 
     Words are split on single spaces here, and lexicon words of valence 0 do
@@ -115,18 +122,20 @@ class RecordFeatures(Transformer, _HasValences, DefaultParamsReadable, DefaultPa
     """
 
     @keyword_only
-    def __init__(self, *, valences=None):
+    def __init__(self, *, lexicon: str = "", key: str = "id"):
         super().__init__()
-        self._setDefault(valences={})
+        self._setDefault(lexicon="", key="id")
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return with_record_features(dataset, self.getOrDefault(self.valences))
+        return with_record_features(dataset, self.entries(dataset), self.getOrDefault(self.key))
 
 
-def with_record_features(df: DataFrame, valences) -> DataFrame:
+def with_record_features(df: DataFrame, entries: DataFrame | None, key: str = "id") -> DataFrame:
     body = F.col("body")
     df = df.withColumn("words", text.word_runs(body))
+    if entries is not None:
+        df = with_sentiment(df, entries, skip_zero=True, key=key)
     return df.withColumns(
         {
             "score_double": scores.score_double(F.col("score")),
@@ -134,7 +143,6 @@ def with_record_features(df: DataFrame, valences) -> DataFrame:
             "link_count": text.link_count(body),
             "space_words": text.space_words_count(body),
             "space_word_length": text.space_word_length(body),
-            "sentiment": lexicon.mean_valence(F.col("words"), valences, skip_zero=True),
         }
     )
 

@@ -20,10 +20,10 @@ from scorelens.plans.experiments import (
     bayes_per_community,
     bayes_rows,
     explain_experiment,
+    linear_per_community,
     run_experiment,
-    run_per_community,
 )
-from scorelens.plans.features import feature_plan, fit_features
+from scorelens.plans.features import DEFAULT_BUCKETS, WORDS_ONLY_VOCABULARY, feature_plan, fit_features
 from scorelens.plans.stages import (
     CommentTokenizer,
     VocabularyCounter,
@@ -38,9 +38,10 @@ COMMENT = ["id", "body", "author", "subreddit", "created_utc", "score"]
 SOME_COMMUNITIES = [f"src{i}" for i in range(10)]
 ROW_CAP = 250
 TOP_SCORES = 5
-VOCABULARY = 500
-BAG = 200
-HASH_BUCKETS = 1024
+VOCABULARY = DEFAULT_BUCKETS
+HASH_BUCKETS = DEFAULT_BUCKETS
+LARGE_LEXICON = 25_000
+PCA_TERMS = 1000
 LINEAR_FEATURES = ("words_count", "link_count")
 
 
@@ -103,6 +104,25 @@ def lexicon_hits(spark, sf):
     return lexicon.lexicon_hits(_words(spark, sf), _lexicon(spark))
 
 
+def lexicon_file_hits(spark, sf):
+    """The lexicon comes from a file with remarks, lines of other widths, bad numbers and repeats."""
+    folder = fresh_path(spark, "lexicon-file")
+    first = ["# a remark", "one field", "best\t9", "haha\tmany", "three\tfields\t1"]
+    lines = first + [f"{word}\t{valence}" for word, valence in SMALL_LEXICON.items()]
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(folder)
+    return lexicon.lexicon_hits(_words(spark, sf), readers.read_lexicon(spark, folder))
+
+
+def sentiment_large_lexicon(spark, sf):
+    """A lexicon of the table's own words, tens of thousands of them; valences follow from the word's length."""
+    words = _words(spark, sf)
+    uses = settle(vocabulary.term_uses(words), "term-uses")
+    entries = vocabulary.top_terms(uses, LARGE_LEXICON).select(
+        F.col("term").alias("word"), (F.length("term") % 7 - 3).cast("int").alias("valence")
+    )
+    return lexicon.with_sentiment(words, entries).select("id", F.round("sentiment", 9).alias("sentiment"))
+
+
 def community_tables(spark, sf):
     path = fresh_path(spark, "communities")
     writers.write_community_tables(comments(spark, sf), path, SOME_COMMUNITIES)
@@ -169,17 +189,17 @@ def lexicon_filter(spark, sf):
 
 
 def lexicon_filter_by_join(spark, sf):
-    kept = lexicon.with_lexicon_words(_words(spark, sf), _lexicon(spark), limit=0)
+    kept = lexicon.with_lexicon_words(_words(spark, sf), _lexicon(spark))
     return kept.select(*_joined("filtered"))
 
 
 def metadata_features(spark, sf):
     words = CommentTokenizer().transform(_real(spark, sf))
-    return with_comment_features(words, SMALL_LEXICON).drop(*COMMENT[1:], "words")
+    return with_comment_features(words, _lexicon(spark)).drop(*COMMENT[1:], "words")
 
 
 def sentiment_by_join(spark, sf):
-    return lexicon.with_sentiment(_words(spark, sf), _lexicon(spark), limit=0).select("id", "sentiment")
+    return lexicon.with_sentiment(_words(spark, sf), _lexicon(spark)).select("id", "sentiment")
 
 
 def run_sentiment(spark, sf):
@@ -199,7 +219,7 @@ def raw_text_stats(spark, sf):
 
 
 def record_features(spark, sf):
-    return with_record_features(_real(spark, sf), SMALL_LEXICON).drop(*COMMENT[1:], "words")
+    return with_record_features(_real(spark, sf), _lexicon(spark)).drop(*COMMENT[1:], "words")
 
 
 # Vectorisers and feature plans
@@ -252,19 +272,19 @@ def hashed_tfidf(spark, sf):
     return _slots(IDF(inputCol="tf", outputCol="tfidf").fit(hashed).transform(hashed), "tfidf")
 
 
-def _plan_slots(kind: str, vector: str = "features", buckets: int = BAG):
+def _plan_slots(kind: str, vector: str = "features", buckets: int | None = DEFAULT_BUCKETS):
     def query(spark, sf):
-        real = _real(spark, sf)
-        plan = feature_plan(kind, buckets=buckets, valences=SMALL_LEXICON)
-        return _slots(fit_features(real, plan).transform(real), vector)
+        rows = settle(CommentTokenizer().transform(_real(spark, sf)), "tokenized")
+        plan = feature_plan(kind, buckets=buckets, lexicon=_lexicon(spark), tokenized=True)
+        return _slots(fit_features(rows, plan).transform(rows), vector)
 
     return query
 
 
 def features_pca(spark, sf):
-    real = _real(spark, sf)
-    plan = feature_plan("pca", buckets=10, pca_vocabulary=BAG, valences=SMALL_LEXICON)
-    return _slots(fit_features(real, plan).transform(real), "features")
+    rows = settle(CommentTokenizer().transform(_real(spark, sf)), "tokenized")
+    plan = feature_plan("pca", buckets=10, pca_vocabulary=PCA_TERMS, lexicon=_lexicon(spark), tokenized=True)
+    return _slots(fit_features(rows, plan).transform(rows), "features")
 
 
 # Labels and distributions
@@ -418,8 +438,8 @@ def sgd_errors(spark, sf):
 def linear_weights(spark, sf):
     train, _ = _parts(_linear_frame(spark, sf))
     model = models.fit_linear(train)
-    weights = explain.weight_frame(spark, model.coefficients.toArray(), LINEAR_FEATURES)
-    return explain.explain_weights(weights, 1).withColumn("weight", F.round("weight", 6))
+    weights = explain.explain_weights(spark, model.coefficients.toArray(), LINEAR_FEATURES, 1)
+    return weights.withColumn("weight", F.round("weight", 6))
 
 
 def reg_path_one_feature(spark, sf):
@@ -454,30 +474,28 @@ def last_predictions(spark, sf):
 
 def _experiment(**options):
     def query(spark, sf):
-        return run_experiment(comments(spark, sf), valences=SMALL_LEXICON, **options)
+        return run_experiment(comments(spark, sf), lexicon=_lexicon(spark), **options)
 
     return query
 
 
 def experiment_per_community(spark, sf):
-    """One fit for every community of the table."""
-    view = comments(spark, sf)
-    names = [row[0] for row in view.select("subreddit").distinct().orderBy("subreddit").collect()]
-    return run_per_community(view, names, valences=SMALL_LEXICON, plan="metadata", mode="linear", reg_param=8.0)
+    """Linear regression on metadata for every community of the table, all in the same jobs."""
+    return linear_per_community(comments(spark, sf), _lexicon(spark), reg_param=8.0)
 
 
 def logistic_weights(spark, sf):
     """Highest and lowest weights of every bucket's fit."""
     view = comments(spark, sf)
-    return explain_experiment(view, plan="metadata", mode="logistic", reg_param=0.125, valences=SMALL_LEXICON)
+    return explain_experiment(view, plan="metadata", mode="logistic", reg_param=0.125, lexicon=_lexicon(spark))
 
 
 def logistic_tuned(spark, sf):
-    rows = splits.hash_split(_scored(spark, sf))
-    plan = feature_plan("metadata", valences=SMALL_LEXICON, binary=True)
+    rows = settle(CommentTokenizer().transform(splits.hash_split(_scored(spark, sf))), "tokenized")
+    plan = feature_plan("metadata", lexicon=_lexicon(spark), tokenized=True, binary=True)
     fitted = fit_features(rows, plan)
     train, test = _parts(settle(fitted.featured(rows, "part"), "tuned"))
-    tuned = models.tune_logistic(train, (0.0, 0.125, 1.0))
+    tuned = models.tune_logistic(train)
     return evaluate.accuracy(tuned.model.transform(test)).withColumn("reg_param", F.lit(tuned.reg_param))
 
 
@@ -488,6 +506,8 @@ ALL = {
         json_comments,
         csv_comments,
         lexicon_hits,
+        lexicon_file_hits,
+        sentiment_large_lexicon,
         community_tables,
         filter_placeholders,
         community_comments,
@@ -548,19 +568,20 @@ ALL = {
 } | {
     "hour_one_hot": _plan_slots("metadata", "hour_encoded"),
     "features_bag": _plan_slots("bag"),
-    "features_sentiment": _plan_slots("sentiment"),
+    "features_sentiment": _plan_slots("sentiment", buckets=WORDS_ONLY_VOCABULARY),
     "features_metadata": _plan_slots("metadata"),
     "features_tfidf": _plan_slots("tfidf", buckets=HASH_BUCKETS),
     "features_words": _plan_slots("words"),
-    "features_record": _plan_slots("record"),
-    "linear_record": _experiment(plan="record", mode="linear", buckets=BAG, split="ordered"),
-    "linear_bag": _experiment(plan="bag", mode="linear", buckets=BAG, reg_param=8.0),
-    "ridge_bag": _experiment(plan="bag", mode="ridge", buckets=BAG),
-    "reg_path_bag": _experiment(plan="bag", mode="reg", buckets=BAG),
+    "features_record": _plan_slots("record", buckets=None),
+    "linear_record": _experiment(plan="record", mode="linear", buckets=None, reg_param=8.0, split="ordered"),
+    "linear_bag": _experiment(plan="bag", mode="linear", reg_param=8.0),
+    "ridge_bag": _experiment(plan="bag", mode="ridge"),
+    "ridge_metadata": _experiment(plan="metadata", mode="ridge"),
+    "reg_path_bag": _experiment(plan="bag", mode="reg"),
     "forest_metadata": _experiment(plan="metadata", mode="forest"),
     "sgd_metadata": _experiment(plan="metadata", mode="sgd"),
-    "linear_pca": _experiment(plan="pca", mode="linear", buckets=10, pca_vocabulary=BAG),
-    "experiment_all": _experiment(plan="all", mode="linear", buckets=BAG),
+    "linear_pca": _experiment(plan="pca", mode="linear", buckets=10, pca_vocabulary=PCA_TERMS),
+    "experiment_all": _experiment(plan="all", mode="linear", reg_param=8.0),
     "experiment_bin_class": _experiment(plan="bin_class", reg_param=0.125),
-    "experiment_multi_class": _experiment(plan="multi_class", buckets=BAG, reg_param=1.0),
+    "experiment_multi_class": _experiment(plan="multi_class", reg_param=1.0),
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -27,30 +29,38 @@ def local_session(cores: str = "8", app: str = "scorelens") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one in local mode."""
+    """The folder the cluster names for checkpoints; one of this process where one machine is the cluster."""
     folder = spark.conf.get(SCRATCH_CONF, None)
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not spark.conf.get("spark.master", "").partition("[")[0] == "local":
         raise ValueError(f"set {SCRATCH_CONF} to a folder that every executor can reach")
     return _local_folder()
 
 
 @functools.cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="scorelens-")
+    """Removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="scorelens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/scorelens-{name}-{uuid.uuid4().hex}"
 
 
+def write_once(df: DataFrame, name: str) -> str:
+    """Write the frame to the shared folder; the path of the copy."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 
     For frames that several fits read. The copy is columnar, its lineage ends
     at the files, and losing an executor costs a re-read, not a recomputation.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_once(df, name))

@@ -10,22 +10,23 @@ from scorelens.operators.lexicon import last_of_each_word
 
 # The columns of the comment table, all text.
 COMMENT_COLUMNS = (
-    "body author created_utc subreddit_id link_id parent_id score retrieved_on "
-    "controversiality gilded id subreddit ups"
-).split()
+    "body",
+    "author",
+    "created_utc",
+    "subreddit_id",
+    "link_id",
+    "parent_id",
+    "score",
+    "retrieved_on",
+    "controversiality",
+    "gilded",
+    "id",
+    "subreddit",
+    "ups",
+)
 COMMENT_SCHEMA = StructType([StructField(name, StringType()) for name in COMMENT_COLUMNS])
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a table that is too small for the cluster's cores to all of them.
-
-    A file of one row group is read by one task, which then does all the text
-    work. A table of more splits than that is left as it is read: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
-
-
 def read_json_comments(spark: SparkSession, path: str, schema=COMMENT_SCHEMA) -> DataFrame:
     """JSON lines from any file system Spark knows; no pass to infer a schema."""
     return spark.read.schema(schema).json(path)
@@ -57,7 +58,11 @@ def as_comment_table(df: DataFrame) -> DataFrame:
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """`word<TAB>valence` lines; other lines are skipped, a repeated word's last line wins."""
+    """`word<TAB>valence` lines, one row per word.
+
+    Lines of other field counts and valences that are no whole numbers are
+    skipped; a repeated word's last line wins.
+    """
     lines = spark.read.text(path).select(
         F.split("value", "\t").alias("fields"),
         F.struct(
@@ -65,9 +70,9 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
         ).alias("place"),
     )
     entries = lines.where(F.size("fields") == 2).select(
-        F.col("fields")[0].alias("word"), F.col("fields")[1].cast("int").alias("valence"), "place"
+        F.col("fields")[0].alias("word"), F.col("fields")[1].try_cast("int").alias("valence"), "place"
     )
-    return last_of_each_word(entries, "place")
+    return last_of_each_word(entries.where(F.col("valence").isNotNull()), "place")
 
 
 def lexicon_frame(spark: SparkSession, valences: dict[str, int]) -> DataFrame:

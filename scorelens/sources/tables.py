@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.sources.readers import spread
-
 # A lexicon for the invented prose: words that occur in it, valences ours.
 SMALL_LEXICON = {
     "die": -3, "ha": 2, "no": -1, "anti": -1, "haha": 3, "idiot": -3, "worthless": -2, "moron": -3,
@@ -30,15 +28,19 @@ def _epoch_seconds(ts: Column, dtype: str) -> Column:
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, body, author, subreddit, created_utc, score: one row per document.
 
-    The join is left to Spark: it broadcasts a side only when that side's size
-    allows it.
+    A document without an event has no author, so it counts as loaded and goes
+    with the placeholders.
+
+    Events are as many as documents, so the two meet in a shuffle; the hint asks
+    for that on small tables too, which then use every core for the text work.
+    The join with the pages is left to Spark.
     """
-    documents = spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     events = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     seconds = _epoch_seconds(F.col("ts"), dict(events.dtypes)["ts"])
     return (
-        documents.join(events, documents["doc_id"] == events["event_id"])
+        documents.join(events.hint("merge"), documents["doc_id"] == events["event_id"], "left")
         .join(pages, documents["doc_id"] == pages["page_id"], "left")
         .select(
             F.col("doc_id").alias("id"),

@@ -9,12 +9,21 @@ from pyspark.sql import functions as F
 
 # The communities that get a table of their own.
 COMMUNITIES = (
-    "hiphopheads videos programming television movies compsci AskReddit askscience nosleep music"
-).split()
+    "hiphopheads",
+    "videos",
+    "programming",
+    "television",
+    "movies",
+    "compsci",
+    "AskReddit",
+    "askscience",
+    "nosleep",
+    "music",
+)
 
 
 def write_community_tables(
-    comments: DataFrame, path: str, communities: Sequence[str] = tuple(COMMUNITIES)
+    comments: DataFrame, path: str, communities: Sequence[str] = COMMUNITIES
 ) -> None:
     """One pass into `month=/subreddit=` folders.
 

@@ -8,13 +8,24 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from scorelens.operators import bayes, evaluate, splits
-from scorelens.operators.filters import keep_real_comments
+from scorelens.operators.filters import keep_real_comments, one_community
 from scorelens.operators.labels import with_score
+from scorelens.operators.least_squares import solve_by_group
 from scorelens.operators.lexicon import with_sentiment
 from scorelens.plans import models
-from scorelens.plans.experiments import Options, bayes_rows, explain_experiment, prepare, run_experiment
+from scorelens.plans.experiments import (
+    Options,
+    bayes_rows,
+    explain_experiment,
+    linear_per_community,
+    prepare,
+    prepare_rows,
+    report_experiment,
+    run_experiment,
+)
 from scorelens.plans.features import PLANS, feature_plan, fit_features
 from scorelens.plans.stages import CommentFeatures, CommentTokenizer, ScoreLabeler, VocabularyCounter
+from scorelens.session import write_once
 from scorelens.sources.readers import lexicon_frame, read_json_comments
 from scorelens.sources.tables import SMALL_LEXICON, comments
 
@@ -26,9 +37,14 @@ def real(spark, sf):
     return keep_real_comments(comments(spark, sf)).cache()
 
 
+@pytest.fixture(scope="module")
+def lexicon(spark):
+    return lexicon_frame(spark, SMALL_LEXICON)
+
+
 @pytest.mark.parametrize("kind", PLANS)
-def test_plan_width_and_names(real, kind):
-    plan = feature_plan(kind, buckets=20, valences=SMALL_LEXICON, pca_vocabulary=40)
+def test_plan_width_and_names(real, lexicon, kind):
+    plan = feature_plan(kind, buckets=20, lexicon=lexicon, pca_vocabulary=40)
     fitted = fit_features(real, plan)
     featured = fitted.featured(real).select(F.size(vector_to_array("features")).alias("width"))
     (width,) = {row["width"] for row in featured.collect()}
@@ -44,18 +60,18 @@ def test_plan_width_and_names(real, kind):
     assert bool(fitted.vocabulary) == (kind in ("bag", "sentiment", "words", "record"))
 
 
-def test_feature_files_carry_no_slot_metadata(real):
-    fitted = fit_features(real, feature_plan("bag", buckets=20, valences=SMALL_LEXICON))
+def test_feature_files_carry_no_slot_metadata(real, lexicon):
+    fitted = fit_features(real, feature_plan("bag", buckets=20, lexicon=lexicon))
     assert fitted.featured(real).schema["features"].metadata == {}
 
 
-def test_sentiment_plan_drops_rows(real):
-    fitted = fit_features(real, feature_plan("sentiment", buckets=20, valences=SMALL_LEXICON))
+def test_sentiment_plan_drops_rows(real, lexicon):
+    fitted = fit_features(real, feature_plan("sentiment", buckets=20, lexicon=lexicon))
     assert 0 < fitted.transform(real).count() < real.count()
 
 
-def test_fitted_plan_saves_and_loads(real, tmp_path):
-    plan = feature_plan("bag", buckets=15, valences=SMALL_LEXICON, binary=True)
+def test_fitted_plan_saves_and_loads(real, lexicon, tmp_path):
+    plan = feature_plan("bag", buckets=15, lexicon=lexicon, binary=True)
     fitted = fit_features(real, plan)
     path = str(tmp_path / "model")
     fitted.model.save(path)
@@ -170,7 +186,7 @@ def bucket_rows(spark):
         for label, n in enumerate(counts)
         for _ in range(n)
     ]
-    df = spark.createDataFrame(rows, "a double, b double, score_bucket double")
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, a double, b double, score_bucket double")
     return VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
 
 
@@ -186,9 +202,9 @@ def test_one_vs_rest_logistic_on_group_indicators(spark):
     assert tuned.reg_param in (0.0, 5.0) and len(tuned.metrics) == 2
 
 
-def test_experiments(spark, sf):
+def test_experiments(spark, sf, lexicon):
     view = comments(spark, sf)
-    small = {"buckets": 20, "valences": SMALL_LEXICON}
+    small = {"buckets": 20, "lexicon": lexicon}
     rows = run_experiment(view, plan="all", mode="linear", reg_param=1.0, **small).collect()
     assert [(r["plan"], r["metric"]) for r in rows] == [
         (plan, metric) for plan in ("bag", "tfidf", "metadata") for metric in ("train_rmse", "test_rmse")
@@ -199,33 +215,34 @@ def test_experiments(spark, sf):
     assert 0.5 <= baseline["value"] < 1
 
 
-def test_experiment_bayes_equals_closed_form(spark, sf):
+def test_experiment_bayes_equals_closed_form(spark, sf, lexicon):
     view = comments(spark, sf)
     rows = bayes_rows(view).cache()
     closed = evaluate.accuracy(bayes.predict(rows, bayes.fit(rows)), "label").first()["accuracy"]
-    value = run_experiment(view, mode="binary", valences=SMALL_LEXICON).first()["value"]
+    value = run_experiment(view, mode="binary", lexicon=lexicon).first()["value"]
     assert math.isclose(value, closed)
 
 
 def test_fit_on_train_keeps_test_words_out(spark, sf):
     view = comments(spark, sf)
-    everything = prepare(view, "words", True, Options())
-    careful = prepare(view, "words", True, Options(fit_on="train"))
+    rows = prepare_rows(view, Options())
+    everything = prepare(rows, "words", True, Options())
+    careful = prepare(rows, "words", True, Options(fit_on="train"))
     assert set(careful.fitted.vocabulary) < set(everything.fitted.vocabulary)
 
 
-def test_ordered_split_of_an_experiment(spark, sf):
-    options = Options(split="ordered", buckets=20, valences=SMALL_LEXICON)
-    data = prepare(comments(spark, sf), "record", False, options)
+def test_ordered_split_of_an_experiment(spark, sf, lexicon):
+    options = Options(split="ordered", buckets=20, lexicon=lexicon)
+    data = prepare(prepare_rows(comments(spark, sf), options), "record", False, options)
     last, first = data.train.agg(F.max("id")).first()[0], data.test.agg(F.min("id")).first()[0]
     assert last < first
     assert data.train.count() == data.featured.count() * 60 // 100
 
 
-def test_experiment_from_json_lines_with_text_ids(spark, sf, tmp_path):
+def test_experiment_from_json_lines_with_text_ids(spark, sf, lexicon, tmp_path):
     view = comments(spark, sf)
     view.write.json(str(tmp_path / "json"))
-    options = {"plan": "metadata", "mode": "linear", "valences": SMALL_LEXICON}
+    options = {"plan": "metadata", "mode": "linear", "lexicon": lexicon}
     stored = read_json_comments(spark, str(tmp_path / "json"))
     for ours, theirs in zip(
         run_experiment(stored, **options).collect(), run_experiment(view, **options).collect(), strict=True
@@ -234,25 +251,91 @@ def test_experiment_from_json_lines_with_text_ids(spark, sf, tmp_path):
     assert run_experiment(stored, limit=60, **options).count() == 2
 
 
-def test_sentiment_of_a_large_lexicon_is_kept(spark, real):
+def test_sentiment_that_is_there_is_kept(spark, real, lexicon):
     words = CommentTokenizer().transform(real)
-    joined = with_sentiment(words, lexicon_frame(spark, SMALL_LEXICON), limit=0)
-    by_join = CommentFeatures().transform(joined).select("id", "sentiment").orderBy("id").collect()
-    by_stage = CommentFeatures(valences=SMALL_LEXICON).transform(words).select("id", "sentiment")
-    assert by_join == by_stage.orderBy("id").collect()
+    joined = with_sentiment(words, lexicon)
+    kept = CommentFeatures().transform(joined).select("id", "sentiment").orderBy("id").collect()
+    path = write_once(lexicon, "test-lexicon")
+    by_stage = CommentFeatures(lexicon=path).transform(words).select("id", "sentiment")
+    assert kept == by_stage.orderBy("id").collect()
+    assert "sentiment" not in CommentFeatures().transform(words).columns
+
+
+def test_plans_that_need_a_lexicon_say_so():
+    for kind in PLANS:
+        if kind != "words":
+            with pytest.raises(ValueError):
+                feature_plan(kind)
+    with pytest.raises(ValueError):
+        feature_plan("other")
+
+
+@pytest.mark.parametrize("wrong", [{"split": "half"}, {"fit_on": "test"}, {"mode": "svm"}, {"plan": "none"}])
+def test_unknown_options_are_refused(wrong):
+    with pytest.raises(ValueError):
+        Options(**wrong)
+
+
+def test_bad_times_and_scores_do_not_end_a_fit(spark, sf, lexicon):
+    view = comments(spark, sf)
+    odd = [(9001, "ok text", "ann", "src1", "x", "4"), (9002, "more", "bob", "src1", None, "NaN"),
+           (9003, "text", "eve", "src1", "12", "Infinity"), (9004, "text", "eve", "src1", "12", "2000000000")]
+    rows = view.unionByName(spark.createDataFrame(odd, view.schema))
+    report = report_experiment(rows, plan="metadata", mode="linear", lexicon=lexicon)
+    assert all(math.isfinite(r["value"]) for r in report.metrics.collect())
+    kept = keep_real_comments(view).count() + 2
+    shares = report.distribution.collect()
+    assert sum(r["comments"] for r in shares) == kept and max(r["high"] for r in shares) == 2**31
+
+
+def test_random_split_of_an_experiment(spark, sf, lexicon):
+    rows = prepare_rows(comments(spark, sf), Options(split="random", lexicon=lexicon))
+    share = rows.where(F.col("part") == "train").count() / rows.count()
+    assert 0.6 < share < 0.8
+
+
+@pytest.mark.parametrize("reg", [0.0, 8.0])
+def test_all_communities_at_once_equal_single_fits(spark, sf, lexicon, reg):
+    view = comments(spark, sf).where("subreddit in ('src0', 'src1', 'src2')")
+    got = {(r["subreddit"], r["metric"]): r["value"] for r in linear_per_community(view, lexicon, reg).collect()}
+    for name in ("src0", "src1", "src2"):
+        rows = prepare_rows(one_community(view, name), Options())
+        fitted = feature_plan("metadata", lexicon=lexicon, tokenized=True).fit(rows)
+        featured = fitted.transform(rows).select("part", "score_double", vector_to_array("features").alias("x")).collect()
+        x, y = np.array([r["x"] for r in featured]), np.array([r["score_double"] for r in featured])
+        train = np.array([r["part"] == "train" for r in featured])
+        mean, sd = x[train].mean(axis=0), x[train].std(axis=0)
+        used = sd > 0
+        z = (x[:, used] - mean[used]) / sd[used]
+        gram = z[train].T @ z[train] / train.sum() + reg / y[train].std() * np.eye(used.sum())
+        slopes = np.linalg.pinv(gram, rcond=1e-10) @ (z[train].T @ (y[train] - y[train].mean()) / train.sum())
+        errors = (y - y[train].mean() - z @ slopes) ** 2
+        for metric, part in (("train_rmse", train), ("test_rmse", ~train)):
+            assert math.isclose(got[name, metric], math.sqrt(errors[part].mean()), rel_tol=1e-5, abs_tol=1e-6)
+
+
+def test_ridge_per_community_is_sparks(spark):
+    _, _, df = points(spark)
+    rows = df.select(F.lit("g").alias("g"), F.col("score_double").alias("y"), vector_to_array("features").alias("x"))
+    ours, model = solve_by_group(rows, ["g"], 2.0).first(), models.fit_linear(df, 2.0)
+    np.testing.assert_allclose(ours["weights"], model.coefficients.toArray(), rtol=1e-8)
+    assert math.isclose(ours["intercept"], model.intercept, rel_tol=1e-8)
 
 
-def test_limit(spark, sf):
-    data = prepare(comments(spark, sf), "metadata", False, Options(limit=50, valences=SMALL_LEXICON))
+def test_limit(spark, sf, lexicon):
+    options = Options(limit=50, lexicon=lexicon)
+    data = prepare(prepare_rows(comments(spark, sf), options), "metadata", False, options)
     assert data.featured.count() == 50
 
 
-def test_explained_weights(spark, sf):
+def test_explained_weights(spark, sf, lexicon):
     view = comments(spark, sf)
-    rows = explain_experiment(view, plan="metadata", mode="ridge", regs=(0.0, 8.0), valences=SMALL_LEXICON)
+    rows = explain_experiment(view, plan="metadata", mode="ridge", regs=(0.0, 8.0), lexicon=lexicon)
     assert {row["side"] for row in rows.collect()} == {"top", "bottom"}
     assert rows.count() == 20
-    assert explain_experiment(view, plan="metadata", mode="forest", valences=SMALL_LEXICON) is None
+    assert explain_experiment(view, plan="metadata", mode="forest", lexicon=lexicon).count() == 0
+    arms = explain_experiment(view, plan="bin_class", reg_param=0.125, lexicon=lexicon)
+    assert {row["mode"] for row in arms.collect()} == {"binary", "logistic"}
 
 
 def test_last_and_first_predictions(spark):

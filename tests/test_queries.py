@@ -5,10 +5,10 @@ from oracle_check import compare, connect
 from pyspark.ml.feature import StopWordsRemover
 
 import __spark_entry__ as entry
+from scorelens import oracle, queries
 from scorelens.oracle import STOP_WORDS
 
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
-SLOW = {"experiment_multi_class", "experiment_bin_class", "experiment_all"}
+QUERIES, TWINS = queries.ALL, oracle.ALL
 
 
 @pytest.fixture(scope="module")
@@ -29,10 +29,14 @@ def test_query_equals_its_twin(spark, sf, con, name):
     assert compare(QUERIES[name], TWINS[name], spark, con, sf) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(TWINS) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(TWINS)))
 def test_other_queries_run(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_entry_registers_them():
+    assert QUERIES.items() <= entry.queries().items() and TWINS.items() <= entry.oracle_sql().items()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

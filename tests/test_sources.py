@@ -14,7 +14,7 @@ def test_json_lines_with_missing_fields(spark, tmp_path):
     (tmp_path / "c.json").write_text("\n".join(lines))
     rows = readers.read_json_comments(spark, str(tmp_path)).orderBy("id").collect()
     assert [row.asDict()["score"] for row in rows] == ["3", None]
-    assert list(rows[0].asDict()) == readers.COMMENT_COLUMNS
+    assert list(rows[0].asDict()) == list(readers.COMMENT_COLUMNS)
 
 
 def test_csv_with_quoted_lines(spark, tmp_path):
@@ -27,14 +27,14 @@ def test_parquet_table_becomes_thirteen_text_columns(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([(7, "x", 3.0)], "ID bigint, body string, score double").write.parquet(path)
     table = readers.read_table_comments(spark, path)
-    assert table.columns == readers.COMMENT_COLUMNS
+    assert table.columns == list(readers.COMMENT_COLUMNS)
     assert set(dict(table.dtypes).values()) == {"string"}
     row = table.first()
     assert (row["id"], row["score"], row["author"]) == ("7", "3.0", None)
 
 
 def test_lexicon_lines(spark, tmp_path):
-    lines = ["good\t2", "no valence", "bad\t-3", "three\t1\t2", "does not work\t-1", "good\t4"]
+    lines = ["good\t2", "no valence", "odd\tx", "bad\t-3", "three\t1\t2", "does not work\t-1", "good\t4"]
     (tmp_path / "lex.txt").write_text("\n".join(lines))
     entries = readers.read_lexicon(spark, str(tmp_path / "lex.txt")).collect()
     assert {row["word"]: row["valence"] for row in entries} == {"good": 4, "bad": -3, "does not work": -1}
@@ -69,10 +69,14 @@ def test_comment_view(spark, sf):
     assert view.count() == 200
 
 
-def test_large_tables_are_not_repartitioned(spark):
-    many = spark.range(0, 1000, 1, 64)
-    assert readers.spread(many, "id") is many
-    assert readers.spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == 4
+def test_a_document_without_an_event_counts_as_loaded(spark, sf, tmp_path):
+    for name in ("documents", "events", "pages"):
+        table = spark.read.parquet(f"{sf}/{name}.parquet")
+        if name == "events":
+            table = table.where("event_id <> 7")
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    view = comments(spark, str(tmp_path))
+    assert view.count() == 200 and view.where("author is null").count() == 1
 
 
 class _Conf:
@@ -91,5 +95,6 @@ class _Session:
 def test_scratch_folder_is_the_one_the_cluster_names():
     named = _Session(spark_master="spark://host", spark_checkpoint_dir="hdfs://shared/tmp")
     assert session.shared_folder(named) == "hdfs://shared/tmp"
-    with pytest.raises(ValueError):
-        session.shared_folder(_Session(spark_master="spark://host"))
+    for master in ("spark://host", "local-cluster[2,1,1024]", ""):
+        with pytest.raises(ValueError):
+            session.shared_folder(_Session(spark_master=master))

@@ -79,9 +79,18 @@ def test_counts_of_blank_and_empty_bodies(spark):
 
 
 def test_links(spark):
-    none = "Papers list authors by name. That is 98% of them; see page 3.\n\n&gt;Hours? Years!"
-    two = "ask at https://forum.example.com or http://qa.example.org/a?b=c#d and find out!"
-    assert one_by_one(spark, [none, two, ""], text.link_count(F.col("body"))) == [0, 2, 0]
+    cases = {
+        "no address at all": 0,
+        "http://one.test": 1,
+        "(https://in.brackets.net), [http://xy.org/p]": 2,
+        "https://ab.io:8443/path?q=1&r=%20#frag": 1,
+        "HTTP://UPPER.EXAMPLE.COM and Http://mixed.com": 0,
+        "http://nodomain and http://x.c and https://": 0,
+        "http://same.org http://same.org http://same.org": 3,
+        "ftp://files.example.org www.example.org": 0,
+        "": 0,
+    }
+    assert one_by_one(spark, list(cases), text.link_count(F.col("body"))) == list(cases.values())
 
 
 def test_punctuation_and_spaces(spark):
@@ -124,11 +133,14 @@ def test_log_buckets_are_bit_lengths(spark):
 
 
 def test_bucket_ranges(spark):
-    df = spark.createDataFrame([(0.0,), (1.0,), (4.0,)], "b double")
+    df = spark.createDataFrame([(0.0,), (1.0,), (4.0,), (31.0,), (1000.0,)], "b double")
     got = df.select(scores.bucket_low(F.col("b")), scores.bucket_high(F.col("b"))).collect()
-    assert [tuple(row) for row in got] == [(-1, -1), (1, 2), (8, 16)]
+    largest = 2**63 - 1
+    assert [tuple(row) for row in got] == [(-1, -1), (1, 2), (8, 16), (2**30, 2**31), (largest, largest)]
 
 
 def test_scores_that_are_no_numbers(spark):
-    df = spark.createDataFrame([("3",), ("x",), (None,), ("-2.5",)], "s string")
-    assert [row[0] for row in df.select(scores.score_double(F.col("s"))).collect()] == [3.0, None, None, -2.5]
+    texts = ["3", "x", None, "-2.5", "NaN", "Infinity", "-Infinity", "1e400"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [row[0] for row in df.select(scores.score_double(F.col("s"))).collect()]
+    assert got == [3.0, None, None, -2.5, None, None, None, None]
