@@ -137,7 +137,11 @@ TABLES = {
     "murmur_a": "SELECT term, xor(h, n) AS h FROM murmur_state",
     "murmur_b": "SELECT term, (xor(h, h // 65536) * 2246822507) % 4294967296 AS h FROM murmur_a",
     "murmur_c": "SELECT term, (xor(h, h // 8192) * 3266489909) % 4294967296 AS h FROM murmur_b",
-    "hashed_terms": f"SELECT term, (xor(h, h // 65536) % {HASH_BUCKETS})::integer AS slot FROM murmur_c",
+    "murmur_d": "SELECT term, xor(h, h // 65536)::bigint AS h FROM murmur_c",
+    # The hash is a signed number; its remainder is taken so that it is not negative.
+    "hashed_terms": f"""
+        SELECT term, (((h - CASE WHEN h >= 2147483648 THEN 4294967296 ELSE 0 END) % {HASH_BUCKETS} + {HASH_BUCKETS})
+            % {HASH_BUCKETS})::integer AS slot FROM murmur_d""",
     "hashed_tf": """
         SELECT id, slot, count(*)::double AS value FROM token_rows JOIN hashed_terms USING (term)
         GROUP BY id, slot""",
