@@ -280,8 +280,24 @@ SHARES = """
            count(*) FILTER (label = prediction) / count(*)::double AS accuracy FROM """
 
 
-def _bayes_guesses(labelled: str, by: str) -> str:
-    """(group, label, prediction) of the test rows; one fit per group."""
+def _arm_metrics(mode: str, guesses: str, labelled: str) -> str:
+    """The metric rows of one naive Bayes arm."""
+    metric = f"SELECT 'words' AS plan, '{mode}' AS mode, 0.0::double AS reg_param,"
+    return f"""
+        {metric} 'test_accuracy' AS metric,
+               round(count(*) FILTER (label = prediction) / count(*)::double, 9) AS value
+        FROM ({guesses})
+        UNION ALL
+        {metric} 'majority_share', round(max(n) / sum(n)::double, 9)
+        FROM (SELECT label, count(*) AS n FROM {labelled} GROUP BY label)"""
+
+
+def _bayes_guesses(labelled: str, by: str, out: str = "") -> str:
+    """Accuracy (per group) from one fit per group, or what `out` selects from the test rows' guesses."""
+    out = out or f"""
+        SELECT {by} count(*) AS "rows", count(*) FILTER (label = prediction) AS "right",
+               count(*) FILTER (label = prediction) / count(*)::double AS accuracy
+        FROM guesses GROUP BY grp"""
     return f"""
         WITH labels AS MATERIALIZED ({labelled}),
         r AS MATERIALIZED (SELECT l.id, l.label, l.grp, part FROM labels l JOIN parts p ON l.id = p.id),
@@ -304,9 +320,7 @@ def _bayes_guesses(labelled: str, by: str) -> str:
                     FROM r JOIN prior p ON p.grp = r.grp
                     LEFT JOIN added a ON a.id = r.id AND a.label = p.label
                     WHERE part = 'test' GROUP BY r.id, r.grp)
-        SELECT {by} count(*) AS "rows", count(*) FILTER (label = prediction) AS "right",
-               count(*) FILTER (label = prediction) / count(*)::double AS accuracy
-        FROM guesses GROUP BY grp"""
+        {out}"""
 
 
 REG_ROWS = ", ".join(f"({reg!r}::double)" for reg in REG_GRID)
@@ -471,6 +485,29 @@ QUERIES = {
         SELECT reg_param, round(sqrt(avg(error ** 2) FILTER (part = 'train')), 6) AS train_rmse,
                round(sqrt(avg(error ** 2) FILTER (part = 'test')), 6) AS test_rmse
         FROM errors GROUP BY reg_param""",
+    # Moments of one feature for a part of the rows give the slope under any penalty.
+    "ridge_one_feature": f"""
+        WITH tuned AS (
+            SELECT *, ('0x' || substr(md5('tuning-' || cast(id AS varchar)), 1, 8))::bigint % 100 < 80 AS fits
+            FROM points WHERE part = 'train'),
+        fitted AS (SELECT avg(y) AS my, avg(x1) AS m1, stddev_pop(y) AS sy, var_pop(x1) AS v1,
+                        covar_pop(y, x1) AS c1 FROM tuned WHERE fits),
+        judged AS (
+            SELECT reg_param, sqrt(avg((y - (my + c1 / v1 / (1 + reg_param / sy) * (x1 - m1))) ** 2)) AS tuning_rmse
+            FROM tuned, fitted, (VALUES {REG_ROWS}) AS regs(reg_param) WHERE NOT fits GROUP BY reg_param),
+        best AS (SELECT arg_min(reg_param, tuning_rmse) AS reg FROM judged),
+        tested AS (
+            SELECT sqrt(avg((y - (my + c1 / v1 / (1 + reg / sy) * (x1 - m1))) ** 2)) AS test_rmse
+            FROM points, moments, best WHERE part = 'test')
+        SELECT reg_param, round(tuning_rmse, 6) AS tuning_rmse, reg_param = reg AS chosen,
+               CASE WHEN reg_param = reg THEN round(test_rmse, 6) END AS test_rmse
+        FROM judged, best, tested""",
+    "experiment_binary": _arm_metrics("binary", "SELECT label, prediction FROM nb_guesses", "labelled"),
+    "experiment_bayes": _arm_metrics(
+        "bayes",
+        _bayes_guesses("SELECT id, label, 0 AS grp FROM bucketed", "", "SELECT label, prediction FROM guesses"),
+        "bucketed",
+    ),
     "prediction_sample": """
         SELECT p.id, k.body, array_to_string(t.words, '|') AS words, y AS score_double,
                round(prediction, 6) AS prediction, round((y - prediction) ** 2, 4) AS sq_err

@@ -455,6 +455,21 @@ def reg_path_one_feature(spark, sf):
     )
 
 
+def ridge_one_feature(spark, sf):
+    """Validation error of every penalty, and the error of the chosen one, fitted on all training rows."""
+    train, test = _parts(_linear_frame(spark, sf, LINEAR_FEATURES[:1]))
+    tuned = models.fit_ridge(train)
+    error = models.rmse(tuned.model, test)
+    rows = [(reg, metric, reg == tuned.reg_param, error) for reg, metric in zip(models.REG_GRID, tuned.metrics)]
+    found = spark.createDataFrame(rows, "reg_param double, tuning_rmse double, chosen boolean, test_rmse double")
+    return found.select(
+        "reg_param",
+        F.round("tuning_rmse", 6).alias("tuning_rmse"),
+        "chosen",
+        F.when(F.col("chosen"), F.round("test_rmse", 6)).alias("test_rmse"),
+    )
+
+
 def prediction_sample(spark, sf):
     train, test = _parts(_linear_frame(spark, sf))
     sample = evaluate.prediction_sample(models.fit_linear(train).transform(test))
@@ -479,6 +494,10 @@ def _experiment(**options):
     return query
 
 
+def _rounded(query):
+    return lambda spark, sf: query(spark, sf).withColumn("value", F.round("value", 9))
+
+
 def experiment_per_community(spark, sf):
     """Linear regression on metadata for every community of the table, all in the same jobs."""
     return linear_per_community(comments(spark, sf), _lexicon(spark), reg_param=8.0)
@@ -559,6 +578,7 @@ ALL = {
         sgd_errors,
         linear_weights,
         reg_path_one_feature,
+        ridge_one_feature,
         prediction_sample,
         last_predictions,
         experiment_per_community,
@@ -581,6 +601,8 @@ ALL = {
     "forest_metadata": _experiment(plan="metadata", mode="forest"),
     "sgd_metadata": _experiment(plan="metadata", mode="sgd"),
     "linear_pca": _experiment(plan="pca", mode="linear", buckets=10, pca_vocabulary=PCA_TERMS),
+    "experiment_binary": _rounded(_experiment(mode="binary")),
+    "experiment_bayes": _rounded(_experiment(mode="bayes")),
     "experiment_all": _experiment(plan="all", mode="linear", reg_param=8.0),
     "experiment_bin_class": _experiment(plan="bin_class", reg_param=0.125),
     "experiment_multi_class": _experiment(plan="multi_class", reg_param=1.0),
