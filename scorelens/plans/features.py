@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     IDF,
-    PCA,
     CountVectorizerModel,
     HashingTF,
     OneHotEncoder,
@@ -27,6 +26,7 @@ from scorelens.plans.stages import (
     RecordFeatures,
     ScoreLabeler,
     ScoreLabelerModel,
+    TermPCA,
     VocabularyCounter,
 )
 from scorelens.session import write_once
@@ -37,9 +37,8 @@ DEFAULT_BUCKETS = 50_000
 WORDS_ONLY_VOCABULARY = 2**18
 ALL_TERMS = 2**31 - 1
 
-# PCA needs a dense vocabulary x vocabulary matrix on the driver, 8 bytes a
-# cell; 4,000 terms take 128 MB. Spark itself stops at 65,535.
-PCA_VOCABULARY = 4_000
+# Fixed value: the vocabulary of the component plan.
+PCA_VOCABULARY = 50_000
 
 # The slots of each plan, in order, and the names of the plans.
 METADATA = ["chars_count", "avg_word_length", "link_count", "words_count", "hour_encoded", "sentiment"]
@@ -114,7 +113,7 @@ def feature_plan(
             [
                 stop,
                 bag(pca_vocabulary),
-                PCA(k=buckets, inputCol="words_features", outputCol="words_reduced"),
+                TermPCA(k=buckets, inputCol="words_features", outputCol="words_reduced"),
             ],
             ["words_reduced", *every],
         ),

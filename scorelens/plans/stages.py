@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark import SparkContext, keyword_only
 from pyspark.ml import Estimator, Model, Transformer
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import CountVectorizerModel, PCAModel
+from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from scorelens.functions import scores, text
 from scorelens.operators.lexicon import with_lexicon_words, with_sentiment
+from scorelens.operators.pca import principal_components
 from scorelens.operators.quantile import upper_quartile
 from scorelens.operators.vocabulary import term_uses, top_terms
 from scorelens.session import settle
@@ -188,6 +191,45 @@ class VocabularyCounter(
         return _count_model(terms, self.getInputCol(), self.getOutputCol())
 
 
+def _pca_model(loadings, shares, input_column: str, output_column: str) -> PCAModel:
+    """Spark's PCAModel from loadings that were found elsewhere; the library has no public constructor for it."""
+    sc = SparkContext._active_spark_context
+    matrix = DenseMatrix(loadings.shape[0], loadings.shape[1], loadings.ravel(order="F").tolist())
+    made = PCAModel._new_java_obj(
+        "org.apache.spark.ml.feature.PCAModel",
+        PCAModel().uid,
+        _py2java(sc, matrix),
+        _py2java(sc, DenseVector(shares)),
+    )
+    model = PCAModel(made)
+    model._resetUid(made.uid())
+    return model._set(inputCol=input_column, outputCol=output_column, k=loadings.shape[1])
+
+
+class TermPCA(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Principal components by subspace iteration; fits to Spark's `PCAModel`.
+
+    Takes vocabularies that Spark's own fit, a dense slots x slots matrix on the
+    driver, can't.
+    """
+
+    k = Param(Params._dummy(), "k", "components", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol: str = "words_features", outputCol: str = "words_reduced", k: int = 10):
+        super().__init__()
+        self._setDefault(inputCol="words_features", outputCol="words_reduced", k=10)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> PCAModel:
+        vector = self.getInputCol()
+        width = dataset.select(F.unwrap_udt(vector).alias("v")).select(
+            F.coalesce("v.size", F.size("v.values"))
+        ).first()[0]
+        loadings, shares = principal_components(dataset, vector, width, min(width, self.getOrDefault(self.k)))
+        return _pca_model(loadings, shares, vector, self.getOutputCol())
+
+
 class _LabelParams(HasInputCol, HasOutputCol):
     binary = Param(Params._dummy(), "binary", "quartile label, not log bucket", TypeConverters.toBoolean)
 

@@ -41,7 +41,7 @@ TOP_SCORES = 5
 VOCABULARY = DEFAULT_BUCKETS
 HASH_BUCKETS = DEFAULT_BUCKETS
 LARGE_LEXICON = 25_000
-PCA_TERMS = 1000
+COMPONENTS = 10
 LINEAR_FEATURES = ("words_count", "link_count")
 
 
@@ -283,7 +283,7 @@ def _plan_slots(kind: str, vector: str = "features", buckets: int | None = DEFAU
 
 def features_pca(spark, sf):
     rows = settle(CommentTokenizer().transform(_real(spark, sf)), "tokenized")
-    plan = feature_plan("pca", buckets=10, pca_vocabulary=PCA_TERMS, lexicon=_lexicon(spark), tokenized=True)
+    plan = feature_plan("pca", buckets=COMPONENTS, lexicon=_lexicon(spark), tokenized=True)
     return _slots(fit_features(rows, plan).transform(rows), "features")
 
 
@@ -600,7 +600,7 @@ ALL = {
     "reg_path_bag": _experiment(plan="bag", mode="reg"),
     "forest_metadata": _experiment(plan="metadata", mode="forest"),
     "sgd_metadata": _experiment(plan="metadata", mode="sgd"),
-    "linear_pca": _experiment(plan="pca", mode="linear", buckets=10, pca_vocabulary=PCA_TERMS),
+    "linear_pca": _experiment(plan="pca", mode="linear", buckets=COMPONENTS),
     "experiment_binary": _rounded(_experiment(mode="binary")),
     "experiment_bayes": _rounded(_experiment(mode="bayes")),
     "experiment_all": _experiment(plan="all", mode="linear", reg_param=8.0),

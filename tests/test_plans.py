@@ -3,8 +3,9 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from scorelens.operators import bayes, evaluate, splits
@@ -24,7 +25,7 @@ from scorelens.plans.experiments import (
     run_experiment,
 )
 from scorelens.plans.features import PLANS, feature_plan, fit_features
-from scorelens.plans.stages import CommentFeatures, CommentTokenizer, ScoreLabeler, VocabularyCounter
+from scorelens.plans.stages import CommentFeatures, CommentTokenizer, ScoreLabeler, TermPCA, VocabularyCounter
 from scorelens.session import write_once
 from scorelens.sources.readers import lexicon_frame, read_json_comments
 from scorelens.sources.tables import SMALL_LEXICON, comments
@@ -155,6 +156,22 @@ def test_ridge_closed_form(spark, reg):
     np.testing.assert_allclose(model.coefficients.toArray(), expected, rtol=1e-8)
 
 
+def test_components_are_those_of_the_covariance(spark):
+    draw = np.random.default_rng(8)
+    x = draw.poisson(0.4, size=(300, 25)) * draw.uniform(0.2, 4, 25)
+    x[:20] = 0
+    rows = [(i, Vectors.sparse(25, {int(j): float(r[j]) for j in np.flatnonzero(r)})) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ["id", "words_features"]).repartition(3)
+    ours, theirs = TermPCA(k=4).fit(df), PCA(k=4, inputCol="words_features", outputCol="p").fit(df)
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    np.testing.assert_allclose(ours.explainedVariance.toArray(), values[:4] / values.sum(), rtol=1e-6)
+    np.testing.assert_allclose(ours.explainedVariance.toArray(), theirs.explainedVariance.toArray(), rtol=1e-6)
+    a, b = ours.pc.toArray(), theirs.pc.toArray()
+    np.testing.assert_allclose(np.abs((a * b).sum(axis=0)), 1, atol=1e-5)
+    got = np.array([r["words_reduced"].toArray() for r in ours.transform(df).orderBy("id").collect()])
+    np.testing.assert_allclose(got, x @ a, atol=1e-9)
+
+
 def test_iterative_fit_reaches_least_squares(spark):
     _, _, df = points(spark)
     exact, steps = models.fit_linear(df), models.fit_iterative_linear(df)
