@@ -30,6 +30,7 @@ KEPT_WORDS = 500_000
 WORDS_PER_CALL = 1000
 # ASCII punctuation; after an ASCII letter or digit and before a blank it is a token run of its own.
 PUNCTUATION = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+ALPHANUMERIC = b"0123456789abcdefghijklmnopqrstuvwxyz"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
@@ -60,7 +61,7 @@ class WordIds:
         parts = {}
         for word in found:
             core = word.rstrip(PUNCTUATION)
-            cut = len(core) if core and core[-1] < 128 else len(word)
+            cut = len(core) if core[-1:] in ALPHANUMERIC and core else len(word)
             parts[word] = word[:cut], word[cut:]
         letters, other = [], []
         for part in {p for pair in parts.values() for p in pair}.difference(self.known):
