@@ -80,6 +80,12 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
+def _for_likeness(fingerprint: Column) -> Column:
+    """A fingerprint without the levels that likeness() doesn't read."""
+    part = lambda level: F.split_part(fingerprint, F.lit("/"), F.lit(level))
+    return F.concat_ws("/", part(1), F.lit(""), F.lit(""), part(4), part(5))
+
+
 def changed_paragraphs(a: Column, b: Column) -> Column:
     """Numbers (from 0) of the paragraphs of the second fingerprint that the first one lacks."""
     x, y = _level(a, 3), _level(b, 3)
@@ -115,14 +121,16 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     """Per row: its fingerprint, that of its edited text, and how alike it is to that and to the next document.
 
     The edited text has the last quarter replaced by the beginning of the next
-    document, by ascending doc_id; null ids come first and texts of one id go
-    by a hash. Rows equal in id and text are one place in that order. A text
+    document, by ascending doc_id; null ids come first (the smallest bigint
+    counts as null) and texts of one id go by a hash. Rows equal in id and text are one place in that order. A text
     alone in its table is its own next one; null texts count as empty.
     """
+    # Both joins below read the same columns, so that Spark moves the texts once.
     rows = only(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FIRST_ID)).alias("place"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows = rows.withColumn("place", F.coalesce("doc_id", F.lit(FIRST_ID))).withColumn("digest", F.xxhash64("text"))
+    rows = rows.withColumn("digest", F.xxhash64("text"))
     order = _successors(rows.select("place", "digest", F.length("text").alias("n_chars")))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     heads = (
@@ -139,14 +147,14 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
         .select(
             F.col("of_place").alias("place"),
             F.col("of_digest").alias("digest"),
-            F.struct(F.substring("text", F.lit(1), F.col("quarter")).alias("head"), fingerprint(F.col("text")).alias("next")).alias("from"),
+            F.struct(F.substring("text", F.lit(1), F.col("quarter")).alias("head"), _for_likeness(fingerprint(F.col("text"))).alias("next")).alias("from"),
         )
         .groupBy("place", "digest")
         .agg(F.first("from").alias("from"))
     )
     n_chars = F.length("text")
     both = rows.join(heads, ["place", "digest"]).select(
-        "doc_id",
+        F.when(F.col("place") != FIRST_ID, F.col("place")).alias("doc_id"),
         n_chars.cast("bigint").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), n_chars - F.floor(n_chars / 4).cast("int")), F.col("from.head")).alias("edited"),
         fingerprint(F.col("text")).alias("fingerprint"),
