@@ -11,7 +11,13 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, NaiveBayes, OneVsRest, OneVsRestModel
+from pyspark.ml.classification import (
+    LogisticRegression,
+    NaiveBayes,
+    NaiveBayesModel,
+    OneVsRest,
+    OneVsRestModel,
+)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -137,5 +143,32 @@ def tune_logistic(train: DataFrame, regs: Sequence[float] = REG_GRID) -> Tuned:
     return _tune(fit_logistic, judge, regs, train)
 
 
-def fit_naive_bayes(train: DataFrame):
-    return NaiveBayes(featuresCol="features", labelCol=BUCKET, modelType="multinomial").fit(train)
+@dataclass(frozen=True)
+class ClassBayes:
+    """A naive Bayes model and the label that each of its classes stands for."""
+
+    model: NaiveBayesModel
+    classes: tuple[float, ...]
+
+    @property
+    def theta(self):
+        return self.model.theta
+
+    @property
+    def pi(self):
+        return self.model.pi
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        labels = F.array(*map(F.lit, self.classes))
+        return self.model.transform(df).withColumn("prediction", F.get(labels, F.col("prediction").cast("int")))
+
+
+def fit_naive_bayes(train: DataFrame) -> ClassBayes:
+    """Multinomial naive Bayes. The library numbers the classes it sees, so a bucket
+    without training rows would shift the predictions; labels are numbered here.
+    """
+    classes = tuple(sorted(row[0] for row in train.select(BUCKET).distinct().collect()))
+    number = F.array_position(F.array(*map(F.lit, classes)), F.col(BUCKET)) - 1
+    numbered = train.withColumn(BUCKET, number.cast("double"))
+    model = NaiveBayes(featuresCol="features", labelCol=BUCKET, modelType="multinomial").fit(numbered)
+    return ClassBayes(model, classes)

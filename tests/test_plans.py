@@ -114,6 +114,13 @@ def test_closed_form_bayes_equals_spark_ml(spark, sf):
     assert ours == ml
 
 
+def test_bayes_of_buckets_with_gaps(spark):
+    rows = [(label, Vectors.dense(v)) for label, v in [(1.0, [9.0, 0, 0]), (4.0, [0, 9.0, 0]), (7.0, [0, 0, 9.0])] * 3]
+    df = spark.createDataFrame(rows, ["score_bucket", "features"])
+    got = models.fit_naive_bayes(df).transform(df).select("score_bucket", "prediction").distinct().collect()
+    assert sorted(map(tuple, got)) == [(1.0, 1.0), (4.0, 4.0), (7.0, 7.0)]
+
+
 def test_bayes_vocabulary_cap(spark, sf):
     rows = bayes_rows(comments(spark, sf), ["subreddit"]).cache()
     capped = bayes.fit(rows, by=["subreddit"], vocabulary=5)
