@@ -59,12 +59,32 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.remove_repeated(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    found = substrings.remove_repeated(_table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
 
 
 ALL = {
     f.__name__: f
     for f in (op1_licenses, op2_simhash, op3_quality, op4_packing, op5_decontamination, op6_merkle, op7_hmm, op8_pii, op9_sharding, op10_substrings)
 }
-ORACLE: dict[str, str] = {}
+# DuckDB twins. The others have none: hashes, models, tokens, seeded orders or checked spans are beyond its SQL.
+ORACLE = {
+    "op10_substrings": r"""
+        WITH texts AS MATERIALIZED (
+            SELECT row_number() OVER () AS row_no, doc_id,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM documents),
+        starts AS MATERIALIZED (
+            SELECT row_no, i, array_to_string(words[i : i + 34], ' ') AS run
+            FROM (SELECT row_no, words, unnest(range(1, len(words) - 33)) AS i FROM texts)),
+        repeated AS (SELECT run FROM starts GROUP BY run HAVING count(*) > 1),
+        covered AS (
+            SELECT DISTINCT row_no, unnest(range(i, i + 35)) AS place FROM starts SEMI JOIN repeated USING (run)),
+        kept AS (
+            SELECT row_no, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS words
+            FROM (SELECT row_no, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts)
+            ANTI JOIN covered USING (row_no, place) GROUP BY row_no)
+        SELECT doc_id, len(t.words) AS n_words, len(t.words) - coalesce(n, 0) AS n_removed,
+               sha256(coalesce(k.words, '')) AS kept_sha256
+        FROM texts t LEFT JOIN kept k USING (row_no)""",
+}
