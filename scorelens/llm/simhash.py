@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelens.llm import copies
 from scorelens.llm.components import components
 from scorelens.llm.texts import only, slices
 from scorelens.session import settle
@@ -140,19 +141,32 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """One row of each component of near-duplicates, columns unchanged.
+def keep_one(docs: DataFrame, size: int = copies.SHINGLE, least: float = copies.ALIKE) -> DataFrame:
+    """One row of each component of texts whose shingle sets have a Jaccard similarity of `least` or more, columns unchanged.
 
     The smallest doc_id stays; a null one only where there is no other, and of
     several texts under that id the one with the smallest hash. Of rows equal
     in id and text one stays. Texts without words are duplicates of each other.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
-    rows = settle(fingerprints(docs, size), "fingerprints")
-    fps = settle(rows.groupBy("fp").agg(first.alias("least")), "distinct-fingerprints")
-    least = _rooted(fps).groupBy("root").agg(F.min("least").alias("least"))
     place = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    stay = least.select(place(F.col("least.doc_id")).alias("keep_place"), F.col("least.digest").alias("keep_digest"))
+    names = [place(F.col("least.doc_id")).alias("keep_place"), F.col("least.digest").alias("keep_digest")]
+    rows = settle(copies.signatures(docs, size), "signatures")
+    nodes = rows.groupBy("name").agg(first.alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = settle(nodes.drop("name").withColumn("node", F.monotonically_increasing_id()), "different-texts")
+    named = only(docs, "doc_id", "text").select(
+        "text", place(F.col("doc_id").cast("bigint")).alias("keep_place"), F.xxhash64("text").alias("keep_digest")
+    )
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        wanted = nodes.join(wanted, "node").select("node", *names)
+        return named.join(wanted, ["keep_place", "keep_digest"]).select("node", "text").dropDuplicates(["node"])
+
+    links = copies.links(nodes, texts_of, size, least)
+    if links is not None:
+        roots = settle(components(links), "roots")
+        nodes = nodes.join(roots, "node", "left").withColumn("node", F.coalesce("root", "node"))
+    stay = nodes.groupBy("node").agg(F.min("least").alias("least")).select(*names)
     marked = docs.select(
         F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"),
         place(F.col("doc_id").cast("bigint")).alias("keep_place"),

@@ -1,0 +1,65 @@
+import random
+
+import corpus_pipeline as pipeline
+import pytest
+from conftest import frame, prose
+
+from scorelens.llm import copies
+from scorelens.llm.simhash import keep_one
+
+SF = "/root/testdata/sf0.001"
+
+
+def kept_by_brute_force(rows):
+    """Smallest id of each component, by the Jaccard similarity of all pairs."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for (d, _), r in zip(rows, root):
+        least[r] = min(least.get(r, d), d)
+    return sorted(least.values())
+
+
+def edited(text, count, seed):
+    rng, words = random.Random(seed), text.split()
+    for at in rng.sample(range(len(words)), count):
+        words[at] = f"new{at}"
+    return " ".join(words)
+
+
+def copied_rows():
+    rows = []
+    for group in range(8):
+        base = prose(200, f"base{group}")
+        rows += [(100 * group + n, edited(base, n, f"{group}/{n}")) for n in (0, 1, 2, 3, 4, 6, 12)]
+    return rows
+
+
+def test_edited_copies_go(spark):
+    rows = copied_rows()
+    assert sorted(r.doc_id for r in keep_one(frame(spark, rows)).collect()) == kept_by_brute_force(rows)
+
+
+@pytest.mark.parametrize("file", [2, 16])
+def test_large_groups_leave_one_row(spark, monkeypatch, file):
+    """Three large groups around a passage they share, and texts that hold it but are not alike."""
+    monkeypatch.setattr(copies.links, "__defaults__", (*copies.links.__defaults__[:-1], file))
+    passage = prose(100, "passage")
+    rows = [(1000 * g + n, edited(passage + " " + prose(60, f"g{g}"), n % 3, f"{g}/{n}")) for g in range(3) for n in range(40)]
+    rows += [(9000 + n, passage + " " + prose(60, f"other{n}")) for n in range(40)]
+    assert sorted(r.doc_id for r in keep_one(frame(spark, rows)).collect()) == kept_by_brute_force(rows)
+
+
+def test_the_stage_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    after = dict(pipeline.STAGES)["near_duplicates"](spark, docs, SF)
+    assert after.columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(r.doc_id for r in after.collect()) == kept_by_brute_force(rows)
