@@ -25,6 +25,7 @@ Q = 10
 EDIT_SHARE = 0.08
 BLOCK_BYTES = 4 << 20
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+OUTSIDE = b"\xff"  # in no UTF-8 text
 FILTER_BITS = 21
 MULTIPLIERS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -148,12 +149,12 @@ def matches(lines: list[bytes], items: Items, q: int = Q, share: float = EDIT_SH
         for x, i, b in key[:, count >= needed[key[1]]].T.tolist():
             e = int(edits[i])
             low = b * (e + 1) - e
-            start = max(0, low)
-            region = lines[x][start : low + int(sizes[i]) + 4 * e + 3]
+            # An item that lacks bytes where the line begins lies on diagonals under 0.
+            region = OUTSIDE * -low + lines[x][max(0, low) : max(0, low + int(sizes[i]) + 4 * e + 3)]
             found = aligned(items.lines[i], region, e, 4 * e + 3)
             if found:
                 errors, a, z = found
-                best[x, i] = min(best.get((x, i), (1 << 60, 0, 0)), (errors, start + a, start + z))
+                best[x, i] = min(best.get((x, i), (1 << 60, 0, 0)), (errors, max(0, low + a), max(0, low + z)))
     for i in items.short:
         padded = b" " + items.lines[i] + b" "
         for x, text in enumerate(lines):

@@ -95,3 +95,22 @@ def test_blocks_change_nothing(spark, monkeypatch):
     whole = sorted(map(tuple, d.contaminated(frame(spark, rows), benchmark(spark, ITEMS)).collect()))
     monkeypatch.setattr(d, "BLOCK_BYTES", 300)
     assert sorted(map(tuple, d.contaminated(frame(spark, rows), benchmark(spark, ITEMS)).collect())) == whole
+
+
+def test_items_that_lack_bytes_at_the_beginning_of_a_text(spark):
+    rows = []
+    for i, text in ITEMS[:6]:
+        middle = len(text) // 2
+        cut = [text[1:], text[3:], text[:20] + text[21:], text[:middle] + text[middle + 1 :], text[2:middle] + text[middle + 2 :]]
+        cut += [text[:-2], text[text.index(" ") + 1 :], text[:4] + text[9:], "z" + text[2:]]
+        for n, part in enumerate(cut):
+            rows += [(100 * i + 3 * n, part), (100 * i + 3 * n + 1, part + " " + prose(9, f"r{i}")), (100 * i + 3 * n + 2, prose(9, f"l{i}") + " " + part)]
+    got = d.contaminated(frame(spark, rows), benchmark(spark, ITEMS)).collect()
+    expected = brute(rows, ITEMS)
+    assert {(r.doc_id, r.item_id): r.edits for r in got} == expected and len(got) == len(expected) > 100
+    for r in got:
+        line = d.normalised(dict(rows)[r.doc_id].encode()).decode()
+        item = d.normalised(dict(ITEMS)[r.item_id].encode())
+        assert edit_distance_inside(item, line[r.start : r.end].encode()) == r.edits
+    kept = {r.doc_id for r in d.keep_clean(frame(spark, rows), benchmark(spark, ITEMS)).collect()}
+    assert kept == {i for i, _ in rows} - {i for i, _ in expected}
