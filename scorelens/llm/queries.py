@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.llm import decontaminate, hmm, licenses, merkle, packing, pii, quality, sharding, simhash, substrings
+from scorelens.llm import (
+    decontaminate,
+    hmm,
+    licenses,
+    merkle,
+    mixing,
+    packing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    substrings,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +75,25 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("kept", "kept_sha256")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 ALL = {
     f.__name__: f
-    for f in (op1_licenses, op2_simhash, op3_quality, op4_packing, op5_decontamination, op6_merkle, op7_hmm, op8_pii, op9_sharding, op10_substrings)
+    for f in (
+        op1_licenses,
+        op2_simhash,
+        op3_quality,
+        op4_packing,
+        op5_decontamination,
+        op6_merkle,
+        op7_hmm,
+        op8_pii,
+        op9_sharding,
+        op10_substrings,
+        op11_mixing,
+    )
 }
 # DuckDB twins. The others have none: hashes, models, tokens, seeded orders or checked spans are beyond its SQL.
 ORACLE = {
@@ -87,4 +115,53 @@ ORACLE = {
         SELECT doc_id, len(t.words) AS n_words, len(t.words) - coalesce(n, 0) AS n_removed,
                sha256(coalesce(k.words, '')) AS kept_sha256
         FROM texts t LEFT JOIN kept k USING (row_no)""",
+    "op11_mixing": rf"""
+        WITH RECURSIVE texts AS MATERIALIZED (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS size,
+                   md5(coalesce(text, '')) AS digest
+            FROM documents),
+        dealt AS (
+            SELECT *, (row_number() OVER (PARTITION BY doc_id, source, digest) - 1) // {mixing.COPIES} AS chunk FROM texts),
+        spotted AS (
+            SELECT *, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || digest || ':' || chunk || ':{mixing.SEED}'),
+                                      1, 12))::bigint AS spot
+            FROM dealt),
+        sources AS MATERIALIZED (
+            SELECT source, sum(size)::bigint AS source_size,
+                   {list(mixing.WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight
+            FROM texts GROUP BY source),
+        levels AS (
+            SELECT 0 AS round, 0.0::double AS level
+            UNION ALL
+            SELECT round + 1, coalesce(
+                (sum(source_size) * {mixing.SHARE_PERCENT}
+                 - coalesce(sum(source_size) FILTER (weight * level > {mixing.MOST} * source_size), 0) * {100 * mixing.MOST})::double
+                / (100 * sum(weight) FILTER (weight * level <= {mixing.MOST} * source_size))::double, 'inf')
+            FROM levels, sources WHERE round < 64 GROUP BY round, level),
+        seats AS MATERIALIZED (
+            SELECT *, source_size // {mixing.BLOCK} AS full_blocks, (source_size + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS blocks,
+                   floor(target / {mixing.BLOCK} + 0.5)::bigint AS quota,
+                   ('0x' || substr(md5('blocks:' || coalesce(source, '') || ':{mixing.SEED}'), 1, 12))::bigint
+                   % greatest(source_size // {mixing.BLOCK}, 1) AS shift
+            FROM (SELECT source, source_size, least(weight * level, {mixing.MOST}.0::double * source_size) AS target
+                  FROM sources, levels WHERE round = 64)),
+        placed AS MATERIALIZED (
+            SELECT t.doc_id, t.size, s.*, row_number() OVER () AS row_no,
+                   coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY spot % {mixing.ROWS}, spot // {mixing.ROWS} % {mixing.CELLS},
+                                            spot, digest, doc_id, chunk
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start
+            FROM spotted t JOIN seats s ON t.source IS NOT DISTINCT FROM s.source),
+        met AS (
+            SELECT row_no, start, size, quota, blocks, full_blocks, shift,
+                   unnest(range(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK} + 1)) AS block
+            FROM placed WHERE size > 0),
+        seated AS (
+            SELECT *, CASE WHEN block < full_blocks
+                      THEN ({mixing.PRIME}::hugeint * block + shift) % full_blocks ELSE full_blocks END AS seat
+            FROM met),
+        takes AS (
+            SELECT row_no, sum((least((block + 1) * {mixing.BLOCK}, start + size) - greatest(block * {mixing.BLOCK}, start))
+                               * ((seat < quota)::int + (seat + blocks < quota)::int))::bigint AS taken
+            FROM seated GROUP BY row_no)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN takes USING (row_no)""",
 }
