@@ -14,6 +14,7 @@ from scorelens.llm import (
     packing,
     pii,
     quality,
+    repair,
     sharding,
     simhash,
     substrings,
@@ -79,6 +80,10 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")), marked=True)
+
+
 ALL = {
     f.__name__: f
     for f in (
@@ -93,6 +98,7 @@ ALL = {
         op9_sharding,
         op10_substrings,
         op11_mixing,
+        op13_repair,
     )
 }
 # DuckDB twins. The others have none: hashes, models, tokens, seeded orders or checked spans are beyond its SQL.
