@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelens.llm import (
+    collocations,
     decontaminate,
     hmm,
     licenses,
@@ -80,6 +81,10 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")), marked=True)
 
@@ -98,6 +103,7 @@ ALL = {
         op9_sharding,
         op10_substrings,
         op11_mixing,
+        op12_collocations,
         op13_repair,
     )
 }
@@ -170,4 +176,41 @@ ORACLE = {
                                * ((seat < quota)::int + (seat + blocks < quota)::int))::bigint AS taken
             FROM seated GROUP BY row_no)
         SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN takes USING (row_no)""",
+    "op12_collocations": rf"""
+        WITH pieces AS (
+            SELECT coalesce(lang, '{collocations.UNKNOWN}') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), '{collocations.UPPER.decode()}', '{collocations.LOWER.decode()}'),
+                                             '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        texts AS MATERIALIZED (
+            SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces),
+        phrases AS MATERIALIZED (
+            SELECT lang, size, phrase, count(*) AS f
+            FROM (SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2),
+                                                           lambda i: array_to_string(words[i : i + size - 1], ' '))) AS phrase
+                  FROM texts, range(1, {collocations.LONGEST + 1}) AS sizes(size))
+            GROUP BY ALL),
+        totals AS (SELECT lang, sum(f)::bigint AS n FROM phrases WHERE size = 1 GROUP BY lang),
+        candidates AS MATERIALIZED (
+            SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM phrases
+            WHERE size > 1 AND f >= {collocations.LEAST}),
+        cuts AS (
+            SELECT lang, phrase, a, k, array_to_string(words[1:k], ' ') AS first_part, array_to_string(words[k + 1 :], ' ') AS rest
+            FROM candidates, range(1, {collocations.LONGEST}) AS ks(k) WHERE k < size),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, ({collocations.SCALE}::hugeint * c.a // (x.f + y.f))::bigint AS score
+            FROM cuts c JOIN phrases x ON x.lang = c.lang AND x.phrase = first_part
+            JOIN phrases y ON y.lang = c.lang AND y.phrase = rest),
+        lowest AS (
+            SELECT lang, phrase, a, min({{score: score, k: k, l: l, r: r}}) AS cut FROM scored GROUP BY ALL),
+        inside AS (
+            SELECT lang, array_to_string(words[i : i + n - 1], ' ') AS phrase, max(a) AS longer
+            FROM candidates, range(2, {collocations.LONGEST}) AS ns(n), range(1, {collocations.LONGEST}) AS ids(i)
+            WHERE n < size AND i + n - 1 <= size GROUP BY ALL),
+        ranked AS (
+            SELECT l.lang, row_number() OVER (PARTITION BY l.lang ORDER BY cut.score DESC, a DESC, l.phrase) AS rank, l.phrase, a,
+                   cut.l AS l, cut.r AS r, cut.score AS score
+            FROM lowest l LEFT JOIN inside i ON i.lang = l.lang AND i.phrase = l.phrase
+            WHERE longer IS NULL OR 100 * longer < {collocations.COVERED_PERCENT} * a)
+        SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals USING (lang) WHERE rank <= {collocations.TOP}""",
 }
