@@ -284,15 +284,25 @@ def expected_counts(lines: DataFrame, model: Model) -> Model:
     return Model(start, move.reshape(states, states), emit.reshape(states, symbols))
 
 
-def train(lines: DataFrame, symbols: int, states: int = STATES, rounds: int = ROUNDS) -> Model:
+def symbol_uses(lex: Lexicon) -> np.ndarray:
+    """How often each symbol stands in the rows that were counted: own symbols, then what is left of each class."""
+    uses = np.zeros(lex.size)
+    for word, i in lex.symbols.items():
+        uses[i] = lex.counts.get(word, 0)
+    uses[len(lex.symbols) :] = lex.class_uses
+    return uses
+
+
+def train(lines: DataFrame, uses: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all rows of `lines` (symbols); every round is one job over the written table.
 
+    `uses` are the symbols' counts in these rows.
+
     Documents are cut into stretches, each with its own start, for the passes
     only. Tables are smoothed towards the symbols' overall frequencies, so no
     symbol is impossible in a state.
     """
-    even = Model(np.ones(1), np.ones((1, 1)), np.full((1, symbols), 1 / symbols))
-    frequencies = expected_counts(lines, even).emit[0] + 0.5
+    frequencies = uses + 0.5
     frequencies /= frequencies.sum()
     model = first_model(frequencies, states)
     for _ in range(rounds):
@@ -353,7 +363,7 @@ def text_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
     counts = settle(word_counts(rows.where("not held_out")), "word-counts")
     lex = lexicon(counts)
     made = settle(encoded(rows, lex).withColumn("rid", F.monotonically_increasing_id()), "symbols")
-    model = train(made.where("not held_out"), lex.size, states, rounds)
+    model = train(made.where("not held_out"), symbol_uses(lex), states, rounds)
     spark = docs.sparkSession
     totals = spark.createDataFrame(
         [(i, float(u + w + 1)) for i, (u, w) in enumerate(zip(lex.class_uses, lex.class_words))],
