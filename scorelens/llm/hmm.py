@@ -163,7 +163,14 @@ def encoded(docs: DataFrame, lex: Lexicon) -> DataFrame:
             if word not in lex.symbols:
                 inside = math.log10((c + 1) / (lex.class_uses[kind] + lex.class_words[kind] + 1))
             shares[word] = math.log10((c + 1) / whole), inside
-        symbol = dict(lex.symbols)
+
+        class Symbols(dict):
+            """Frequent words are kept; the symbol of any other follows from its spelling."""
+
+            def __missing__(self, word: bytes) -> int:
+                return first + spelling_class(word)
+
+        symbol = Symbols(lex.symbols)
         symbol.update((w, first + spelling_class(w)) for w in lex.counts if w not in symbol)
         for batch in batches:
             ids, out_of_train = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -182,9 +189,7 @@ def encoded(docs: DataFrame, lex: Lexicon) -> DataFrame:
                         else:
                             kind = spelling_class(word)
                             rare.append({"word": word, "class": kind, "n": n})
-                    extra = {r["word"]: first + r["class"] for r in rare if r["word"] not in symbol}
-                    look = symbol if not extra else {**extra, **{w: symbol[w] for w in set(words) if w in symbol}}
-                    made = np.fromiter(map(look.__getitem__, words), "<u2", len(words)).tobytes()
+                    made = np.fromiter(map(symbol.__getitem__, words), "<u2", len(words)).tobytes()
                     rows.append((ids[i], out_of_train[i], made, len(words), known, base, inside, rare))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
