@@ -7,8 +7,8 @@ united by merging, a few dozen at a time, and their prefix weights are the count
 all phrases in the range. A candidate's parts are looked up in the automata of
 the parts' own ranges.
 
-Counts are exact. Two filters of a fixed size keep rare sequences out of the automata:
-one of words, one of pairs that occur `least` times. They may let a rare one pass,
+Counts are exact. Filters of a fixed size keep rare sequences out of the automata:
+of words, pairs and triples that occur `least` times. They may let a rare one pass,
 which its count then drops, and never hold a frequent one back.
 """
 
@@ -37,23 +37,29 @@ PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 PLAIN = bytes.maketrans(UPPER + PIECE_ENDS + b"\t", LOWER + b"\n" * len(PIECE_ENDS) + b" ")
 
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 23
 FILTER_BITS = 1 << 26
 BITMAP = 1 << 15
-PAIRS_PER_RANGE = 1 << 21
+GRAMS_PER_RANGE = 1 << 21
 WORDS_PER_RANGE = 1 << 20
-FAN = 64
+FAN = 512
+TOP_PARTS = 16
 SEED = 42
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shard:
-    """Texts of one language as word numbers (from 1, in byte order), 0 between pieces."""
+    """Texts of one language as word numbers (from 1, in byte order), 0 between pieces and behind the last one."""
 
-    def __init__(self, lang: str, texts: list[bytes]):
+    def __init__(self, lang: str, words: list[bytes], ids: np.ndarray):
         from xxhash import xxh64_intdigest
 
-        self.lang = lang
+        self.lang, self.words, self.ids = lang, words, ids.astype("int64")
+        self.width = len(words) + 1
+        self.base = xxh64_intdigest(lang.encode(), SEED)
+
+    @classmethod
+    def of_texts(cls, lang: str, texts: list[bytes]) -> Shard:
         raw = np.frombuffer(b"\n".join(texts).translate(PLAIN) + b"\n", "uint8")
         line_end = raw == 10
         inside = ~(line_end | (raw == 32))
@@ -64,20 +70,20 @@ class Shard:
             pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]
         ).dictionary_encode()
         order = pc.array_sort_indices(words.dictionary).to_numpy()
-        self.words: list[bytes] = words.dictionary.take(pa.array(order)).to_pylist()
-        number = np.empty(len(order) + 1, "int64")
+        number = np.empty(len(order) + 1, "int32")
         number[order] = np.arange(1, len(order) + 1)
-        ids = number[words.indices.to_numpy(zero_copy_only=False)]
-        piece = np.cumsum(line_end)[starts]
-        new = np.concatenate([[0], np.cumsum(np.diff(piece) > 0)]).astype("int64")[: len(ids)]
-        # Zeros behind the last word, so that the words after any place exist.
-        self.ids = np.zeros(len(ids) + (int(new[-1]) if len(ids) else 0) + LONGEST, "int64")
-        self.ids[np.arange(len(ids)) + new] = ids
-        self.base = xxh64_intdigest(lang.encode(), SEED)
+        piece = np.cumsum(line_end, dtype="int32")[starts]
+        new = np.concatenate([[0], np.cumsum(np.diff(piece) > 0)]).astype("int64")[: len(starts)]
+        ids = np.zeros(len(starts) + (int(new[-1]) if len(starts) else 0) + 2 * LONGEST, "int32")
+        ids[np.arange(len(starts)) + new] = number[words.indices.to_numpy(zero_copy_only=False)]
+        return cls(lang, words.dictionary.take(pa.array(order)).to_pylist(), ids)
 
-    @property
-    def width(self) -> int:
-        return len(self.words) + 1
+    @classmethod
+    def of_row(cls, lang: str, words: bytes, ids: bytes) -> Shard:
+        return cls(lang, words.split(b"\n") if words else [], np.frombuffer(ids, "int32"))
+
+    def row(self) -> tuple[str, bytes, bytes]:
+        return self.lang, b"\n".join(self.words), self.ids.astype("int32").tobytes()
 
     def hashes(self) -> np.ndarray:
         """Spark's xxhash64(lang, word) of every word, 0 for the gap before them."""
@@ -85,21 +91,44 @@ class Shard:
 
         return np.fromiter((0, *(xxh64_intdigest(w, self.base) for w in self.words)), "uint64", self.width)
 
-    def pairs(self, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where both of two neighbours are in the filter; the sorted numbers of the different pairs, and which of them stands there."""
-        held = passes(common, self.hashes())
+    def grams(self, filters: list[np.ndarray]) -> Iterator[Grams]:
+        """The runs of 2, 3, ... words whose parts pass the filters of shorter runs, one step per filter."""
+        word_hash = self.hashes()
+        held = passes(filters[0], word_hash)
         held[0] = False
         here = held[self.ids]
         at = np.flatnonzero(here[:-1] & here[1:])
-        keys, which = np.unique(self.ids[at] * self.width + self.ids[at + 1], return_inverse=True)
-        return at, keys, which
+        # Which word stands first is the run of one word before the pair.
+        found = Grams.of(at, self.ids[at], word_hash, self.ids[at + 1], word_hash, self.width)
+        yield found
+        for longer in filters[1:]:
+            good = passes(longer, found.hashes)[found.which]
+            at, which = found.at[good], found.which[good]
+            stands = np.zeros(len(self.ids), bool)
+            stands[at] = True
+            size = found.size
+            both = stands[at + 1]
+            at, which = at[both], which[both]
+            found = Grams.of(at, which, found.hashes, self.ids[at + size], word_hash, self.width, size + 1)
+            yield found
+
+
+class Grams:
+    """The runs of `size` words at the places `at`: `which` of the different ones, these in word order with `keys` and `hashes`.
+
+    A key is the rank of the run without its last word, times the width, plus the last word.
+    """
 
-    def pair_hashes(self, keys: np.ndarray) -> np.ndarray:
-        h = self.hashes()
-        first, second = h[keys // self.width], h[keys % self.width]
-        mixed = (first ^ (first >> np.uint64(29))) * MIX + second
+    def __init__(self, at: np.ndarray, which: np.ndarray, keys: np.ndarray, hashes: np.ndarray, size: int):
+        self.at, self.which, self.keys, self.hashes, self.size = at, which, keys, hashes, size
+
+    @classmethod
+    def of(cls, at, before, hashes_before, last, word_hash, width, size=2) -> Grams:
+        keys, which = np.unique(before * width + last, return_inverse=True)
+        mixed = hashes_before[keys // width]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX + word_hash[keys % width]
         mixed = (mixed ^ (mixed >> np.uint64(32))) * MIX
-        return mixed ^ (mixed >> np.uint64(29))
+        return cls(at, which, keys, mixed ^ (mixed >> np.uint64(29)), size)
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -119,9 +148,30 @@ def shards(batches: Iterable[pa.RecordBatch], size: int = SHARD_BYTES) -> Iterat
             while sum(sizes.values()) > size:
                 largest = max(sizes, key=sizes.__getitem__)
                 del sizes[largest]
-                yield Shard(largest, held.pop(largest))
+                yield Shard.of_texts(largest, held.pop(largest))
     for lang, texts in held.items():
-        yield Shard(lang, texts)
+        yield Shard.of_texts(lang, texts)
+
+
+def shard_table(docs: DataFrame, size: int = SHARD_BYTES) -> DataFrame:
+    """lang, shard (a number), words, ids: the texts, tokenised once and written."""
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
+    texts = only(docs, "lang", "text").select(lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, size):
+            values = zip(shard.row(), (pa.string(), pa.binary(), pa.binary()))
+            yield pa.record_batch([pa.array([v], t) for v, t in values], ["lang", "words", "ids"])
+
+    made = texts.mapInArrow(each, "lang string, words binary, ids binary")
+    return settle(made.withColumn("shard", F.monotonically_increasing_id()), "shards")
+
+
+def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Shard, int]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lang, words, ids, shard = (column[i].as_py() for column in batch.columns)
+            yield Shard.of_row(lang, words, ids), shard
 
 
 def bit_filter(slots: DataFrame, slot: Column) -> np.ndarray:
@@ -138,21 +188,16 @@ def bit_filter(slots: DataFrame, slot: Column) -> np.ndarray:
     return bits
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
-    return only(docs, "lang", "text").select(lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-
-
-def word_counts(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def word_counts(table: DataFrame) -> DataFrame:
     """lang, word, f of all words."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, shard_bytes):
+        for shard, _ in _read(batches):
             uses = np.bincount(shard.ids, minlength=shard.width)[1:]
             words = pa.array(shard.words, pa.binary()).cast(pa.string())
             yield pa.record_batch([pa.array([shard.lang] * len(words), pa.string()), words, pa.array(uses.astype("int64"))], ["lang", "word", "f"])
 
-    counted = texts.mapInArrow(each, "lang string, word string, f bigint")
+    counted = table.select("lang", "words", "ids", "shard").mapInArrow(each, "lang string, word string, f bigint")
     return settle(counted.groupBy("lang", "word").agg(F.sum("f").alias("f")), "words")
 
 
@@ -164,13 +209,13 @@ def _by_key(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[tup
     return ((key, (row[width:] for row in group)) for key, group in groupby(rows, key=lambda row: row[:width]))
 
 
-def frequent_pairs(texts: DataFrame, common, ranges: int, least: int, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
-    """The filter of the pairs that occur `least` times, by hash: shards send sorted hashes and counts, one array for each of the ranges."""
+def frequent_grams(table: DataFrame, filters: list, ranges: int, least: int) -> np.ndarray:
+    """The filter of the next longer runs that occur `least` times, by hash: shards send sorted hashes and counts, one array for each of the ranges."""
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, shard_bytes):
-            _, keys, which = shard.pairs(common.value)
-            hashes, counts = shard.pair_hashes(keys), np.bincount(which, minlength=len(keys)).astype("uint64")
+        for shard, _ in _read(batches):
+            *_, found = shard.grams([f.value for f in filters])
+            hashes, counts = found.hashes, np.bincount(found.which, minlength=len(found.keys)).astype("uint32")
             part = ((hashes >> np.uint64(32)) % np.uint64(ranges)).astype("int64")
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(ranges + 1))
@@ -183,13 +228,16 @@ def frequent_pairs(texts: DataFrame, common, ranges: int, least: int, shard_byte
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_key(batches, 1):
-            hashes, counts = (np.concatenate([np.frombuffer(b, "uint64") for b in column]) for column in zip(*rows))
+            rows = list(rows)
+            hashes = np.concatenate([np.frombuffer(h, "uint64") for h, _ in rows])
+            counts = np.concatenate([np.frombuffer(c, "uint32") for _, c in rows])
             values, which = np.unique(hashes, return_inverse=True)
             enough = np.bincount(which, counts.astype("float64")) >= least
             slots = (values[enough] % np.uint64(FILTER_BITS)).astype("int64")
             yield pa.record_batch([pa.array(slots)], ["slot"])
 
-    parts = texts.mapInArrow(counted, "part bigint, hashes binary, counts binary").repartition("part").sortWithinPartitions("part")
+    table = table.select("lang", "words", "ids", "shard")
+    parts = table.mapInArrow(counted, "part bigint, hashes binary, counts binary").repartition("part").sortWithinPartitions("part")
     return bit_filter(parts.mapInArrow(summed, "slot bigint"), F.col("slot"))
 
 
@@ -198,44 +246,47 @@ def range_of(lang: Column, first: Column, second: Column, ranges: int) -> Column
     return F.pmod(F.xxhash64(lang, first, second), F.lit(ranges))
 
 
-def shard_automata(shard: Shard, words: np.ndarray, pairs: np.ndarray, ranges: int) -> Iterator[tuple[int, int, bytes]]:
-    """(range, sequences, automaton) of the shard: from every place the longest run, up to LONGEST words, whose pairs all pass."""
+def shard_automata(shard: Shard, filters: list[np.ndarray], ranges: int) -> Iterator[tuple[int, bytes]]:
+    """(range, automaton) of the shard: from every place the longest run, of 2 to LONGEST words, whose parts all pass."""
     from xxhash import xxh64_intdigest
 
-    at, keys, which = shard.pairs(words)
-    good = passes(pairs, shard.pair_hashes(keys)) if len(keys) else np.zeros(0, bool)
-    stays = good[which]
-    at, pair = at[stays], which[stays]
-    starts = np.zeros(len(shard.ids) + LONGEST, bool)
-    starts[at] = True
-    ids, width = np.concatenate([shard.ids, np.zeros(LONGEST, "int64")]), shard.width
-    on = np.ones(len(at), bool)
+    width = shard.width
+    found = list(shard.grams(filters[:-1]))
+    pairs = found[0]
+    good = [passes(f, g.hashes)[g.which] for f, g in zip(filters[1:], found)]
+    at, pair = pairs.at[good[0]], pairs.which[good[0]]
     code, levels = pair, []
-    for step in range(1, LONGEST - 1):
-        on = on & starts[at + step]
-        level, code = np.unique(code * width + np.where(on, ids[at + step + 1], 0), return_inverse=True)
+    for step, (grams, passed) in enumerate(zip(found[1:], good[1:]), 1):
+        stands = np.zeros(len(shard.ids) + LONGEST, bool)
+        stands[grams.at[passed]] = True
+        more = stands[at]
+        level, code = np.unique(code * width + np.where(more, shard.ids[at + step + 1], 0), return_inverse=True)
         levels.append(level)
+    # The last word needs no filter of its own: both shorter runs in it pass.
+    more = more & stands[at + 1]
+    level, code = np.unique(code * width + np.where(more, shard.ids[at + LONGEST - 1], 0), return_inverse=True)
+    levels.append(level)
     counts = np.bincount(code) if len(code) else np.zeros(0, "int64")
     columns, rank = [], np.arange(len(counts))
     for level in reversed(levels):
         columns.append(level[rank] % width)
         rank = level[rank] // width
-    columns += [keys[rank] % width, keys[rank] // width]
-    columns = [c.tolist() for c in reversed(columns)]
+    columns += [pairs.keys[rank] % width, pairs.keys[rank] // width]
     named = [b"", *shard.words]
     hashed: dict[int, int] = {}
     for p in np.unique(rank).tolist():
-        first, second = named[int(keys[p]) // width], named[int(keys[p]) % width]
-        value = xxh64_intdigest(second, xxh64_intdigest(first, shard.base))
+        first, second = divmod(int(pairs.keys[p]), width)
+        value = xxh64_intdigest(named[second], xxh64_intdigest(named[first], shard.base))
         hashed[p] = (value - (1 << 64) if value >> 63 else value) % ranges
     part = np.array([hashed[p] for p in rank.tolist()], "int64")
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order], prepend=-1)).tolist() + [len(order)]
-    counts = counts.tolist()
+    size = sum((c > 0).astype("int64") for c in columns)[order].tolist()
+    words = [[named[w] for w in c[order].tolist()] for c in reversed(columns)]
+    sequences = [row[:n] for n, row in zip(size, zip(*words))]
+    counts, part = counts[order].tolist(), part[order].tolist()
     for low, high in zip(cuts, cuts[1:]):
-        mine = order[low:high].tolist()
-        sequences = ((tuple(named[c[i]] for c in columns if c[i]), counts[i]) for i in mine)
-        yield int(part[mine[0]]), high - low, transducers.build(sequences).dumps()
+        yield part[low], transducers.build(zip(sequences[low:high], counts[low:high])).dumps()
 
 
 def _united(batches: Iterable[pa.RecordBatch], width: int, use: Callable) -> Iterator:
@@ -243,28 +294,24 @@ def _united(batches: Iterable[pa.RecordBatch], width: int, use: Callable) -> Ite
         yield from use(key, transducers.union([transducers.Transducer.loads(blob) for (blob,) in rows]))
 
 
-def phrase_counts(texts: DataFrame, words: DataFrame, total: int, least: int = LEAST, fan: int = FAN, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, int]:
+def phrase_counts(table: DataFrame, words: DataFrame, total: int, least: int = LEAST, fan: int = FAN) -> tuple[DataFrame, DataFrame, int]:
     """(lang, phrase, f) of all phrases of two to LONGEST words that occur `least` times; the automata (lang, part, blob); the number of ranges."""
-    spark = texts.sparkSession
-    frequent = words.where(F.col("f") >= least)
-    common = spark.sparkContext.broadcast(bit_filter(frequent, _slot(F.xxhash64("lang", "word"))))
-    near = spark.sparkContext.broadcast(
-        frequent_pairs(texts, common, total // PAIRS_PER_RANGE + 1, least, shard_bytes)
-    )
+    send = table.sparkSession.sparkContext.broadcast
+    filters = [send(bit_filter(words.where(F.col("f") >= least), _slot(F.xxhash64("lang", "word"))))]
+    for _ in range(2, LONGEST):
+        filters.append(send(frequent_grams(table, filters, total // GRAMS_PER_RANGE + 1, least)))
     ranges = total // WORDS_PER_RANGE + 1
 
     def built(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        for number, shard in enumerate(shards(batches, shard_bytes)):
-            name = (TaskContext.get().partitionId() << 32) + number
-            for part, _, blob in shard_automata(shard, common.value, near.value, ranges):
+        for shard, name in _read(batches):
+            for part, blob in shard_automata(shard, [f.value for f in filters], ranges):
                 yield pa.record_batch(
                     [pa.array([shard.lang], pa.string()), pa.array([part], pa.int64()), pa.array([name], pa.int64()), pa.array([blob], pa.binary())],
                     ["lang", "part", "shard", "blob"],
                 )
 
-    found = settle(texts.mapInArrow(built, "lang string, part bigint, shard bigint, blob binary"), "shard-automata")
+    built_on = table.select("lang", "words", "ids", "shard")
+    found = settle(built_on.mapInArrow(built, "lang string, part bigint, shard bigint, blob binary"), "shard-automata")
     blocks = -(-found.agg(F.count_distinct("shard")).first()[0] // fan)
     key = ["lang", "part", "shard"]
     while blocks > 1:
@@ -374,11 +421,11 @@ def collocations(
     without such phrases gives no rows. Further columns are not looked at, and
     repeated rows count as often as they are there.
     """
-    texts = _texts(docs)
-    words = word_counts(texts, shard_bytes)
+    table = shard_table(docs, shard_bytes)
+    words = word_counts(table)
     totals = settle(words.groupBy("lang").agg(F.sum("f").alias("n")), "language-totals")
     total = totals.agg(F.sum("n")).first()[0] or 0
-    phrases, automata, ranges = phrase_counts(texts, words, total, least, fan, shard_bytes)
+    phrases, automata, ranges = phrase_counts(table, words, total, least, fan)
     parts = part_counts(phrases, words.where(F.col("f") >= least), automata, ranges)
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("f"))).alias(s)
     cuts = parts.groupBy("lang", "phrase", "a", "k").agg(side("l"), side("r"))
@@ -396,8 +443,11 @@ def collocations(
     covered = held.select("lang", "phrase", "longer").join(scored.select("lang", "phrase", "a"), ["lang", "phrase"])
     covered = covered.where(exact("longer") * 100 >= exact("a") * covered_percent).select("lang", "phrase")
     kept = scored.join(covered, ["lang", "phrase"], "left_anti")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # The best of a language are among the best of its TOP_PARTS parts, so no task ranks more than TOP_PARTS * top.
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    dealt = kept.withColumn("dealt", F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS)))
+    ranked = dealt.withColumn("rank", best("lang", "dealt")).where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", best("lang")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )

@@ -8,7 +8,6 @@ sequences that begin with it.
 
 from __future__ import annotations
 
-import heapq
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -30,30 +29,35 @@ class Builder:
         self.last: Words = ()
 
     def add(self, words: Words, count: int) -> None:
+        path, last = self.path, self.last
         common = 0
-        for a, b in zip(words, self.last):
+        for a, b in zip(words, last):
             if a != b:
                 break
             common += 1
-        self._close(common)
-        for _ in words[common:]:
-            self.path.append([0, []])
-        self.path[len(words)][0] += count
+        if len(last) > common:
+            self._close(common)
+        path.extend([0, []] for _ in range(len(words) - common))
+        path[-1][0] += count
         self.last = words
 
     def _close(self, depth: int) -> None:
-        while len(self.path) - 1 > depth:
-            ends, arcs = self.path.pop()
-            self.path[-1][1].append((self.last[len(self.path) - 1], self._state(ends, tuple(arcs))))
+        path, register = self.path, self.register
+        while len(path) - 1 > depth:
+            ends, arcs = path.pop()
+            key = (ends, tuple(arcs))
+            state = register.get(key)
+            if state is None:
+                state = self._state(*key)
+            path[-1][1].append((self.last[len(path) - 1], state))
 
     def _state(self, ends: int, arcs: tuple) -> int:
-        key = (ends, arcs)
-        found = self.register.get(key)
-        if found is None:
-            found = self.register[key] = len(self.ends)
+        found = self.register.setdefault((ends, arcs), len(self.ends))
+        if found == len(self.ends):
+            weights = self.weights
             self.ends.append(ends)
             self.arcs.append(arcs)
-            self.weights.append(ends + sum(self.weights[to] for _, to in arcs))
+            weights.append(ends + sum([weights[to] for _, to in arcs]))
         return found
 
     def finish(self) -> Transducer:
@@ -148,5 +152,9 @@ def build(sequences: Iterable[tuple[Words, int]]) -> Transducer:
 
 
 def union(parts: Iterable[Transducer]) -> Transducer:
-    """The automaton of the sums of all counts, from one merge of the sorted sequences."""
-    return build(heapq.merge(*(p.sequences() for p in parts)))
+    """The automaton of the sums of all counts. Sorting takes the parts' sorted sequences as runs and merges them."""
+    merged: list[tuple[Words, int]] = []
+    for part in parts:
+        merged.extend(part.sequences())
+    merged.sort()
+    return build(merged)

@@ -87,7 +87,7 @@ def test_few_ranks(spark):
 
 def test_many_prefix_ranges_and_full_filters(spark, monkeypatch):
     monkeypatch.setattr(collocations, "WORDS_PER_RANGE", 50)
-    monkeypatch.setattr(collocations, "PAIRS_PER_RANGE", 40)
+    monkeypatch.setattr(collocations, "GRAMS_PER_RANGE", 40)
     rows = noisy(150, "ranges")
     assert result(collocations.collocations(table(spark, rows), least=4)) == plain(rows, 4)
     monkeypatch.setattr(collocations, "passes", lambda bits, hashes: np.ones(len(hashes), bool))
