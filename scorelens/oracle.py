@@ -5,6 +5,8 @@ from __future__ import annotations
 from scorelens.functions.text import LINK, WORD_RUN
 from scorelens.plans.models import REG_GRID
 from scorelens.queries import (
+    BUCKET_REGS,
+    COMMUNITY_REG,
     HASH_BUCKETS,
     LARGE_LEXICON,
     LINEAR_FEATURES,
@@ -219,6 +221,8 @@ def _query(sql: str) -> str:
     ctes = [f"{name} AS MATERIALIZED ({TABLES[name].strip()})" for name in _needed(sql)]
     if not ctes:
         return sql
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + sql[15:]
     if sql.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + sql[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + sql
@@ -323,6 +327,34 @@ def _bayes_guesses(labelled: str, by: str, out: str = "") -> str:
         {out}"""
 
 
+def _newton(points: str, out: str, steps: int = 40) -> str:
+    """Logistic regression on one standardised feature for each grp of points (grp, y, x, reg), by full Newton steps.
+
+    `out` selects from fits (grp, rows, reg, intercept, weight), over the feature's own values.
+    """
+    return f"""
+        WITH RECURSIVE spread AS MATERIALIZED (
+            SELECT grp, reg, count(*) AS n, avg(x) AS m, stddev_samp(x) AS sd FROM ({points}) GROUP BY grp, reg),
+        scaled AS MATERIALIZED (
+            SELECT p.grp, p.reg, y, CASE WHEN sd > 0 THEN (x - m) / sd ELSE 0.0 END AS z
+            FROM ({points}) p JOIN spread s ON p.grp = s.grp AND p.reg = s.reg),
+        newton AS (
+            SELECT grp, reg, 0 AS step, 0.0::double AS b0, 0.0::double AS b1 FROM spread
+            UNION ALL
+            SELECT grp, reg, step + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01),
+                   b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+            FROM (SELECT grp, reg, step, b0, b1, avg(p - y) AS g0, avg((p - y) * z) + reg * b1 AS g1,
+                         avg(p * (1 - p)) AS h00, avg(p * (1 - p) * z) AS h01, avg(p * (1 - p) * z * z) + reg AS h11
+                  FROM (SELECT n.*, y, z, 1 / (1 + exp(-(b0 + b1 * z))) AS p
+                        FROM newton n JOIN scaled s ON n.grp = s.grp AND n.reg = s.reg WHERE step < {steps})
+                  GROUP BY grp, reg, step, b0, b1)),
+        fits AS (
+            SELECT s.grp, n AS "rows", s.reg, CASE WHEN sd > 0 THEN b0 - b1 * m / sd ELSE b0 END AS intercept,
+                   CASE WHEN sd > 0 THEN b1 / sd ELSE 0.0 END AS weight
+            FROM newton f JOIN spread s ON f.grp = s.grp AND f.reg = s.reg WHERE step = {steps})
+        {out}"""
+
+
 REG_ROWS = ", ".join(f"({reg!r}::double)" for reg in REG_GRID)
 
 QUERIES = {
@@ -502,6 +534,31 @@ QUERIES = {
         SELECT reg_param, round(tuning_rmse, 6) AS tuning_rmse, reg_param = reg AS chosen,
                CASE WHEN reg_param = reg THEN round(test_rmse, 6) END AS test_rmse
         FROM judged, best, tested""",
+    "logistic_one_feature_by_community": _newton(
+        f"""SELECT s.subreddit AS grp, CASE WHEN score_double > threshold THEN 1 ELSE 0 END AS y,
+                   n::double AS x, {COMMUNITY_REG}::double AS reg
+            FROM scored s JOIN ({QUARTILES}) q ON s.subreddit = q.subreddit
+            JOIN lengths l ON s.id = l.id JOIN parts p ON s.id = p.id WHERE part = 'train'""",
+        """SELECT grp AS subreddit, "rows", round(intercept, 5) AS intercept, round(weight, 6) AS weight FROM fits""",
+    ),
+    "bucket_logistic_one_feature": _newton(
+        f"""SELECT bucket AS grp, CASE WHEN label = bucket THEN 1 ELSE 0 END AS y, n::double AS x, reg
+            FROM bucketed b JOIN lengths l ON b.id = l.id JOIN parts p ON b.id = p.id,
+                 (SELECT DISTINCT label AS bucket FROM bucketed d JOIN parts e ON d.id = e.id WHERE part = 'train'),
+                 (VALUES {", ".join(f"({reg!r}::double)" for reg in BUCKET_REGS)}) AS regs(reg)
+            WHERE part = 'train'""",
+        """SELECT grp AS bucket, reg AS reg_param, round(intercept, 5) AS intercept, round(weight, 6) AS weight FROM fits""",
+    ),
+    # Where all sums of residuals meet the penalty's pull, the fit is the optimum: there is only one.
+    "logistic_by_community": f"""
+        SELECT s.subreddit, count(DISTINCT s.id) AS "rows", count(DISTINCT term) AS terms, true AS settled
+        FROM scored s JOIN parts p ON s.id = p.id JOIN ({QUARTILES}) q ON s.subreddit = q.subreddit
+        LEFT JOIN content_rows c ON c.id = s.id WHERE part = 'train' GROUP BY s.subreddit""",
+    "bucket_logistic_metadata": f"""
+        SELECT label AS bucket, reg AS reg_param, count(*) AS members, true AS settled
+        FROM bucketed b JOIN parts p ON b.id = p.id,
+             (VALUES {", ".join(f"({reg!r}::double)" for reg in BUCKET_REGS)}) AS regs(reg)
+        WHERE part = 'train' GROUP BY label, reg""",
     "experiment_binary": _arm_metrics("binary", "SELECT label, prediction FROM nb_guesses", "labelled"),
     "experiment_bayes": _arm_metrics(
         "bayes",

@@ -15,7 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.operators import bayes, explain
+from scorelens.functions.vectors import nonzero_slots
+from scorelens.operators import bayes, explain, logistic
 from scorelens.operators.counts import class_distribution, majority_baseline
 from scorelens.operators.evaluate import accuracy
 from scorelens.operators.filters import first_rows, keep_real_comments
@@ -23,8 +24,15 @@ from scorelens.operators.labels import with_binary_label, with_score
 from scorelens.operators.least_squares import solve_by_group
 from scorelens.operators.splits import TEST, TRAIN, hash_split, ordered_split, random_split, test_part, train_part
 from scorelens.plans import models
-from scorelens.plans.features import DEFAULT_BUCKETS, PCA_VOCABULARY, PLANS, FittedFeatures, feature_plan
-from scorelens.plans.stages import CommentTokenizer
+from scorelens.plans.features import (
+    DEFAULT_BUCKETS,
+    PCA_VOCABULARY,
+    PLANS,
+    WORDS_ONLY_VOCABULARY,
+    FittedFeatures,
+    feature_plan,
+)
+from scorelens.plans.stages import CommentTokenizer, VocabularyCounter
 from scorelens.session import settle
 
 METRICS = "plan string, mode string, reg_param double, metric string, value double"
@@ -109,8 +117,8 @@ def _weights(data: Prepared, model) -> list[tuple]:
     """(bucket, side, slot, feature, weight) of a fitted model: every bucket's for one-vs-rest."""
     if hasattr(model, "theta"):
         per_class = {0.0: model.theta.toArray()[0]}
-    elif hasattr(model, "models"):
-        per_class = {float(i): m.coefficients.toArray() for i, m in enumerate(model.models)}
+    elif isinstance(model, models.BucketLogistic):
+        per_class = model.weights
     elif hasattr(model, "coefficients"):
         per_class = {None: model.coefficients.toArray()}
     else:
@@ -263,8 +271,48 @@ def bayes_rows(comments: DataFrame, by: Sequence[str] = (), remove_stop_words: b
     return tokens.select("id", *by, "part", "label", "words")
 
 
-def bayes_per_community(comments: DataFrame) -> DataFrame:
+def logistic_rows(comments: DataFrame, by: str = "subreddit", vocabulary: int = WORDS_ONLY_VOCABULARY) -> DataFrame:
+    """Rows for a logistic fit per community: id, by, part, label (above the community's quartile), entries of (slot, value).
+
+    The words plan with one vocabulary for all communities.
+    """
+    rows = settle(bayes_rows(comments, [by]), "bayes-rows")
+    bag = VocabularyCounter(inputCol="words", outputCol="bag", vocabSize=vocabulary).fit(rows)
+    return settle(bag.transform(rows).select("id", by, "part", "label", nonzero_slots("bag").alias("entries")), "logistic-rows")
+
+
+def logistic_per_community(
+    comments: DataFrame, reg_param: float = 0.0, by: str = "subreddit", vocabulary: int = WORDS_ONLY_VOCABULARY
+) -> DataFrame:
+    """Logistic test accuracy of every community, all fitted in the same jobs: (by, rows, accuracy)."""
+    rows = logistic_rows(comments, by, vocabulary)
+    fitted = logistic.fit_groups(train_part(rows).select(by, F.col("label").alias("y"), "entries"), [by], reg_param)
+    judged = logistic.margins_by_group(test_part(rows), fitted, [by], ["label"])
+    judged = judged.select(by, "label", (F.col("margin") > 0).cast("double").alias("prediction"))
+    return accuracy(judged, "label", [by])
+
+
+def bin_class_per_community(comments: DataFrame, reg_param: float = 0.0, by: str = "subreddit") -> DataFrame:
+    """Naive Bayes and logistic regression side by side for every community: (by, mode, metric, value).
+
+    The comparison that `plan="bin_class"` makes over the whole table, each
+    community around its own quartile. As many jobs for any number of
+    communities. A community without test rows has no accuracy row.
+    """
+    labelled = with_binary_label(with_score(keep_real_comments(comments)), by=[by], output="label")
+    above = F.count_if(F.col("label") == 1.0) / F.count("*")
+    majority = labelled.groupBy(by).agg(F.greatest(above, 1 - above).alias("value"))
+    arms = [("binary", bayes_per_community(comments, by)), ("logistic", logistic_per_community(comments, reg_param, by))]
+    rows = [
+        found.select(by, F.lit(mode).alias("mode"), F.lit("test_accuracy").alias("metric"), F.col("accuracy").alias("value"))
+        for mode, found in arms
+    ]
+    rows += [majority.select(by, F.lit(mode).alias("mode"), F.lit("majority_share").alias("metric"), "value") for mode, _ in arms]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def bayes_per_community(comments: DataFrame, community: str = "subreddit") -> DataFrame:
     """Naive Bayes test accuracy of every community, from one fit over all of them."""
-    by = ["subreddit"]
+    by = [community]
     rows = settle(bayes_rows(comments, by), "bayes-rows")
     return accuracy(bayes.predict(rows, bayes.fit(rows, by=by), by=by), "label", by)

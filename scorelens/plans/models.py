@@ -11,21 +11,24 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import (
-    LogisticRegression,
+    LogisticRegressionModel,
     NaiveBayes,
     NaiveBayesModel,
     OneVsRest,
     OneVsRestModel,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions.scores import squared_error
+from scorelens.operators import logistic
 from scorelens.operators.evaluate import accuracy, regression_errors
 from scorelens.operators.splits import RANDOM_SEED, TEST, TRAIN, TUNING_PERCENT, hash_split, test_part, train_part
+from scorelens.plans.stages import classifier_model
 
 SCORE, BUCKET = "score_double", "score_bucket"
 
@@ -129,18 +132,82 @@ def fit_one_vs_rest(train: DataFrame, classifier) -> OneVsRestModel:
     return one_vs_rest(classifier).fit(train.select(BUCKET, "features"))
 
 
-def _logistic(reg: float = 0.0) -> LogisticRegression:
-    return LogisticRegression(featuresCol="features", labelCol=BUCKET, regParam=reg)
+@dataclass(frozen=True)
+class BucketLogistic:
+    """One logistic fit per bucket; a row goes to the bucket with the largest margin.
+
+    `model` is Spark's own classifier with a row of weights per bucket, so
+    scoring stays in the JVM; `classes` are the buckets that its classes stand for.
+    """
+
+    model: LogisticRegressionModel
+    classes: tuple[float, ...]
+
+    @property
+    def weights(self) -> dict[float, np.ndarray]:
+        return dict(zip(self.classes, self.model.coefficientMatrix.toArray()))
+
+    @property
+    def intercepts(self) -> dict[float, float]:
+        return dict(zip(self.classes, self.model.interceptVector.toArray().tolist()))
+
+    def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
+        labels = F.array(*map(F.lit, self.classes))
+        number = f"{output}_number"
+        numbered = self.model.copy().setPredictionCol(number).setRawPredictionCol("").setProbabilityCol("").transform(df)
+        return numbered.withColumn(output, F.get(labels, F.col(number).cast("int"))).drop(number)
 
 
-def fit_logistic(train: DataFrame, reg: float = 0.0) -> OneVsRestModel:
-    return fit_one_vs_rest(train, _logistic(reg))
+def vector_width(df: DataFrame, vector: str = "features") -> int:
+    parts = F.unwrap_udt(vector)
+    row = df.select(F.coalesce(parts["size"], F.size(parts["values"]))).first()
+    if row is None:
+        raise ValueError("no row to fit on")
+    return row[0]
+
+
+def fit_logistic_path(train: DataFrame, regs: Sequence[float]) -> list[BucketLogistic]:
+    """One-vs-rest logistic regression for every penalty: all buckets and penalties take their steps in the same passes."""
+    classes = tuple(sorted(row[0] for row in train.select(BUCKET).distinct().collect()))
+    fits = [(target, float(reg)) for reg in regs for target in classes]
+    found = logistic.fit_columns(train, BUCKET, "features", vector_width(train), fits)
+    models = []
+    for i in range(len(regs)):
+        mine = slice(i * len(classes), (i + 1) * len(classes))
+        models.append(BucketLogistic(classifier_model(found.weights[:, mine].T, found.intercepts[mine]), classes))
+    return models
+
+
+def fit_logistic(train: DataFrame, reg: float = 0.0) -> BucketLogistic:
+    return fit_logistic_path(train, [reg])[0]
+
+
+def f1_of_counts(counts: dict[tuple[float, float], int]) -> float:
+    """F1 of every label, weighted by its rows, from counts of (label, prediction)."""
+    total = sum(counts.values())
+    share = 0.0
+    for label in {a for a, _ in counts}:
+        rows = sum(n for (a, _), n in counts.items() if a == label)
+        told = sum(n for (_, b), n in counts.items() if b == label)
+        share += rows * 2 * counts.get((label, label), 0) / (rows + told)
+    return share / total if total else math.nan
 
 
 def tune_logistic(train: DataFrame, regs: Sequence[float] = REG_GRID) -> Tuned:
-    """One-vs-rest logistic regression, the penalty chosen by validation F1."""
-    judge = MulticlassClassificationEvaluator(labelCol=BUCKET, predictionCol="prediction")
-    return _tune(fit_logistic, judge, regs, train)
+    """One-vs-rest logistic regression, the penalty chosen by validation F1.
+
+    All penalties are fitted on the tuning part together, and one pass over the
+    rest counts what each of them answers.
+    """
+    parts = tuning_split(train)
+    judged = test_part(parts).select(BUCKET, "features")
+    for i, model in enumerate(fit_logistic_path(train_part(parts), regs)):
+        judged = model.transform(judged, f"p{i}")
+    answers = F.array(*(F.struct(F.lit(i).alias("fit"), F.col(f"p{i}").alias("prediction")) for i in range(len(regs))))
+    counts = judged.select(BUCKET, F.inline(answers)).groupBy("fit", BUCKET, "prediction").agg(F.count("*").alias("n")).collect()
+    metrics = tuple(f1_of_counts({(r[BUCKET], r["prediction"]): r["n"] for r in counts if r["fit"] == i}) for i in range(len(regs)))
+    best = max(range(len(metrics)), key=lambda i: (not math.isnan(metrics[i]), metrics[i], -i))
+    return Tuned(fit_logistic(train, regs[best]), float(regs[best]), metrics)
 
 
 @dataclass(frozen=True)

@@ -7,8 +7,11 @@ Spark's own `StopWordsRemover`, `HashingTF`, `IDF`, `OneHotEncoder`, `PCA` and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import SparkContext, keyword_only
 from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.common import _py2java
 from pyspark.ml.feature import CountVectorizerModel, PCAModel
 from pyspark.ml.linalg import DenseMatrix, DenseVector
@@ -206,6 +209,24 @@ def _pca_model(loadings, shares, input_column: str, output_column: str) -> PCAMo
     return model._set(inputCol=input_column, outputCol=output_column, k=loadings.shape[1])
 
 
+def classifier_model(weights, intercepts) -> LogisticRegressionModel:
+    """Spark's classifier from a row of weights per class that were found elsewhere; one class is written twice."""
+    sc = SparkContext._active_spark_context
+    if len(weights) == 1:
+        weights, intercepts = weights.repeat(2, axis=0), intercepts.repeat(2)
+    made = LogisticRegressionModel._new_java_obj(
+        "org.apache.spark.ml.classification.LogisticRegressionModel",
+        f"LogisticRegression_{uuid.uuid4().hex[:12]}",
+        _py2java(sc, DenseMatrix(weights.shape[0], weights.shape[1], weights.ravel(order="F").tolist())),
+        _py2java(sc, DenseVector(intercepts)),
+        len(weights),
+        True,
+    )
+    model = LogisticRegressionModel(made)
+    model._resetUid(made.uid())
+    return model
+
+
 class TermPCA(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Principal components by subspace iteration; fits to Spark's `PCAModel`.
 

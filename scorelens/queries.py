@@ -7,20 +7,23 @@ settles runs when the query is built; the rest is lazy.
 from __future__ import annotations
 
 from pyspark.ml.feature import HashingTF, IDF, StopWordsRemover, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelens.functions import scores, text
 from scorelens.functions.vectors import nonzero_slots
-from scorelens.operators import bayes, counts, evaluate, explain, lexicon, quantile, splits, vocabulary
+from scorelens.operators import bayes, counts, evaluate, explain, lexicon, logistic, quantile, splits, vocabulary
 from scorelens.operators.filters import first_rows, keep_real_comments, one_community
 from scorelens.operators.labels import with_binary_label, with_log_bucket, with_score
 from scorelens.plans import models
 from scorelens.plans.experiments import (
     bayes_per_community,
     bayes_rows,
+    bin_class_per_community,
     explain_experiment,
     linear_per_community,
+    logistic_rows,
     run_experiment,
 )
 from scorelens.plans.features import DEFAULT_BUCKETS, WORDS_ONLY_VOCABULARY, feature_plan, fit_features
@@ -43,6 +46,10 @@ HASH_BUCKETS = DEFAULT_BUCKETS
 LARGE_LEXICON = 25_000
 COMPONENTS = 10
 LINEAR_FEATURES = ("words_count", "link_count")
+COMMUNITY_REG = 0.125
+BUCKET_REGS = (0.125, 1.0)
+# The sums of residuals that a settled fit may leave, as shares of the rows.
+SETTLED = 1e-5
 
 
 # Inputs shared by the queries
@@ -509,6 +516,113 @@ def logistic_weights(spark, sf):
     return explain_experiment(view, plan="metadata", mode="logistic", reg_param=0.125, lexicon=_lexicon(spark))
 
 
+def logistic_one_feature_by_community(spark, sf):
+    """Every community's own logistic fit on the number of words, all in the same jobs."""
+    labelled = with_binary_label(splits.hash_split(_scored(spark, sf)), by=["subreddit"], output="y")
+    words = CommentTokenizer().transform(splits.train_part(labelled))
+    entry = F.struct(F.lit(0).alias("slot"), text.words_count(F.col("words")).cast("double").alias("value"))
+    rows = settle(words.select("subreddit", "y", F.array(entry).alias("entries")), "one-feature")
+    fitted = logistic.fit_groups(rows, ["subreddit"], COMMUNITY_REG, tolerance=1e-9)
+    sizes = rows.groupBy("subreddit").agg(F.count("*").alias("rows"))
+    weight = F.coalesce(F.get("weights", F.lit(0)), F.lit(0.0))
+    return fitted.join(sizes, "subreddit").select(
+        "subreddit", "rows", F.round("intercept", 5).alias("intercept"), F.round(weight, 6).alias("weight")
+    )
+
+
+def logistic_by_community(spark, sf):
+    """The words of every community's comments: where its fit is settled, each word's residuals meet the penalty's pull.
+
+    Residuals and pulls are summed here from the rows and the weights alone.
+    """
+    by = ["subreddit"]
+    rows = splits.train_part(logistic_rows(comments(spark, sf))).withColumnRenamed("label", "y")
+    fitted = logistic.fit_groups(rows, by, COMMUNITY_REG)
+    judged = settle(logistic.margins_by_group(rows, fitted, by, ["id", "y"]), "judged")
+    residuals = judged.select("subreddit", "id", (1 / (1 + F.exp(-F.col("margin"))) - F.col("y")).alias("residual"))
+    sizes = residuals.groupBy(by).agg(F.count("*").alias("rows"), F.sum("residual").alias("residuals"))
+    slot = (
+        rows.select("subreddit", "id", F.inline("entries"))
+        .join(residuals, ["subreddit", "id"])
+        .groupBy("subreddit", "slot")
+        .agg(F.sum(F.col("value") * F.col("residual")).alias("against"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    )
+    weights = fitted.select("subreddit", F.inline(F.arrays_zip(F.col("known").alias("slot"), F.col("weights").alias("weight"))))
+    variance = (F.col("q") - F.col("s") * F.col("s") / F.col("rows")) / (F.col("rows") - 1)
+    # Of features without variance nothing is asked, they weigh nothing.
+    left = F.when(
+        variance > 1e-12, F.abs(F.col("against") / F.col("rows") + COMMUNITY_REG * variance * F.col("weight")) / F.sqrt(variance)
+    ).otherwise(F.abs("weight"))
+    checked = slot.join(weights, ["subreddit", "slot"]).join(sizes, "subreddit").groupBy("subreddit").agg(
+        F.count("*").alias("terms"), F.max(left).alias("worst")
+    )
+    return sizes.join(checked, "subreddit", "left").select(
+        "subreddit",
+        "rows",
+        F.coalesce("terms", F.lit(0)).alias("terms"),
+        (F.greatest(F.coalesce("worst", F.lit(0.0)), F.abs(F.col("residuals") / F.col("rows"))) < SETTLED).alias("settled"),
+    )
+
+
+def bin_class_by_community(spark, sf):
+    """Naive Bayes against logistic regression for every community."""
+    found = bin_class_per_community(comments(spark, sf), COMMUNITY_REG)
+    return found.withColumn("value", F.round("value", 9))
+
+
+def _bucket_rows(spark, sf, plan: str) -> DataFrame:
+    rows = settle(CommentTokenizer().transform(splits.hash_split(_scored(spark, sf))), "tokenized")
+    fitted = fit_features(rows, feature_plan(plan, lexicon=_lexicon(spark), tokenized=True))
+    return settle(splits.train_part(fitted.featured(rows, "part")), "bucket-rows")
+
+
+def bucket_logistic_one_feature(spark, sf):
+    """One-vs-rest weights of every bucket and penalty, from the same passes."""
+    train, _ = _parts(_linear_frame(spark, sf, LINEAR_FEATURES[:1]))
+    path = models.fit_logistic_path(with_log_bucket(train), BUCKET_REGS)
+    rows = [
+        (bucket, reg, model.intercepts[bucket], float(weights[0]))
+        for reg, model in zip(BUCKET_REGS, path)
+        for bucket, weights in model.weights.items()
+    ]
+    found = spark.createDataFrame(rows, "bucket double, reg_param double, intercept double, weight double")
+    return found.withColumns({"intercept": F.round("intercept", 5), "weight": F.round("weight", 6)})
+
+
+def bucket_logistic_metadata(spark, sf):
+    """For every bucket and penalty on the metadata: its rows, and whether residual sums per feature meet the penalty's pull."""
+    train = _bucket_rows(spark, sf, "metadata")
+    path = models.fit_logistic_path(train, BUCKET_REGS)
+    values = vector_to_array("features")
+    rows = train.select("score_bucket", values.alias("x"))
+    width = models.vector_width(train)
+    moments = rows.agg(
+        F.count("*"),
+        *(F.var_samp(F.col("x")[j]) for j in range(width)),
+    ).first()
+    n, variance = moments[0], list(moments[1:])
+    out = None
+    for reg, model in zip(BUCKET_REGS, path):
+        for bucket, weights in model.weights.items():
+            margin = F.aggregate(
+                F.zip_with("x", F.array(*map(F.lit, weights.tolist())), lambda a, b: a * b), F.lit(model.intercepts[bucket]), lambda s, v: s + v
+            )
+            member = (F.col("score_bucket") == bucket).cast("double")
+            residual = 1 / (1 + F.exp(-margin)) - member
+            lefts = [F.abs(F.sum("r")) / n] + [
+                F.abs(F.sum(F.col("r") * F.col("x")[j]) / n + reg * v * float(w)) / v**0.5 if v and v > 1e-12 else F.lit(abs(float(w)))
+                for j, (v, w) in enumerate(zip(variance, weights))
+            ]
+            row = rows.select("x", residual.alias("r"), member.alias("member")).agg(
+                F.lit(bucket).alias("bucket"),
+                F.lit(reg).alias("reg_param"),
+                F.sum("member").cast("bigint").alias("members"),
+                (F.greatest(*lefts) < SETTLED).alias("settled"),
+            )
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 def logistic_tuned(spark, sf):
     rows = settle(CommentTokenizer().transform(splits.hash_split(_scored(spark, sf))), "tokenized")
     plan = feature_plan("metadata", lexicon=_lexicon(spark), tokenized=True, binary=True)
@@ -584,6 +698,11 @@ ALL = {
         experiment_per_community,
         logistic_weights,
         logistic_tuned,
+        logistic_one_feature_by_community,
+        logistic_by_community,
+        bin_class_by_community,
+        bucket_logistic_one_feature,
+        bucket_logistic_metadata,
     )
 } | {
     "hour_one_hot": _plan_slots("metadata", "hour_encoded"),

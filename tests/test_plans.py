@@ -219,8 +219,7 @@ def test_one_vs_rest_logistic_on_group_indicators(spark):
     df = bucket_rows(spark)
     model = models.fit_logistic(df)
     assert evaluate.accuracy(model.transform(df)).first()["right"] == 8 + 8 + 7
-    first = model.models[0]
-    odds = first.intercept + first.coefficients.toArray()[0]
+    odds = model.intercepts[0.0] + model.weights[0.0][0]
     assert math.isclose(1 / (1 + math.exp(-odds)), 0.8, abs_tol=1e-3)
     tuned = models.tune_logistic(df, (0.0, 5.0))
     assert tuned.reg_param in (0.0, 5.0) and len(tuned.metrics) == 2
