@@ -37,7 +37,8 @@ PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 PLAIN = bytes.maketrans(UPPER + PIECE_ENDS + b"\t", LOWER + b"\n" * len(PIECE_ENDS) + b" ")
 
-SHARD_BYTES = 1 << 23
+SHARD_BYTES = 1 << 22
+HELD_GRAMS = 1 << 21
 FILTER_BITS = 1 << 26
 BITMAP = 1 << 15
 GRAMS_PER_RANGE = 1 << 21
@@ -209,31 +210,42 @@ def _by_key(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[tup
     return ((key, (row[width:] for row in group)) for key, group in groupby(rows, key=lambda row: row[:width]))
 
 
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes, ascending, and the sums of their counts; no sum here passes 32 bits."""
+    values, which = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+    return values, np.bincount(which, np.concatenate([c for _, c in held])).astype("uint32")
+
+
 def frequent_grams(table: DataFrame, filters: list, ranges: int, least: int) -> np.ndarray:
     """The filter of the next longer runs that occur `least` times, by hash: shards send sorted hashes and counts, one array for each of the ranges."""
 
+    def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = _summed(held)
+        part = ((hashes >> np.uint64(32)) % np.uint64(ranges)).astype("int64")
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(ranges + 1))
+        for r in np.flatnonzero(np.diff(cuts)).tolist():
+            mine = order[cuts[r] : cuts[r + 1]]
+            yield pa.record_batch(
+                [pa.array([r], pa.int64()), pa.array([hashes[mine].tobytes()], pa.binary()), pa.array([counts[mine].tobytes()], pa.binary())],
+                ["part", "hashes", "counts"],
+            )
+
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for shard, _ in _read(batches):
             *_, found = shard.grams([f.value for f in filters])
-            hashes, counts = found.hashes, np.bincount(found.which, minlength=len(found.keys)).astype("uint32")
-            part = ((hashes >> np.uint64(32)) % np.uint64(ranges)).astype("int64")
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(ranges + 1))
-            for r in np.flatnonzero(np.diff(cuts)).tolist():
-                mine = order[cuts[r] : cuts[r + 1]]
-                yield pa.record_batch(
-                    [pa.array([r], pa.int64()), pa.array([hashes[mine].tobytes()], pa.binary()), pa.array([counts[mine].tobytes()], pa.binary())],
-                    ["part", "hashes", "counts"],
-                )
+            held.append((found.hashes, np.bincount(found.which, minlength=len(found.keys)).astype("uint32")))
+            if sum(len(h) for h, _ in held) > HELD_GRAMS:
+                yield from sent(held)
+                held = []
+        if held:
+            yield from sent(held)
 
     def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_key(batches, 1):
-            rows = list(rows)
-            hashes = np.concatenate([np.frombuffer(h, "uint64") for h, _ in rows])
-            counts = np.concatenate([np.frombuffer(c, "uint32") for _, c in rows])
-            values, which = np.unique(hashes, return_inverse=True)
-            enough = np.bincount(which, counts.astype("float64")) >= least
-            slots = (values[enough] % np.uint64(FILTER_BITS)).astype("int64")
+            values, counts = _summed([(np.frombuffer(h, "uint64"), np.frombuffer(c, "uint32")) for h, c in rows])
+            slots = (values[counts >= least] % np.uint64(FILTER_BITS)).astype("int64")
             yield pa.record_batch([pa.array(slots)], ["slot"])
 
     table = table.select("lang", "words", "ids", "shard")
