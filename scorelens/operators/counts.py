@@ -6,22 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions import scores
-from scorelens.operators.filters import GONE_AUTHOR, GONE_BODIES, cap_test, keep_real_comments
+from scorelens.operators.filters import GONE_AUTHOR, GONE_BODIES, first_rows, keep_real_comments
 from scorelens.operators.splits import hash_percent
 
 
 def stage_counts(comments: DataFrame, limit: int = -1, train_percent: int = 70) -> DataFrame:
     """Rows loaded, left after the placeholder filter, after the row cap, and in each split part."""
     real = F.coalesce((F.col("author") != GONE_AUTHOR) & ~F.col("body").isin(*GONE_BODIES), F.lit(False))
-    capped = real & cap_test(keep_real_comments(comments), limit) if limit > 0 else real
     in_train = hash_percent("id") < train_percent
-    return comments.agg(
-        F.count("*").alias("loaded"),
-        F.count_if(real).alias("filtered"),
-        F.count_if(capped).alias("limited"),
-        F.count_if(capped & in_train).alias("train"),
-        F.count_if(capped & ~in_train).alias("test"),
+    capped = first_rows(keep_real_comments(comments), limit).agg(
+        F.struct(
+            F.count("*").alias("limited"), F.count_if(in_train).alias("train"), F.count_if(~in_train).alias("test")
+        ).alias("counts")
     )
+    return comments.agg(F.count("*").alias("loaded"), F.count_if(real).alias("filtered")).select(
+        "*", capped.scalar().alias("counts")
+    ).select("loaded", "filtered", "counts.*")
 
 
 def community_counts(comments: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def _moments(entries: DataFrame, width: int) -> tuple[int, np.ndarray, float]:
     return rows, mean, float((q - s * s / rows).sum() / (rows - 1))
 
 
-def _times_covariance(entries: DataFrame, q: np.ndarray, mean: np.ndarray, rows: int) -> np.ndarray:
+def times_covariance(entries: DataFrame, q: np.ndarray, mean: np.ndarray, rows: int) -> np.ndarray:
     width, columns = q.shape
     sent = entries.sparkSession.sparkContext.broadcast((q, mean @ q))
 
@@ -86,8 +86,8 @@ def principal_components(
         raise ValueError("principal components need two rows")
     q = np.linalg.qr(np.random.default_rng(SEED).normal(size=(width, columns)))[0]
     for _ in range(passes):
-        q = np.linalg.qr(_times_covariance(entries, q, mean, rows))[0]
-    small = q.T @ _times_covariance(entries, q, mean, rows)
+        q = np.linalg.qr(times_covariance(entries, q, mean, rows))[0]
+    small = q.T @ times_covariance(entries, q, mean, rows)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     loadings = q @ turn[:, ::-1][:, :k]
     loadings *= np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])] < 0, -1, 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from scorelens.session import settle
 
 CELLS = 4096
+LETTERS = 2
 CHUNK = 1024
 
 
@@ -25,26 +27,46 @@ def _cell(key: Column, low, high) -> Column:
     return F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).cast("int")
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where a rank falls: the key there, the rank among the rows of that key (from 1), and how many have it."""
+
+    key: object
+    rank: int
+    equal: int
+
+
 def value_at_rank(df: DataFrame, key: str, rank: int | Callable[[int], int]):
     """The rank-th smallest non-null key (from 1); None if there is no such rank.
 
     `rank` may be a function of the number of keys. The table is read once, to
-    write out its key column.
+    write out its key column. Keys are numbers or texts, these in the order of
+    their UTF-8 bytes.
     """
-    return value_at_rank_of_settled(settle(df.select(key), "keys"), key, rank)
+    place = place_of_rank(df, key, rank)
+    return None if place is None else place.key
+
+
+def place_of_rank(df: DataFrame, key: str, rank: int | Callable[[int], int]) -> Place | None:
+    return _place(settle(df.select(key), "keys"), key, rank)
 
 
 def value_at_rank_of_settled(
     df: DataFrame, key: str, rank: int | Callable[[int], int], weight: str | None = None
 ):
-    """The same over a frame that is cheap to read again; a row counts `weight` times.
+    """The same over a frame that is cheap to read again; a row counts `weight` times."""
+    place = _place(df, key, rank, weight)
+    return None if place is None else place.key
+
 
-    Each pass counts the keys in a few thousand equal cells and then looks only
+def _place(df: DataFrame, key: str, rank: int | Callable[[int], int], weight: str | None = None) -> Place | None:
+    """Each pass counts the keys in a few thousand cells and then looks only
     into the cell that holds the rank, until it holds one value; the driver
     sees cell counts, and no task sees many keys.
     """
-    if dict(df.dtypes)[key] in ("string", "binary", "boolean"):
-        raise ValueError(f"{key} is no number")
+    kind = dict(df.dtypes)[key]
+    if kind in ("binary", "boolean"):
+        raise ValueError(f"{key} is neither number nor text")
     column = F.col(key)
     keys = df.where(column.isNotNull())
     size = F.sum(weight) if weight else F.count("*")
@@ -56,16 +78,23 @@ def value_at_rank_of_settled(
     while low < high:
         cells = (
             keys.where(column.between(F.lit(low), F.lit(high)))
-            .groupBy(_cell(column, low, high).alias("cell"))
+            .groupBy((_prefix(column, low, high) if kind == "string" else _cell(column, low, high)).alias("cell"))
             .agg(size.alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
             .collect()
         )
         for cell in sorted(cells, key=lambda row: row["cell"]):
             if rank <= cell["n"]:
-                low, high = cell["low"], cell["high"]
+                low, high, count = cell["low"], cell["high"], cell["n"]
                 break
             rank -= cell["n"]
-    return low
+    return Place(low, rank, count)
+
+
+def _prefix(key: Column, low: str, high: str) -> Column:
+    """The bytes behind what the two ends of a range share, LETTERS of them at most."""
+    ends = low.encode(), high.encode()
+    shared = next((i for i, (a, b) in enumerate(zip(*ends)) if a != b), min(map(len, ends)))
+    return F.substring(key.cast("binary"), shared + 1, LETTERS)
 
 
 def upper_quartile(df: DataFrame, score: str = "score_double", by: Sequence[str] = ()) -> DataFrame:

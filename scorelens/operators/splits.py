@@ -42,9 +42,13 @@ def random_split(df: DataFrame, percent: int = TRAIN_PERCENT, seed: int = RANDOM
 
 
 def ordered_split(df: DataFrame, percent: int = ORDERED_PERCENT, key: str = "id") -> DataFrame:
-    """The first floor(percent * n / 100) rows in key order train, the rest test."""
+    """The first floor(percent * n / 100) rows in key order train, the rest test; text keys by their UTF-8 bytes.
+
+    Rows that share the last key of the training part train as well; rows
+    without a key test.
+    """
     last = value_at_rank(df, key, lambda rows: rows * percent // 100)
-    in_train = F.lit(False) if last is None else F.col(key) <= F.lit(last)
+    in_train = F.lit(False) if last is None else F.coalesce(F.col(key) <= F.lit(last), F.lit(False))
     return df.withColumn("part", _parts(in_train))
 
 

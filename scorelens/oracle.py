@@ -479,6 +479,22 @@ QUERIES = {
     "ordered_split": """
         SELECT id, CASE WHEN row_number() OVER (ORDER BY id) <= (SELECT count(*) * 60 // 100 FROM kept)
             THEN 'train' ELSE 'test' END AS part FROM kept""",
+    "ordered_split_text": """
+        WITH RECURSIVE digits AS (
+            SELECT id, id AS rest, '' AS name FROM kept
+            UNION ALL
+            SELECT id, rest // 36, substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (rest % 36 + 1)::integer, 1) || name
+            FROM digits WHERE rest > 0),
+        named AS (
+            SELECT 't1_' || CASE WHEN id = 0 THEN '0' ELSE name END AS id FROM digits WHERE rest = 0)
+        SELECT id, CASE WHEN row_number() OVER (ORDER BY id) <= (SELECT count(*) * 60 // 100 FROM named)
+            THEN 'train' ELSE 'test' END AS part FROM named""",
+    # Communities in the order of their digests, until there are enough rows; the last one gives what is missing.
+    "row_cap_repeated": f"""
+        SELECT subreddit, least(n, {ROW_CAP} - before)::bigint AS comments
+        FROM (SELECT *, sum(n) OVER (ORDER BY substr(md5(subreddit), 1, 15)) - n AS before
+              FROM (SELECT subreddit, count(*) AS n FROM kept GROUP BY subreddit))
+        WHERE before < {ROW_CAP}""",
     "nb_priors": 'SELECT label, "rows", round(log_prior, 9) AS log_prior FROM nb_prior',
     "nb_theta": "SELECT term, label, round(log_prob, 9) AS log_prob FROM nb_theta",
     "nb_predictions": "SELECT id, label, prediction FROM nb_guesses",
@@ -503,6 +519,27 @@ QUERIES = {
     "sgd_errors": """
         SELECT count(*) AS "rows", round(sqrt(avg((y - prediction) ** 2)), 4) AS rmse
         FROM two_predictions WHERE part = 'test'""",
+    "sgd_three_steps": """
+        WITH z AS MATERIALIZED (
+            SELECT id, y, (x1 - m1) / sqrt(v1) AS z1, (x2 - m2) / sqrt(v2) AS z2 FROM points, moments WHERE part = 'train'),
+        s0 AS (SELECT 0.0::double AS b0, 0.0::double AS b1, 0.0::double AS b2),
+        s1 AS (
+            SELECT b0 - h * avg(m) AS b0, b1 - h * avg(m * z1) AS b1, b2 - h * avg(m * z2) AS b2
+            FROM (SELECT z.*, b0, b1, b2, b0 + b1 * z1 + b2 * z2 - y AS m, 0.5 / sqrt(1.0) AS h FROM z, s0
+                  WHERE ('0x' || substr(md5('step1-' || cast(id AS varchar)), 1, 8))::bigint % 100 < 50)
+            GROUP BY b0, b1, b2, h),
+        s2 AS (
+            SELECT b0 - h * avg(m) AS b0, b1 - h * avg(m * z1) AS b1, b2 - h * avg(m * z2) AS b2
+            FROM (SELECT z.*, b0, b1, b2, b0 + b1 * z1 + b2 * z2 - y AS m, 0.5 / sqrt(2.0) AS h FROM z, s1
+                  WHERE ('0x' || substr(md5('step2-' || cast(id AS varchar)), 1, 8))::bigint % 100 < 50)
+            GROUP BY b0, b1, b2, h),
+        s3 AS (
+            SELECT b0 - h * avg(m) AS b0, b1 - h * avg(m * z1) AS b1, b2 - h * avg(m * z2) AS b2
+            FROM (SELECT z.*, b0, b1, b2, b0 + b1 * z1 + b2 * z2 - y AS m, 0.5 / sqrt(3.0) AS h FROM z, s2
+                  WHERE ('0x' || substr(md5('step3-' || cast(id AS varchar)), 1, 8))::bigint % 100 < 50)
+            GROUP BY b0, b1, b2, h)
+        SELECT round(b0 - b1 * m1 / sqrt(v1) - b2 * m2 / sqrt(v2), 6) AS intercept, round(b1 / sqrt(v1), 6) AS words_count,
+               round(b2 / sqrt(v2), 6) AS link_count FROM s3, moments""",
     "linear_weights": f"""
         WITH w AS (SELECT 0::integer AS slot, {_text(LINEAR_FEATURES[0])} AS feature, round(b1, 6) AS weight
                    FROM two_weights UNION ALL

@@ -158,11 +158,11 @@ def fit_arm(data: Prepared, mode: str, options: Options) -> Arm:
         model, reg = models.fit_forest(train), 0.0
         return Arm([(reg, "test_rmse", models.rmse(model, test))], model)
     elif mode == "sgd":
-        model, reg = models.fit_iterative_linear(train), 0.0
+        model, reg = models.fit_sgd(train), 0.0
     else:
         model, reg = models.fit_linear(train, options.reg_param), options.reg_param
     return Arm(
-        [(reg, "train_rmse", models.training_rmse(model)), (reg, "test_rmse", models.rmse(model, test))],
+        [(reg, "train_rmse", models.rmse(model, train)), (reg, "test_rmse", models.rmse(model, test))],
         model,
     )
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,19 +18,21 @@ from pyspark.ml.classification import (
     OneVsRest,
     OneVsRestModel,
 )
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions.scores import squared_error
-from scorelens.operators import logistic
+from scorelens.operators import least_squares, logistic
 from scorelens.operators.evaluate import accuracy, regression_errors
 from scorelens.operators.splits import RANDOM_SEED, TEST, TRAIN, TUNING_PERCENT, hash_split, test_part, train_part
-from scorelens.plans.stages import classifier_model
+from scorelens.plans.stages import classifier_model, linear_model
 
 SCORE, BUCKET = "score_double", "score_bucket"
 
+# What the stochastic mode does unless told otherwise.
+SGD_STEPS, SGD_STEP_SIZE, SGD_BATCH_PERCENT = 100, 1.0, 100
+
 # The regularisation grid, none and 2^-3 ... 2^3.
 REG_GRID = (0.0, 0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
 
@@ -48,13 +49,21 @@ def fit_linear(train: DataFrame, reg: float = 0.0) -> LinearRegressionModel:
     return _linear(reg).fit(train)
 
 
-def fit_iterative_linear(train: DataFrame, iterations: int = 100) -> LinearRegressionModel:
-    """Unregularised least squares by gradient steps (L-BFGS)."""
-    return _linear(solver="l-bfgs", maxIter=iterations).fit(train)
+def fit_sgd(
+    train: DataFrame, steps: int = SGD_STEPS, step_size: float = SGD_STEP_SIZE, batch_percent: int = SGD_BATCH_PERCENT
+) -> LinearRegressionModel:
+    """Unregularised least squares by seeded stochastic gradient steps with a decaying length.
+
+    Features are standardised for the steps; over raw counts of hundreds of
+    characters a first step of this size would overflow.
+    """
+    found = least_squares.stochastic_steps(train, SCORE, "features", vector_width(train), steps, step_size, batch_percent)
+    return linear_model(*found)
 
 
-def training_rmse(model: LinearRegressionModel) -> float:
-    return model.summary.rootMeanSquaredError
+def fit_linear_path(train: DataFrame, regs: Sequence[float]) -> list[LinearRegressionModel]:
+    """A model for every penalty, from the passes of one fit."""
+    return [linear_model(*f) for f in least_squares.solve_path(train, SCORE, "features", vector_width(train), regs)]
 
 
 def rmse(model, test: DataFrame) -> float:
@@ -77,41 +86,40 @@ def tuning_split(train: DataFrame, key: str = "id") -> DataFrame:
     return hash_split(train, TUNING_PERCENT, key, salt="tuning-")
 
 
-def _tune(fit, evaluator, regs: Sequence[float], train: DataFrame) -> Tuned:
-    """Each penalty is fitted on the tuning part and judged on the rest; the best one is fitted on all."""
-    parts = tuning_split(train)
-    fitted_on, judged_on = train_part(parts), test_part(parts)
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        metrics = tuple(pool.map(lambda reg: evaluator.evaluate(fit(fitted_on, reg).transform(judged_on)), regs))
-    best = (max if evaluator.isLargerBetter() else min)(range(len(metrics)), key=metrics.__getitem__)
-    return Tuned(fit(train, regs[best]), float(regs[best]), metrics)
+def _errors_of_path(path: Sequence[LinearRegressionModel], rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, errors): the root mean squared error of every model, from one pass."""
+    scored = rows.select(*by, SCORE, "features")
+    for i, model in enumerate(path):
+        scored = model.setPredictionCol(f"p{i}").transform(scored)
+    errors = [F.sqrt(F.avg(squared_error(F.col(SCORE), F.col(f"p{i}")))) for i in range(len(path))]
+    return scored.groupBy(*by).agg(F.array(*errors).alias("errors"))
 
 
 def fit_ridge(train: DataFrame, regs: Sequence[float] = REG_GRID) -> Tuned:
-    """Linear regression, the penalty chosen by validation RMSE."""
-    judge = RegressionEvaluator(labelCol=SCORE, predictionCol="prediction", metricName="rmse")
-    return _tune(fit_linear, judge, regs, train)
+    """Linear regression, the penalty chosen by validation RMSE.
+
+    All penalties are fitted on the tuning part in the passes of one fit and
+    judged on the rest in one more; the best is fitted on all training rows.
+    """
+    parts = tuning_split(train)
+    path = fit_linear_path(train_part(parts), regs)
+    found = _errors_of_path(path, test_part(parts)).first()["errors"]
+    metrics = tuple(math.nan if e is None else e for e in found)
+    best = min(range(len(metrics)), key=lambda i: (math.isnan(metrics[i]), metrics[i]))
+    return Tuned(fit_linear_path(train, [regs[best]])[0], float(regs[best]), metrics)
 
 
 def regularisation_path(
     parts: DataFrame, regs: Sequence[float] = REG_GRID
 ) -> list[tuple[float, float, float]]:
-    """(reg_param, train_rmse, test_rmse) of one fit per penalty.
+    """(reg_param, train_rmse, test_rmse) of every penalty.
 
-    `parts` has a `part` column. Fits run side by side, and one pass over all
-    rows measures every model on both parts.
+    `parts` has a `part` column. One fit's passes give all models, and one pass
+    over all rows measures them on both parts.
     """
-    train = train_part(parts)
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        fitted = list(pool.map(lambda reg: fit_linear(train, reg), regs))
-    scored = parts.select("part", SCORE, "features")
-    for i, model in enumerate(fitted):
-        scored = model.setPredictionCol(f"p{i}").transform(scored)
-    errors = scored.groupBy("part").agg(
-        F.array(*[F.sqrt(F.avg(squared_error(F.col(SCORE), F.col(f"p{i}")))) for i in range(len(fitted))])
-    )
-    by_part = {part: values for part, values in errors.collect()}
-    nothing = [math.nan] * len(fitted)
+    path = fit_linear_path(train_part(parts), regs)
+    by_part = {row["part"]: row["errors"] for row in _errors_of_path(path, parts, ["part"]).collect()}
+    nothing = [math.nan] * len(path)
     return list(
         zip(map(float, regs), by_part.get(TRAIN, nothing), by_part.get(TEST, nothing), strict=True)
     )

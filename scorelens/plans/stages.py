@@ -17,6 +17,7 @@ from pyspark.ml.feature import CountVectorizerModel, PCAModel
 from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -227,6 +228,20 @@ def classifier_model(weights, intercepts) -> LogisticRegressionModel:
     return model
 
 
+def linear_model(intercept: float, weights) -> LinearRegressionModel:
+    """Spark's linear model from weights that were found elsewhere."""
+    sc = SparkContext._active_spark_context
+    made = LinearRegressionModel._new_java_obj(
+        "org.apache.spark.ml.regression.LinearRegressionModel",
+        f"LinearRegression_{uuid.uuid4().hex[:12]}",
+        _py2java(sc, DenseVector(weights)),
+        float(intercept),
+    )
+    model = LinearRegressionModel(made)
+    model._resetUid(made.uid())
+    return model
+
+
 class TermPCA(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Principal components by subspace iteration; fits to Spark's `PCAModel`.
 

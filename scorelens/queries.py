@@ -355,6 +355,18 @@ def ordered_split(spark, sf):
     return splits.ordered_split(_real(spark, sf)).select("id", "part")
 
 
+def ordered_split_text(spark, sf):
+    """The positional split over the text ids that the JSON and CSV readers give."""
+    rows = _real(spark, sf).withColumn("id", F.concat(F.lit("t1_"), F.conv(F.col("id").cast("string"), 10, 36)))
+    return splits.ordered_split(rows).select("id", "part")
+
+
+def row_cap_repeated(spark, sf):
+    """The row cap over a key that many rows share: exactly so many rows, from as few keys as can be."""
+    rows = first_rows(_real(spark, sf), ROW_CAP, key="subreddit")
+    return rows.groupBy("subreddit").agg(F.count("*").alias("comments"))
+
+
 def random_split(spark, sf):
     return splits.random_split(_real(spark, sf).select("id", "score"))
 
@@ -437,11 +449,21 @@ def linear_errors(spark, sf):
 
 
 def sgd_errors(spark, sf):
+    """Gradient steps over all rows, until they are at the least squares."""
     train, test = _parts(_linear_frame(spark, sf))
-    errors = evaluate.regression_errors(models.fit_iterative_linear(train).transform(test))
+    errors = evaluate.regression_errors(models.fit_sgd(train, steps=60).transform(test))
     return errors.select("rows", F.round("rmse", 4).alias("rmse"))
 
 
+def sgd_three_steps(spark, sf):
+    """Weights after three steps on batches of half of the rows."""
+    train, _ = _parts(_linear_frame(spark, sf))
+    model = models.fit_sgd(train, steps=3, step_size=0.5, batch_percent=50)
+    rows = [(float(model.intercept), *map(float, model.coefficients))]
+    found = spark.createDataFrame(rows, "intercept double, words_count double, link_count double")
+    return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
+
+
 def linear_weights(spark, sf):
     train, _ = _parts(_linear_frame(spark, sf))
     model = models.fit_linear(train)
@@ -680,6 +702,8 @@ ALL = {
         hash_split,
         tuning_split,
         ordered_split,
+        ordered_split_text,
+        row_cap_repeated,
         random_split,
         nb_priors,
         nb_theta,
@@ -690,6 +714,7 @@ ALL = {
         nb_by_community,
         linear_errors,
         sgd_errors,
+        sgd_three_steps,
         linear_weights,
         reg_path_one_feature,
         ridge_one_feature,

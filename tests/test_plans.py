@@ -181,7 +181,7 @@ def test_components_are_those_of_the_covariance(spark):
 
 def test_iterative_fit_reaches_least_squares(spark):
     _, _, df = points(spark)
-    exact, steps = models.fit_linear(df), models.fit_iterative_linear(df)
+    exact, steps = models.fit_linear(df), models.fit_sgd(df, steps=300)
     np.testing.assert_allclose(steps.coefficients.toArray(), exact.coefficients.toArray(), rtol=1e-3)
 
 
@@ -191,7 +191,7 @@ def test_regularisation_path_equals_single_fits(spark):
     train, test = splits.train_part(parts), splits.test_part(parts)
     for reg, fit, error in models.regularisation_path(parts, (0.0, 2.0)):
         model = models.fit_linear(train, reg)
-        assert math.isclose(fit, models.training_rmse(model), rel_tol=1e-9)
+        assert math.isclose(fit, models.rmse(model, train), rel_tol=1e-9)
         assert math.isclose(error, models.rmse(model, test), rel_tol=1e-9)
 
 
