@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from scorelens.session import settle
 
 CELLS = 4096
 LETTERS = 2
-CHUNK = 1024
 
 
 def _cell(key: Column, low, high) -> Column:
@@ -101,12 +101,9 @@ def upper_quartile(df: DataFrame, score: str = "score_double", by: Sequence[str]
     """Per group: row count, highest score and the exact upper quartile.
 
     The quartile is the score of ascending rank n - floor(n/4), from 1. Equal
-    scores are counted before the shuffle, so a group that holds a third of
-    all rows arrives as its distinct scores. These are cut into chunks of 1024
-    points: the chunk that holds the rank is found from chunk totals, and only
-    that chunk is then looked at score by score. The counts are written out,
-    so the table itself is read once. Without groups the rank is searched for
-    by cells, so that no task has to see all scores.
+    scores are counted before the shuffle, and the counts are written out, so
+    the table itself is read once. The rank is searched for by cells, in all
+    groups together, so that no task has to see all scores of a group.
     """
     by = list(by)
     value = F.col(score)
@@ -121,39 +118,37 @@ def upper_quartile(df: DataFrame, score: str = "score_double", by: Sequence[str]
             .where(F.col("threshold").isNotNull())
         )
     counts = settle(
-        df.where(value.isNotNull())
-        .groupBy(*by, value.alias("value"), F.floor(value / CHUNK).alias("chunk"))
-        .agg(F.count("*").alias("n")),
-        "score-counts",
+        df.where(value.isNotNull()).groupBy(*by, value.alias("value")).agg(F.count("*").alias("n")), "score-counts"
     )
-    up_to_here = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    total = F.sum("n").over(whole)
-    reached = F.sum("n").over(up_to_here)
-    chunk_of_rank = (
-        counts.groupBy(*by, "chunk")
-        .agg(F.sum("n").alias("n"), F.max("value").alias("top"))
-        .select(
-            *by,
-            "chunk",
-            total.alias("rows"),
-            F.max("top").over(whole).alias("max_score"),
-            (total - F.floor(total / 4)).alias("rank"),
-            reached.alias("reached"),
-            (reached - F.col("n")).alias("before"),
-        )
-        .where((F.col("before") < F.col("rank")) & (F.col("reached") >= F.col("rank")))
-    )
-    in_chunk = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        counts.join(chunk_of_rank, [*by, "chunk"])
-        .withColumn("reached", F.col("before") + F.sum("n").over(in_chunk))
-        .where(F.col("reached") >= F.col("rank"))
-        .groupBy(*by)
-        .agg(
-            F.max("rows").alias("rows"),
-            F.max("max_score").alias("max_score"),
-            F.min("value").alias("threshold"),
-        )
-        .where(F.col("threshold").isNotNull())
+    return _quartiles(counts, by)
+
+
+def _quartiles(counts: DataFrame, by: list[str]) -> DataFrame:
+    """The search for all groups at once: each pass counts the scores of every open group in CELLS equal cells
+    between its ends and goes on in the cell that holds its rank; groups that are down to one score leave.
+    """
+    whole = counts.groupBy(*by).agg(
+        F.sum("n").alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"), F.max("value").alias("max_score")
     )
+    open_groups = settle(whole.withColumn("rank", F.col("rows") - F.floor(F.col("rows") / 4)), "quartile-search")
+    same = [F.col(f"c.`{b}`").eqNullSafe(F.col(f"g.`{b}`")) for b in by]
+    # Halves, as the distance between two doubles may not fit a double.
+    share = (F.col("value") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+    cell = F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).cast("int").alias("cell")
+    reached = F.sum("n").over(Window.partitionBy(*by).orderBy("cell"))  # CELLS rows of a group at most
+    found: list[DataFrame] = []
+    while True:
+        found.append(open_groups.where("low = high").select(*by, "rows", "max_score", F.col("low").alias("threshold")))
+        open_groups = open_groups.where("low < high")
+        if open_groups.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        met = counts.alias("c").join(open_groups.alias("g"), reduce(Column.__and__, same)).where(F.col("value").between(F.col("low"), F.col("high")))
+        cells = met.select(*(F.col(f"g.`{b}`") for b in by), "rows", "max_score", "rank", "value", "n", cell)
+        cells = cells.groupBy(*by, "cell").agg(
+            F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
+            F.max("rank").alias("rank"), F.max("rows").alias("rows"), F.max("max_score").alias("max_score"),
+        )
+        stepped = cells.withColumn("reached", reached).withColumn("before", F.col("reached") - F.col("n"))
+        stepped = stepped.where((F.col("before") < F.col("rank")) & (F.col("reached") >= F.col("rank")))
+        stepped = stepped.withColumn("rank", F.col("rank") - F.col("before"))
+        open_groups = settle(stepped.select(*by, "rows", "low", "high", "max_score", "rank"), "quartile-search")

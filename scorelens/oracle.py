@@ -611,6 +611,7 @@ QUERIES = {
         SELECT id, y AS score_double, round(prediction, 6) AS prediction
         FROM two_predictions WHERE part = 'test' ORDER BY id DESC LIMIT 5""",
 }
+QUERIES["run_counts"] = QUERIES["stage_counts"]
 QUERIES["lexicon_filter_by_join"] = QUERIES["lexicon_filter"]
 QUERIES["lexicon_file_hits"] = QUERIES["lexicon_hits"]
 

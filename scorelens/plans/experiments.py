@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scorelens.functions.vectors import nonzero_slots
@@ -37,6 +37,7 @@ from scorelens.session import settle
 
 METRICS = "plan string, mode string, reg_param double, metric string, value double"
 WEIGHTS = "plan string, mode string, bucket double, side string, slot int, feature string, weight double"
+COUNTS = "loaded bigint, filtered bigint, limited bigint, train bigint, test bigint"
 COMPARISONS = ("all", "bin_class", "multi_class")
 CLASS_MODES = ("binary", "bayes", "logistic")
 MODES = ("linear", "ridge", "reg", "forest", "sgd", *CLASS_MODES)
@@ -90,10 +91,41 @@ class Prepared:
     featured: DataFrame
 
 
-def prepare_rows(comments: DataFrame, options: Options) -> DataFrame:
-    """The rows of an experiment with their part and cleaned tokens, written once: every stage reads that copy."""
-    scored = with_score(first_rows(keep_real_comments(comments), options.limit))
-    return settle(CommentTokenizer().transform(SPLITS[options.split](scored)), "tokenized")
+@dataclass(frozen=True)
+class RowCounts:
+    """What the jobs of a run saw on their way: rows loaded, filtered, limited, and in each part.
+
+    The counts come from the jobs that run anyway, none is run for them.
+    """
+
+    loaded: Observation
+    filtered: Observation
+    limited: Observation
+    parts: Observation
+
+    @classmethod
+    def new(cls) -> RowCounts:
+        return cls(*(Observation() for _ in range(4)))
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        found = [o.get for o in (self.loaded, self.filtered, self.limited, self.parts)]
+        row = tuple(f[name] for f, names in zip(found, (["n"], ["n"], ["n"], [TRAIN, TEST])) for name in names)
+        return spark.createDataFrame([row], COUNTS)
+
+
+def prepare_rows(comments: DataFrame, options: Options, counts: RowCounts | None = None) -> DataFrame:
+    """The rows of an experiment with their part and cleaned tokens, written once: every stage reads that copy.
+
+    `counts` is told how many rows there are at each stage; rows whose score is
+    no number leave between the cap and the split.
+    """
+    counts = counts or RowCounts.new()
+    n = F.count(F.lit(1)).alias("n")
+    real = keep_real_comments(comments.observe(counts.loaded, n)).observe(counts.filtered, n)
+    scored = with_score(first_rows(real, options.limit).observe(counts.limited, n))
+    split = SPLITS[options.split](scored)
+    in_part = lambda part: F.count_if(F.col("part") == part).alias(part)
+    return settle(CommentTokenizer().transform(split).observe(counts.parts, in_part(TRAIN), in_part(TEST)), "tokenized")
 
 
 def prepare(rows: DataFrame, kind: str, binary: bool, options: Options) -> Prepared:
@@ -189,17 +221,19 @@ class Report:
     metrics: plan, mode, reg_param, metric, value. distribution: plan, mode,
     bucket, low, high, comments, share of the labels the arm's plan makes.
     weights: plan, mode, bucket, side, slot, feature, weight; no rows for
-    models without weights.
+    models without weights. counts: one row, loaded, filtered, limited, train, test.
     """
 
     metrics: DataFrame
     distribution: DataFrame
     weights: DataFrame
+    counts: DataFrame
 
 
 def report_experiment(comments: DataFrame, options: Options = Options(), **changes) -> Report:
     options = replace(options, **changes)
-    rows = prepare_rows(comments, options)
+    counts = RowCounts.new()
+    rows = prepare_rows(comments, options, counts)
     prepared: dict[tuple[str, bool], Prepared] = {}
     metrics, weights, shares = [], [], []
     for kind, mode, binary in _arms(options):
@@ -216,6 +250,7 @@ def report_experiment(comments: DataFrame, options: Options = Options(), **chang
         spark.createDataFrame(metrics, METRICS),
         reduce(DataFrame.unionByName, shares),
         spark.createDataFrame(weights, WEIGHTS),
+        counts.frame(spark),
     )
 
 

@@ -24,6 +24,7 @@ from scorelens.plans.experiments import (
     explain_experiment,
     linear_per_community,
     logistic_rows,
+    report_experiment,
     run_experiment,
 )
 from scorelens.plans.features import DEFAULT_BUCKETS, WORDS_ONLY_VOCABULARY, feature_plan, fit_features
@@ -192,7 +193,7 @@ def stopword_filter(spark, sf):
 
 
 def lexicon_filter(spark, sf):
-    return lexicon.with_lexicon_words(_words(spark, sf), _lexicon(spark)).select(*_joined("filtered"))
+    return lexicon.with_lexicon_words(settle(_words(spark, sf), "tokenized"), _lexicon(spark)).select(*_joined("filtered"))
 
 
 def lexicon_filter_by_join(spark, sf):
@@ -201,16 +202,16 @@ def lexicon_filter_by_join(spark, sf):
 
 
 def metadata_features(spark, sf):
-    words = CommentTokenizer().transform(_real(spark, sf))
+    words = settle(CommentTokenizer().transform(_real(spark, sf)), "tokenized")
     return with_comment_features(words, _lexicon(spark)).drop(*COMMENT[1:], "words")
 
 
 def sentiment_by_join(spark, sf):
-    return lexicon.with_sentiment(_words(spark, sf), _lexicon(spark)).select("id", "sentiment")
+    return lexicon.with_sentiment(settle(_words(spark, sf), "tokenized"), _lexicon(spark)).select("id", "sentiment")
 
 
 def run_sentiment(spark, sf):
-    runs = _real(spark, sf).withColumn("words", text.word_runs(F.col("body")))
+    runs = settle(_real(spark, sf).select("id", text.word_runs(F.col("body")).alias("words")), "word-runs")
     return lexicon.with_sentiment(runs, _lexicon(spark), skip_zero=True).select("id", "sentiment")
 
 
@@ -226,7 +227,7 @@ def raw_text_stats(spark, sf):
 
 
 def record_features(spark, sf):
-    return with_record_features(_real(spark, sf), _lexicon(spark)).drop(*COMMENT[1:], "words")
+    return with_record_features(settle(_real(spark, sf), "comments"), _lexicon(spark)).drop(*COMMENT[1:], "words")
 
 
 # Vectorisers and feature plans
@@ -527,6 +528,12 @@ def _rounded(query):
     return lambda spark, sf: query(spark, sf).withColumn("value", F.round("value", 9))
 
 
+def run_counts(spark, sf):
+    """Rows at each stage of one run, as its own jobs saw them."""
+    options = {"plan": "metadata", "mode": "linear", "limit": ROW_CAP, "lexicon": _lexicon(spark)}
+    return report_experiment(comments(spark, sf), **options).counts
+
+
 def experiment_per_community(spark, sf):
     """Linear regression on metadata for every community of the table, all in the same jobs."""
     return linear_per_community(comments(spark, sf), _lexicon(spark), reg_param=8.0)
@@ -720,6 +727,7 @@ ALL = {
         ridge_one_feature,
         prediction_sample,
         last_predictions,
+        run_counts,
         experiment_per_community,
         logistic_weights,
         logistic_tuned,
