@@ -1,9 +1,9 @@
 """Phrase collocations by weighted acyclic automata.
 
-Texts become shards, one language and about a dozen megabytes each, whose word
+Texts become shards, one language and up to eight megabytes each, whose word
 sequences of up to four words are sorted and built into count automata, one for
 every prefix range (a range of a hash of the first two words). The automata of a range are
-united by merging, a few dozen at a time, and their prefix weights are the counts of
+united by merging, a few hundred at a time, and their prefix weights are the counts of
 all phrases in the range. A candidate's parts are looked up in the automata of
 the parts' own ranges.
 
@@ -37,8 +37,8 @@ PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 PLAIN = bytes.maketrans(UPPER + PIECE_ENDS + b"\t", LOWER + b"\n" * len(PIECE_ENDS) + b" ")
 
-SHARD_BYTES = 1 << 22
-HELD_GRAMS = 1 << 21
+SHARD_BYTES = 1 << 23
+HELD_GRAMS, HELD_WORDS = 1 << 21, 1 << 19
 FILTER_BITS = 1 << 26
 BITMAP = 1 << 15
 GRAMS_PER_RANGE = 1 << 21
@@ -79,13 +79,6 @@ class Shard:
         ids[np.arange(len(starts)) + new] = number[words.indices.to_numpy(zero_copy_only=False)]
         return cls(lang, words.dictionary.take(pa.array(order)).to_pylist(), ids)
 
-    @classmethod
-    def of_row(cls, lang: str, words: bytes, ids: bytes) -> Shard:
-        return cls(lang, words.split(b"\n") if words else [], np.frombuffer(ids, "int32"))
-
-    def row(self) -> tuple[str, bytes, bytes]:
-        return self.lang, b"\n".join(self.words), self.ids.astype("int32").tobytes()
-
     def hashes(self) -> np.ndarray:
         """Spark's xxhash64(lang, word) of every word, 0 for the gap before them."""
         from xxhash import xxh64_intdigest
@@ -154,25 +147,9 @@ def shards(batches: Iterable[pa.RecordBatch], size: int = SHARD_BYTES) -> Iterat
         yield Shard.of_texts(lang, texts)
 
 
-def shard_table(docs: DataFrame, size: int = SHARD_BYTES) -> DataFrame:
-    """lang, shard (a number), words, ids: the texts, tokenised once and written."""
+def texts_of(docs: DataFrame) -> DataFrame:
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
-    texts = only(docs, "lang", "text").select(lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, size):
-            values = zip(shard.row(), (pa.string(), pa.binary(), pa.binary()))
-            yield pa.record_batch([pa.array([v], t) for v, t in values], ["lang", "words", "ids"])
-
-    made = texts.mapInArrow(each, "lang string, words binary, ids binary")
-    return settle(made.withColumn("shard", F.monotonically_increasing_id()), "shards")
-
-
-def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Shard, int]]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            lang, words, ids, shard = (column[i].as_py() for column in batch.columns)
-            yield Shard.of_row(lang, words, ids), shard
+    return only(docs, "lang", "text").select(lang.alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def bit_filter(slots: DataFrame, slot: Column) -> np.ndarray:
@@ -189,16 +166,28 @@ def bit_filter(slots: DataFrame, slot: Column) -> np.ndarray:
     return bits
 
 
-def word_counts(table: DataFrame) -> DataFrame:
-    """lang, word, f of all words."""
+def word_counts(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """lang, word, f of all words; the counts of a task's shards are added up before they leave it."""
+    names = ["lang", "word", "f"]
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by(names[:2]).aggregate([("f", "sum")]).rename_columns(names)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, _ in _read(batches):
+        held: list[pa.Table] = []
+        for shard in shards(batches, shard_bytes):
             uses = np.bincount(shard.ids, minlength=shard.width)[1:]
             words = pa.array(shard.words, pa.binary()).cast(pa.string())
-            yield pa.record_batch([pa.array([shard.lang] * len(words), pa.string()), words, pa.array(uses.astype("int64"))], ["lang", "word", "f"])
+            held.append(pa.table([pa.array([shard.lang] * len(words), pa.string()), words, pa.array(uses.astype("int64"))], names))
+            if sum(map(len, held)) > HELD_WORDS:
+                held = [summed(held)]
+                if len(held[0]) > HELD_WORDS // 2:
+                    yield from held[0].to_batches(max_chunksize=10_000)
+                    held = []
+        if held:
+            yield from summed(held).to_batches(max_chunksize=10_000)
 
-    counted = table.select("lang", "words", "ids", "shard").mapInArrow(each, "lang string, word string, f bigint")
+    counted = texts.mapInArrow(each, "lang string, word string, f bigint")
     return settle(counted.groupBy("lang", "word").agg(F.sum("f").alias("f")), "words")
 
 
@@ -216,7 +205,7 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return values, np.bincount(which, np.concatenate([c for _, c in held])).astype("uint32")
 
 
-def frequent_grams(table: DataFrame, filters: list, ranges: int, least: int) -> np.ndarray:
+def frequent_grams(texts: DataFrame, filters: list, ranges: int, least: int, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
     """The filter of the next longer runs that occur `least` times, by hash: shards send sorted hashes and counts, one array for each of the ranges."""
 
     def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +222,7 @@ def frequent_grams(table: DataFrame, filters: list, ranges: int, least: int) ->
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for shard, _ in _read(batches):
+        for shard in shards(batches, shard_bytes):
             *_, found = shard.grams([f.value for f in filters])
             held.append((found.hashes, np.bincount(found.which, minlength=len(found.keys)).astype("uint32")))
             if sum(len(h) for h, _ in held) > HELD_GRAMS:
@@ -248,8 +237,7 @@ def frequent_grams(table: DataFrame, filters: list, ranges: int, least: int) ->
             slots = (values[counts >= least] % np.uint64(FILTER_BITS)).astype("int64")
             yield pa.record_batch([pa.array(slots)], ["slot"])
 
-    table = table.select("lang", "words", "ids", "shard")
-    parts = table.mapInArrow(counted, "part bigint, hashes binary, counts binary").repartition("part").sortWithinPartitions("part")
+    parts = texts.mapInArrow(counted, "part bigint, hashes binary, counts binary").repartition("part").sortWithinPartitions("part")
     return bit_filter(parts.mapInArrow(summed, "slot bigint"), F.col("slot"))
 
 
@@ -306,24 +294,28 @@ def _united(batches: Iterable[pa.RecordBatch], width: int, use: Callable) -> Ite
         yield from use(key, transducers.union([transducers.Transducer.loads(blob) for (blob,) in rows]))
 
 
-def phrase_counts(table: DataFrame, words: DataFrame, total: int, least: int = LEAST, fan: int = FAN) -> tuple[DataFrame, DataFrame, int]:
+def phrase_counts(
+    texts: DataFrame, words: DataFrame, total: int, least: int = LEAST, fan: int = FAN, shard_bytes: int = SHARD_BYTES
+) -> tuple[DataFrame, DataFrame, int]:
     """(lang, phrase, f) of all phrases of two to LONGEST words that occur `least` times; the automata (lang, part, blob); the number of ranges."""
-    send = table.sparkSession.sparkContext.broadcast
+    send = texts.sparkSession.sparkContext.broadcast
     filters = [send(bit_filter(words.where(F.col("f") >= least), _slot(F.xxhash64("lang", "word"))))]
     for _ in range(2, LONGEST):
-        filters.append(send(frequent_grams(table, filters, total // GRAMS_PER_RANGE + 1, least)))
+        filters.append(send(frequent_grams(texts, filters, total // GRAMS_PER_RANGE + 1, least, shard_bytes)))
     ranges = total // WORDS_PER_RANGE + 1
 
     def built(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, name in _read(batches):
+        from pyspark import TaskContext
+
+        for number, shard in enumerate(shards(batches, shard_bytes)):
+            name = (TaskContext.get().partitionId() << 32) + number
             for part, blob in shard_automata(shard, [f.value for f in filters], ranges):
                 yield pa.record_batch(
                     [pa.array([shard.lang], pa.string()), pa.array([part], pa.int64()), pa.array([name], pa.int64()), pa.array([blob], pa.binary())],
                     ["lang", "part", "shard", "blob"],
                 )
 
-    built_on = table.select("lang", "words", "ids", "shard")
-    found = settle(built_on.mapInArrow(built, "lang string, part bigint, shard bigint, blob binary"), "shard-automata")
+    found = settle(texts.mapInArrow(built, "lang string, part bigint, shard bigint, blob binary"), "shard-automata")
     blocks = -(-found.agg(F.count_distinct("shard")).first()[0] // fan)
     key = ["lang", "part", "shard"]
     while blocks > 1:
@@ -433,11 +425,11 @@ def collocations(
     without such phrases gives no rows. Further columns are not looked at, and
     repeated rows count as often as they are there.
     """
-    table = shard_table(docs, shard_bytes)
-    words = word_counts(table)
+    texts = texts_of(docs)
+    words = word_counts(texts, shard_bytes)
     totals = settle(words.groupBy("lang").agg(F.sum("f").alias("n")), "language-totals")
     total = totals.agg(F.sum("n")).first()[0] or 0
-    phrases, automata, ranges = phrase_counts(table, words, total, least, fan)
+    phrases, automata, ranges = phrase_counts(texts, words, total, least, fan, shard_bytes)
     parts = part_counts(phrases, words.where(F.col("f") >= least), automata, ranges)
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("f"))).alias(s)
     cuts = parts.groupBy("lang", "phrase", "a", "k").agg(side("l"), side("r"))
