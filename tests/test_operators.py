@@ -99,8 +99,8 @@ def test_first_rows_of_text_keys(spark):
     first = {row["id"] for row in filters.first_rows(df.repartition(3), 100).collect()}
     second = {row["id"] for row in filters.first_rows(df.repartition(7), 100).collect()}
     assert len(first) == 100 and first == second
-    with pytest.raises(ValueError):
-        splits.ordered_split(df)
+    split = {row["id"]: row["part"] for row in splits.ordered_split(df).collect()}
+    assert {i for i in split if split[i] == "train"} == set(sorted(split)[:600])
 
 
 def test_labels(spark):
