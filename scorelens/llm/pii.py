@@ -28,13 +28,34 @@ class Kind:
     context: str
 
 
+# How long account numbers are, by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _iban() -> str:
+    """As many letters and digits as the country's numbers have, so that a word or number behind one is left out."""
+    by_length: dict[int, list[str]] = {}
+    for country, length in IBAN_LENGTHS.items():
+        by_length.setdefault(length, []).append(country)
+    forms = [f"(?:{'|'.join(names)})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{length - 4}}}" for length, names in sorted(by_length.items())]
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+
+
 # The four patterns up to their anchors, and the order of the kinds.
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++", True, 0.9, "mail|contact|write"),
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", True, 0.6, "ip|address|host|server"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", True, 0.8, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", True, 0.7, "phone|call|tel|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", False, 0.7, "iban|bank|account"),
+    Kind("iban", _iban(), False, 0.7, "iban|bank|account"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", False, 0.3, "ssn|social security"),
 )
 CONTEXT_GAIN = 0.3
@@ -126,19 +147,27 @@ def _spans(text: Column, number: int, kind: Kind, found: Column) -> Column:
 SPAN = "struct<start:int,number:int,end:int,kind:string,value:string,score:double,given:boolean>"
 
 
+def _work(docs: DataFrame) -> DataFrame:
+    """row (all columns of `docs`), text and spans, so that no column of `docs` can clash with ours."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    raw = rows.select("*", *(_found(text, k.pattern).alias(k.name) for k in KINDS))
+    per_kind = [_spans(text, i, k, F.col(k.name)) for i, k in enumerate(KINDS)]
+    empty = F.from_json(F.lit("[]"), f"array<{SPAN}>")
+    spans = F.sort_array(F.flatten(F.array(*(F.coalesce(s, empty) for s in per_kind))))
+    return raw.select("row", "text", spans.alias("spans"))
+
+
 def find(docs: DataFrame, name: str = "pii_spans") -> DataFrame:
     """`docs` with an array column of spans, by start and then kind; empty for a null or empty text.
 
     A span has start, end (code points, end exclusive), kind, value, score and
     given. Rows stay as they are; a column that already bears `name` is
-    replaced. Spans of different kinds may overlap.
+    replaced, all others are unchanged whatever their names. Spans of different
+    kinds may overlap.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    raw = docs.drop(name).select("*", *(_found(text, k.pattern).alias(f"{name}_{k.name}") for k in KINDS))
-    per_kind = [_spans(text, i, k, F.col(f"{name}_{k.name}")) for i, k in enumerate(KINDS)]
-    empty = F.from_json(F.lit("[]"), f"array<{SPAN}>")
-    spans = F.sort_array(F.flatten(F.array(*(F.coalesce(s, empty) for s in per_kind))))
-    return raw.withColumn(name, spans).drop(*(f"{name}_{k.name}" for k in KINDS))
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    return _work(docs).select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("spans").alias(name))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -148,7 +177,6 @@ def redact(docs: DataFrame) -> DataFrame:
     texts stay null. A column n_chars is set to the new length where the text
     changed.
     """
-    found = find(docs)
     text = F.col("text")
 
     def add(done: Column, span: Column) -> Column:
@@ -158,19 +186,17 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(done["at"], span["end"]).alias("at"), out.alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(
-        F.col("pii_spans"), begin, add, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text)))
-    )
-    hit = F.size("pii_spans") > 0
-    made = found.withColumn("pii_clean", F.when(hit, clean).otherwise(text))
+    clean = F.aggregate("spans", begin, add, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
+    hit = F.size("spans") > 0
+    made = _work(docs).select("row", hit.alias("hit"), F.when(hit, clean).otherwise(text).alias("clean"))
     columns = []
     for n, kind in docs.dtypes:
+        own = F.col("row").getField(n)
         if n == "text":
-            columns.append(F.col("pii_clean").alias("text"))
+            own = F.col("clean")
         elif n == "n_chars":
-            columns.append(F.when(hit, F.length("pii_clean").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            columns.append(F.col(f"`{n}`"))
+            own = F.when(F.col("hit"), F.length("clean").cast(kind)).otherwise(own)
+        columns.append(own.alias(n))
     return made.select(*columns)
 
 

@@ -73,3 +73,22 @@ def test_redaction(spark, edge, empty):
     assert pii.redact(edge).schema.simpleString() == edge.schema.simpleString()
     assert pii.redact(edge).count() == len(EDGE_ROWS)
     assert pii.redact(empty).count() == 0 and pii.find(empty).count() == 0
+
+
+def test_account_numbers_before_other_words(spark):
+    texts = ["ES91 2100 0418 4502 0005 1332 BIC", "pay ES9121000418450200051332 2024", "DE89 3704 0044 0532 0130 00 AB", "ES92 2100 0418 4502 0005 1332"]
+    df = spark.createDataFrame([(i, f"bank account {t}") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = {r.doc_id: [s.value for s in r.pii_spans if s.kind == "iban"] for r in pii.find(df).collect()}
+    assert found == {0: ["ES91 2100 0418 4502 0005 1332"], 1: ["ES9121000418450200051332"], 2: ["DE89 3704 0044 0532 0130 00"], 3: []}
+    assert all("2100" not in r.text for r in pii.redact(df).where("doc_id < 2").collect())
+
+
+def test_columns_under_its_own_names_are_left_alone(spark):
+    schema = "doc_id bigint, text string, pii_clean string, pii_spans int, pii_spans_email string, row int, spans string, hit int, clean int, email int"
+    df = spark.createDataFrame([(1, "a b@c.de", "kept", 7, "own", 1, "s", 2, 3, 4), (2, None, None, None, None, None, None, None, None, None)], schema)
+    out = pii.redact(df)
+    assert out.schema == df.schema
+    first = out.where("doc_id = 1").first()
+    assert first.text == "a <email>" and tuple(first)[2:] == ("kept", 7, "own", 1, "s", 2, 3, 4)
+    found = pii.find(df)
+    assert [s.kind for s in found.where("doc_id = 1").first().pii_spans] == ["email"] and found.first().pii_spans_email == "own"
