@@ -155,23 +155,25 @@ def encoded(docs: DataFrame, lex: Lexicon) -> DataFrame:
         lex = Lexicon(**sent.value)
         first = len(lex.symbols)
         whole = lex.tokens + lex.words + 1
-        # Of each frequent word: symbol, log10 of the base share and of the share within its class.
-        shares = {}
-        for word, c in lex.counts.items():
-            kind = spelling_class(word)
-            inside = 0.0
-            if word not in lex.symbols:
-                inside = math.log10((c + 1) / (lex.class_uses[kind] + lex.class_words[kind] + 1))
-            shares[word] = math.log10((c + 1) / whole), inside
 
-        class Symbols(dict):
-            """Frequent words are kept; the symbol of any other follows from its spelling."""
+        class Places(dict):
+            """Place of each frequent word in the arrays below; -1, their last place, for all others."""
 
             def __missing__(self, word: bytes) -> int:
-                return first + spelling_class(word)
+                return -1
 
-        symbol = Symbols(lex.symbols)
-        symbol.update((w, first + spelling_class(w)) for w in lex.counts if w not in symbol)
+        places = Places()
+        # Of each frequent word: symbol, log10 of the base share and of the share within its class.
+        symbol_of, base_of, inside_of = np.zeros(len(lex.counts) + 1, "<u2"), np.zeros(len(lex.counts) + 1), np.zeros(len(lex.counts) + 1)
+        for i, (word, c) in enumerate(lex.counts.items()):
+            places[word] = i
+            base_of[i] = math.log10((c + 1) / whole)
+            if word in lex.symbols:
+                symbol_of[i] = lex.symbols[word]
+            else:
+                kind = spelling_class(word)
+                symbol_of[i] = first + kind
+                inside_of[i] = math.log10((c + 1) / (lex.class_uses[kind] + lex.class_words[kind] + 1))
         for batch in batches:
             ids, out_of_train = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for start, texts in slices(batch):
@@ -179,18 +181,17 @@ def encoded(docs: DataFrame, lex: Lexicon) -> DataFrame:
                 for i, text in enumerate(texts, start):
                     words = (text or b"").lower().split()
                     words.append(END)
-                    known, base, inside, rare = 0, 0.0, 0.0, []
-                    for word, n in Counter(words).items():
-                        if word in shares:
-                            b, s = shares[word]
-                            known += n
-                            base += n * b
-                            inside += n * s
-                        else:
-                            kind = spelling_class(word)
+                    at = np.fromiter(map(places.__getitem__, words), "int32", len(words))
+                    made, others, rare = symbol_of[at], np.flatnonzero(at < 0).tolist(), []
+                    if others:
+                        kinds = {}
+                        for word, n in Counter([words[o] for o in others]).items():
+                            kinds[word] = kind = spelling_class(word)
                             rare.append({"word": word, "class": kind, "n": n})
-                    made = np.fromiter(map(symbol.__getitem__, words), "<u2", len(words)).tobytes()
-                    rows.append((ids[i], out_of_train[i], made, len(words), known, base, inside, rare))
+                        # The end of a text is a symbol even where no row is learnt from.
+                        made[others] = [lex.symbols.get(words[o], first + kinds[words[o]]) for o in others]
+                    known = len(words) - len(others)
+                    rows.append((ids[i], out_of_train[i], made.tobytes(), len(words), known, base_of[at].sum(), inside_of[at].sum(), rare))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(each, schema)
