@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from scorelens.functions.vectors import nonzero_slots
 from scorelens.session import settle
 
-PASSES = 12
+TOLERANCE, MOST = 1e-5, 60
 EXTRA = 10
 SEED = 11
 # What the driver and every task may hold: 2^26 doubles are half a gigabyte.
@@ -71,11 +71,14 @@ def times_covariance(entries: DataFrame, q: np.ndarray, mean: np.ndarray, rows:
 
 
 def principal_components(
-    df: DataFrame, vector: str, width: int, k: int, passes: int = PASSES
+    df: DataFrame, vector: str, width: int, k: int, tolerance: float = TOLERANCE, most: int = MOST
 ) -> tuple[np.ndarray, np.ndarray]:
     """(width x k loadings, share of the variance of each component), largest first.
 
-    Each component's largest loading is positive. Needs two rows at least.
+    Passes go on until the covariance turns each of the k components no further
+    away from itself than `tolerance` times the largest eigenvalue, or `most`
+    passes are done; eigenvalues are then off by about the square of that. Each
+    component's largest loading is positive. Needs two rows at least.
     """
     columns = min(width, k + EXTRA)
     if width * columns > LARGEST:
@@ -85,11 +88,16 @@ def principal_components(
     if rows < 2:
         raise ValueError("principal components need two rows")
     q = np.linalg.qr(np.random.default_rng(SEED).normal(size=(width, columns)))[0]
-    for _ in range(passes):
-        q = np.linalg.qr(times_covariance(entries, q, mean, rows))[0]
-    small = q.T @ times_covariance(entries, q, mean, rows)
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    loadings = q @ turn[:, ::-1][:, :k]
+    for _ in range(most):
+        turned = times_covariance(entries, q, mean, rows)
+        small = q.T @ turned
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        loadings = q @ turn[:, :k]
+        away = np.linalg.norm(turned @ turn[:, :k] - loadings * values[:k], axis=0)
+        if away.max(initial=0.0) <= tolerance * max(values[0], 0.0):
+            break
+        q = np.linalg.qr(turned)[0]
     loadings *= np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])] < 0, -1, 1)
-    shares = values[::-1][:k] / variance if variance > 0 else np.zeros(min(k, columns))
+    shares = values[:k] / variance if variance > 0 else np.zeros(min(k, columns))
     return loadings, shares

@@ -602,6 +602,19 @@ QUERIES = {
         _bayes_guesses("SELECT id, label, 0 AS grp FROM bucketed", "", "SELECT label, prediction FROM guesses"),
         "bucketed",
     ),
+    # Eigenvalues and vectors of a symmetric 2 x 2 matrix, the larger loading of each made positive.
+    "pca_two_features": """
+        WITH m AS (SELECT var_samp(x1) AS a, var_samp(x2) AS b, covar_samp(x1, x2) AS c FROM points),
+        e AS (SELECT *, unnest([1, 2]) AS component FROM m),
+        v AS (SELECT *, (a + b) / 2 + (CASE component WHEN 1 THEN 1 ELSE -1 END) * sqrt(((a - b) / 2) ** 2 + c * c) AS value FROM e),
+        d AS (SELECT *, CASE WHEN c = 0 THEN (CASE WHEN value = a THEN 1.0 ELSE 0.0 END) ELSE c END AS p,
+                     CASE WHEN c = 0 THEN (CASE WHEN value = a THEN 0.0 ELSE 1.0 END) ELSE value - a END AS q FROM v),
+        u AS (SELECT *, CASE WHEN abs(p) >= abs(q) THEN sign(p) ELSE sign(q) END / sqrt(p * p + q * q) AS f FROM d)
+        SELECT component::integer AS component, round(value / (a + b), 8) AS share, round(p * f, 8) AS words_count,
+               round(q * f, 8) AS link_count FROM u""",
+    "ridge_path_metadata": f"""
+        SELECT reg_param, count(*) AS "rows", true AS settled
+        FROM points, (VALUES {REG_ROWS}) AS regs(reg_param) WHERE part = 'train' GROUP BY reg_param""",
     "prediction_sample": """
         SELECT p.id, k.body, array_to_string(t.words, '|') AS words, y AS score_double,
                round(prediction, 6) AS prediction, round((y - prediction) ** 2, 4) AS sq_err

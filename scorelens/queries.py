@@ -6,6 +6,8 @@ settles runs when the query is built; the rest is lazy.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import HashingTF, IDF, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from scorelens.functions.vectors import nonzero_slots
 from scorelens.operators import bayes, counts, evaluate, explain, lexicon, logistic, quantile, splits, vocabulary
 from scorelens.operators.filters import first_rows, keep_real_comments, one_community
 from scorelens.operators.labels import with_binary_label, with_log_bucket, with_score
+from scorelens.operators.pca import principal_components
 from scorelens.plans import models
 from scorelens.plans.experiments import (
     bayes_per_community,
@@ -500,6 +503,39 @@ def ridge_one_feature(spark, sf):
     )
 
 
+def pca_two_features(spark, sf):
+    """Both components of two features: share of the variance and loadings."""
+    frame = _linear_frame(spark, sf)
+    loadings, shares = principal_components(frame, "features", 2, 2)
+    rows = [(i + 1, float(shares[i]), *map(float, loadings[:, i])) for i in range(2)]
+    found = spark.createDataFrame(rows, "component int, share double, words_count double, link_count double")
+    return found.select("component", *(F.round(c, 8).alias(c) for c in found.columns[1:]))
+
+
+def ridge_path_metadata(spark, sf):
+    """For every penalty on the metadata: training rows, and whether each feature's residuals meet the penalty's pull."""
+    rows = settle(CommentTokenizer().transform(splits.hash_split(_scored(spark, sf))), "tokenized")
+    plan = feature_plan("metadata", lexicon=_lexicon(spark), tokenized=True)
+    train = splits.train_part(settle(fit_features(rows, plan).featured(rows, "part"), "path-rows"))
+    width = models.vector_width(train)
+    data = train.select("score_double", vector_to_array("features").alias("x"))
+    moments = data.agg(F.count("*"), F.stddev_pop("score_double"), *(F.var_pop(F.col("x")[j]) for j in range(width))).first()
+    n, sd, variance = moments[0], moments[1], moments[2:]
+    out = []
+    for reg, model in zip(models.REG_GRID, models.fit_linear_path(train, models.REG_GRID)):
+        w = model.coefficients.toArray()
+        miss = F.col("prediction") - F.col("score_double")
+        x = vector_to_array("features")
+        # Residuals per feature, in its own spread, against what the penalty takes off its slope.
+        lefts = [F.abs(F.sum(miss) / n)] + [
+            F.abs(F.sum(miss * x[j]) / n + reg / sd * v * float(w[j])) / v**0.5 if v > 1e-12 else F.lit(abs(float(w[j])))
+            for j, v in enumerate(variance)
+        ]
+        settled = (F.greatest(*lefts) < SETTLED * sd).alias("settled")
+        out.append(model.transform(train).agg(F.lit(reg).alias("reg_param"), F.count("*").alias("rows"), settled))
+    return reduce(DataFrame.unionByName, out)
+
+
 def prediction_sample(spark, sf):
     train, test = _parts(_linear_frame(spark, sf))
     sample = evaluate.prediction_sample(models.fit_linear(train).transform(test))
@@ -725,6 +761,8 @@ ALL = {
         linear_weights,
         reg_path_one_feature,
         ridge_one_feature,
+        pca_two_features,
+        ridge_path_metadata,
         prediction_sample,
         last_predictions,
         run_counts,
