@@ -615,6 +615,20 @@ QUERIES = {
     "ridge_path_metadata": f"""
         SELECT reg_param, count(*) AS "rows", true AS settled
         FROM points, (VALUES {REG_ROWS}) AS regs(reg_param) WHERE part = 'train' GROUP BY reg_param""",
+    # The cut between two hours that leaves the least squared error.
+    "tree_on_hour": """
+        WITH hours AS (SELECT f.hour, s.score_double AS y, part FROM features f JOIN scored s ON f.id = s.id JOIN parts p ON f.id = p.id),
+        sums AS (SELECT hour, count(*) AS n, sum(y) AS t FROM hours WHERE part = 'train' GROUP BY hour),
+        sides AS (
+            SELECT hour, lead(hour) OVER (ORDER BY hour) AS next_hour, sum(n) OVER u AS nl, sum(t) OVER u AS tl,
+                   sum(n) OVER () AS n, sum(t) OVER () AS t
+            FROM sums WINDOW u AS (ORDER BY hour ROWS UNBOUNDED PRECEDING)),
+        best AS (
+            SELECT (hour + next_hour) / 2 AS cut, tl / nl AS below, (t - tl) / (n - nl) AS above
+            FROM sides WHERE next_hour IS NOT NULL
+            ORDER BY tl * tl / nl + (t - tl) * (t - tl) / (n - nl) DESC, hour LIMIT 1)
+        SELECT hour, count(*) AS "rows", round(max(CASE WHEN hour <= cut THEN below ELSE above END), 6) AS prediction
+        FROM hours, best GROUP BY hour""",
     "prediction_sample": """
         SELECT p.id, k.body, array_to_string(t.words, '|') AS words, y AS score_double,
                round(prediction, 6) AS prediction, round((y - prediction) ** 2, 4) AS sq_err
@@ -624,6 +638,7 @@ QUERIES = {
         SELECT id, y AS score_double, round(prediction, 6) AS prediction
         FROM two_predictions WHERE part = 'test' ORDER BY id DESC LIMIT 5""",
 }
+QUERIES["features_reloaded"] = QUERIES["features_metadata"]
 QUERIES["run_counts"] = QUERIES["stage_counts"]
 QUERIES["lexicon_filter_by_join"] = QUERIES["lexicon_filter"]
 QUERIES["lexicon_file_hits"] = QUERIES["lexicon_hits"]

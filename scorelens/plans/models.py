@@ -125,8 +125,8 @@ def regularisation_path(
     )
 
 
-def fit_forest(train: DataFrame, seed: int = RANDOM_SEED):
-    return RandomForestRegressor(featuresCol="features", labelCol=SCORE, seed=seed).fit(train)
+def fit_forest(train: DataFrame, seed: int = RANDOM_SEED, **params):
+    return RandomForestRegressor(featuresCol="features", labelCol=SCORE, seed=seed, **params).fit(train)
 
 
 def one_vs_rest(classifier) -> OneVsRest:

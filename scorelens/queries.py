@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import HashingTF, IDF, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -298,6 +299,15 @@ def features_pca(spark, sf):
     return _slots(fit_features(rows, plan).transform(rows), "features")
 
 
+def features_reloaded(spark, sf):
+    """The metadata plan, fitted, saved, loaded and applied."""
+    rows = settle(CommentTokenizer().transform(_real(spark, sf)), "tokenized")
+    fitted = fit_features(rows, feature_plan("metadata", lexicon=_lexicon(spark), tokenized=True))
+    path = fresh_path(spark, "plan")
+    fitted.model.write().save(path)
+    return _slots(PipelineModel.load(path).transform(rows), "features")
+
+
 # Labels and distributions
 
 
@@ -536,6 +546,15 @@ def ridge_path_metadata(spark, sf):
     return reduce(DataFrame.unionByName, out)
 
 
+def tree_on_hour(spark, sf):
+    """What a forest of one tree with one split on the hour predicts for every hour."""
+    rows = splits.hash_split(_scored(spark, sf)).select("part", "score_double", text.hour_of_day(F.col("created_utc")).alias("hour"))
+    rows = settle(VectorAssembler(inputCols=["hour"], outputCol="features").transform(rows), "hours")
+    model = models.fit_forest(splits.train_part(rows), numTrees=1, maxDepth=1, bootstrap=False)
+    predicted = model.transform(rows).groupBy("hour").agg(F.count("*").alias("rows"), F.max("prediction").alias("prediction"))
+    return predicted.withColumn("prediction", F.round("prediction", 6))
+
+
 def prediction_sample(spark, sf):
     train, test = _parts(_linear_frame(spark, sf))
     sample = evaluate.prediction_sample(models.fit_linear(train).transform(test))
@@ -734,6 +753,8 @@ ALL = {
         hashing_tf,
         hashed_tfidf,
         features_pca,
+        features_reloaded,
+        tree_on_hour,
         quartile_threshold,
         quartile_by_community,
         binary_label,

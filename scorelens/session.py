@@ -7,6 +7,8 @@ import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,8 +48,27 @@ def _local_folder() -> str:
     return folder
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is written to the shared folder inside, at the end; what results still read must be written elsewhere before."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _written.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
+_written: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/scorelens-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/scorelens-{name}-{uuid.uuid4().hex}"
+    for paths in _written[-1:]:
+        paths.append(path)
+    return path
 
 
 def write_once(df: DataFrame, name: str) -> str:
