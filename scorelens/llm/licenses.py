@@ -95,10 +95,12 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
     """doc_id, license, containment, position, places: one row per document id and license found.
 
     containment is the best share of a template's distinct shingles in one
-    place, position the first word of the leftmost place with at least `least`,
-    places their number. Null or short texts match nothing; rows of one id
-    count together. Templates need five words; they are taken in blocks, one
-    scan each, so that a task's key set is bounded.
+    place, position where the leftmost place with at least `least` begins (its
+    first matching shingle tells which word of the template stands there), and
+    places how many there are: starts of a template closer together than its
+    length, SLACK at most, are one place. Null or short texts match nothing;
+    rows of one id count together. Templates need five words; they are taken
+    in blocks, one scan each, so that a task's key set is bounded.
     """
     spark = docs.sparkSession
     windows = _template_windows(spark, templates)
@@ -108,15 +110,27 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
     )
     hashed = base.select("doc_id", shingle_hashes(F.col("words")).alias("h"))
     parts = [_block_places(hashed, block, least) for block in blocks]
-    places = parts[0]
+    found = parts[0]
     for part in parts[1:]:
-        places = places.unionByName(part)
+        found = found.unionByName(part)
+    # What a template's windows found in one document: a few starts for each place.
+    starts = found.groupBy("row", "doc_id", "license", "template", "apart").agg(
+        F.max("containment").alias("containment"), F.sort_array(F.collect_set("position")).alias("starts")
+    )
+
+    def add(seen: Column, start: Column) -> Column:
+        fresh = start - seen["last"] >= F.col("apart")
+        return F.struct(start.alias("last"), (seen["places"] + fresh.cast("bigint")).alias("places"))
+
+    none = F.struct(F.lit(-(1 << 20)).cast("int").alias("last"), F.lit(0).cast("bigint").alias("places"))
+    places = F.aggregate("starts", none, add, lambda seen: seen["places"])
     return (
-        places.groupBy("doc_id", "license")
+        starts.select("doc_id", "license", "containment", F.get("starts", F.lit(0)).alias("position"), places.alias("places"))
+        .groupBy("doc_id", "license")
         .agg(
             F.max("containment").alias("containment"),
             F.min("position").cast("bigint").alias("position"),
-            F.count_distinct("position").alias("places"),
+            F.sum("places").alias("places"),
         )
     )
 
@@ -141,17 +155,30 @@ def _block_places(hashed: DataFrame, windows: list[dict], least: float) -> DataF
                     F.slice(h, F.greatest(i - reach, F.lit(1)), 2 * reach + size).alias("near"),  # noqa: B023
                 )
                 met.append(F.coalesce(F.transform(found, near), F.array()))
-    candidates = hashed.select("doc_id", F.explode(F.concat(*met)).alias("w")).select("doc_id", "w.*")
+    named = hashed.withColumn("row", F.monotonically_increasing_id())
+    candidates = named.select("row", "doc_id", F.explode(F.concat(*met)).alias("w")).select("row", "doc_id", "w.*")
     filed = spark.createDataFrame(
-        [(w["license"], w["h"], w["size"], w["band"], w["offset"], w["key"]) for w in windows],
-        "license string, shingles array<bigint>, size int, band int, offset int, key bigint",
+        [(w["template"], w["license"], w["h"], w["size"], w["band"], w["offset"], w["key"]) for w in windows],
+        "template int, license string, shingles array<bigint>, size int, band int, offset int, key bigint",
     )
     start = F.col("at") - F.col("offset")
     begin = F.greatest(start - SLACK, F.col("low"))
     region = F.slice("near", begin - F.col("low") + 1, F.size("shingles") + 2 * SLACK)
     share = F.size(F.array_intersect("shingles", region)) / F.size(F.array_distinct("shingles"))
+    # Which start each matching shingle of the region stands for; the first one near the guess tells where the place begins.
+    meant = F.transform(
+        region, lambda shingle, i: F.when(F.array_contains("shingles", shingle), begin + i - F.array_position("shingles", shingle).cast("int"))
+    )
+    apart = F.least(F.lit(SLACK), F.size("shingles") + SHINGLE - 2) + 1
+    near = lambda other: F.get(F.filter(meant, lambda m: m.isNotNull() & (F.abs(m - other) < apart)), F.lit(0))
+    anchored = near(F.col("guessed"))
     return (
         candidates.join(filed, ["size", "band", "key"])
-        .select("doc_id", "license", F.greatest(start - 1, F.lit(0)).alias("position"), share.alias("containment"))
-        .where(F.col("containment") >= least)
+        .withColumn("guessed", start - 1)
+        .withColumn("guessed", anchored)
+        .select(
+            "row", "doc_id", "license", "template", apart.alias("apart"),
+            F.when(anchored.isNotNull(), F.greatest(anchored, F.lit(0))).alias("position"), share.alias("containment"),
+        )
+        .where((F.col("containment") >= least) & F.col("position").isNotNull())
     )

@@ -50,6 +50,32 @@ def test_position_and_places(spark):
     assert (row.position, row.places) == (12, 2)
 
 
+def word_count(text):
+    return len([w for w in re.split(licenses.SEPARATORS, text.lower()) if w])
+
+
+def test_places_of_whole_and_edited_notices(spark):
+    """Each notice once after k other words, with a word put in or left out, and several times in a row or apart."""
+    rows, expected = [], {}
+
+    def case(text, name, position, places):
+        doc = len(rows)
+        rows.append((doc, text))
+        expected[doc, name] = (position, places)
+
+    for i, (name, t) in enumerate(licenses.TEMPLATES):
+        case(prose(3 + i, i) + " " + t + " " + prose(30, -i), name, 3 + i, 1)
+        case(" ".join([t] * 4), name, 0, 4)
+        case(prose(2, i) + " " + t + " " + prose(25, 50 + i) + " " + t, name, 2, 2)
+        w = t.split()
+        if word_count(t) >= 30:
+            for k in (8, len(w) // 2, len(w) - 6):
+                case(prose(3, k) + " " + " ".join(w[:k] + ["inserted"] + w[k:]), name, 3, 1)
+                case(prose(3, k) + " " + " ".join(w[:k] + w[k + 1 :]), name, 3, 1)
+    got = {(r.doc_id, r.license): (r.position, r.places) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert {k: got.get(k) for k in expected} == expected
+
+
 def test_edges(edge, empty, spark):
     assert found(edge) == brute(EDGE_ROWS) == {}
     assert licenses.scan(empty).count() == 0
