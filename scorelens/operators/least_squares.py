@@ -22,7 +22,7 @@ from scorelens.session import settle
 # Groups that a task sums at once, and the widest system that sums of products are made for.
 HELD_CELLS = 2**22
 DENSE = 512
-TOLERANCE, MOST = 1e-4, 300
+TOLERANCE, MOST = 1e-3, 100
 
 
 def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ def _wide_path(entries: DataFrame, width: int, regs: Sequence[float], tolerance:
     sd = np.where(sd > 1e-9 * (1 + np.abs(mean)), sd, 0.0)
     scale = np.divide(1, sd, out=np.zeros(width), where=sd > 0)
     shifts = np.array([reg / y_sd if y_sd > 0 else 0.0 for reg in regs])
-    base = shifts.min(initial=0.0) if not len(shifts) else shifts.min()
+    base = shifts.min()
     extra = shifts - base
     plain = entries.select("entries")
 
@@ -149,7 +149,9 @@ def _wide_path(entries: DataFrame, width: int, regs: Sequence[float], tolerance:
     zeta, zeta_before = np.ones(len(shifts)), np.ones(len(shifts))
     alpha_before, beta = 1.0, 0.0
     for _ in range(most):
-        if norm**0.5 <= target or norm == 0:
+        # Without a penalty there may be many answers: that system goes as far as the others need.
+        left = np.abs(zeta[shifts > 0]) if (shifts > 0).any() else np.ones(1)
+        if left.max() * norm**0.5 <= target:
             break
         turned = product(p)
         bend = float(p @ turned)
@@ -179,9 +181,9 @@ def solve_path(
     """(intercept, weights) for every penalty, from the passes of one fit.
 
     Up to DENSE slots one pass sums all products; wider systems take a pass per
-    step until the residual of the smallest penalty is `tolerance` of the first
-    one, or `most` steps are done (a system without penalty and with more slots
-    than rows has many answers; this gives one that is close to the shortest).
+    step until the residual of every penalty is `tolerance` of the first one, or
+    `most` steps are done. A system without penalty and with more slots than
+    rows has many answers; it stops with the others, near the shortest one.
     """
     rows = df.select(F.col(label).cast("double").alias("y"), vector)
     if width <= DENSE:
