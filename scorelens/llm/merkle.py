@@ -1,14 +1,16 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and phrases.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and leaves.
 
-A paragraph is a line, a section is SECTION lines in a row, a phrase is up to
-PHRASE words of a line; texts of up to SHORT characters also list pieces of
-PIECE characters, since a few phrases say little. A fingerprint lists the levels from the root down, so
-equal roots mean equal texts and differing branches show where an edit is.
-Built-in SQL functions only.
+A paragraph is a line, a section is SECTION lines in a row. A paragraph is cut
+where its content says, after the first blank or stop that follows ten
+characters, or after sixteen, into leaves. Leaves are hashed into paragraphs,
+those into sections, those into the root, so equal roots mean equal texts and
+differing branches show where an edit is. Built-in SQL functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,80 +18,134 @@ from scorelens.llm.texts import only
 from scorelens.session import settle
 
 SECTION = 8
-PHRASE = 4
-SHORT = 256
-PIECE = 4
+LEAF = r"(?s).{9,15}?[ ,.;:!?]|.{1,16}|^\z"
+NODE, LEAF_HASH = 8, 4  # characters of base64 that a fingerprint keeps of a node and of a leaf
 FIRST_ID = -(1 << 63)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _short(md5: Column, characters: int) -> Column:
+    return F.base64(F.unhex(F.substring(md5, 1, characters * 3 // 2)))
+
+
 def fingerprint(text: Column) -> Column:
-    """root/sections/paragraphs/phrases/pieces, a level's hashes blank-separated; a null text counts as empty."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    words = f"[^ ]++(?: ++[^ ]++){{0,{PHRASE - 1}}}"
-    phrases = F.flatten(F.transform(lines, lambda p: F.regexp_extract_all(p, F.lit(words), F.lit(0))))
-    paragraphs = F.transform(lines, F.md5)
-    starts = F.sequence(F.lit(1), F.size(lines), F.lit(SECTION))
-    sections = F.transform(starts, lambda i: F.md5(F.array_join(F.slice(paragraphs, i, SECTION), "")))
-    return F.concat_ws(
-        "/",
-        F.md5(F.array_join(sections, "")),
-        F.array_join(sections, " "),
-        F.array_join(F.transform(paragraphs, lambda p: F.substring(p, 1, 16)), " "),
-        _short_hashes(phrases),
-        F.when(F.length(text) <= SHORT, _short_hashes(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
-        .otherwise(""),
-    )
+    """root:sections:paragraphs, the nodes of a level blank-separated; a null text counts as empty.
 
+    A paragraph is its own node and, without a break, its leaves in order.
+    """
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    leaves = F.transform(lines, lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), F.md5))
+
+    def paragraph(hashes: Column) -> Column:
+        kept = F.transform(hashes, lambda h: _short(h, LEAF_HASH))
+        return F.struct(F.md5(F.array_join(hashes, "")).alias("node"), F.array_join(kept, "").alias("leaves"))
+
+    def levels(paragraphs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(paragraphs), F.lit(SECTION))
+        sections = F.transform(starts, lambda i: F.md5(F.array_join(F.slice(paragraphs["node"], i, SECTION), "")))
+        branches = F.transform(paragraphs, lambda p: F.concat(_short(p["node"], NODE), p["leaves"]))
+        return _let(
+            sections,
+            lambda nodes: F.concat_ws(
+                ":",
+                F.md5(F.array_join(nodes, "")),
+                F.array_join(F.transform(nodes, lambda n: _short(n, NODE)), " "),
+                F.array_join(branches, " "),
+            ),
+        )
 
-def _short_hashes(parts: Column) -> Column:
-    hashed = F.transform(parts, lambda p: F.lower(F.right(F.lpad(F.hex(F.xxhash64(p)), 16, "0"), F.lit(8))))
-    return F.array_join(hashed, " ")
+    return _let(F.transform(leaves, paragraph), levels)
 
 
 def _level(fingerprint: Column, level: int) -> Column:
-    return F.split(F.split_part(fingerprint, F.lit("/"), F.lit(level)), " ")
+    return F.split(F.split_part(fingerprint, F.lit(":"), F.lit(level)), " ")
+
 
+def _nodes(branches: Column) -> Column:
+    return F.transform(branches, lambda p: F.substring(p, 1, NODE))
 
-def _alike(x: Column, y: Column) -> Column:
-    longer, shorter = F.greatest(F.size(x), F.size(y)), F.least(F.size(x), F.size(y))
 
-    def run(p: Column, q: Column) -> Column:
-        same = F.zip_with(F.slice(p, 1, shorter), F.slice(q, 1, shorter), lambda u, v: u == v)
-        first = F.array_position(same, F.lit(False))
-        return F.when(first > 0, first - 1).otherwise(shorter)
+def _weight(branches: Column) -> Column:
+    """How many leaves are under these paragraphs."""
+    return (F.length(F.array_join(branches, "")) - NODE * F.size(branches)) / LEAF_HASH
 
-    ends = F.least(run(x, y) + run(F.reverse(x), F.reverse(y)), shorter) / longer
-    sets = 2 * F.size(F.array_intersect(x, y)) / (F.size(F.array_distinct(x)) + F.size(F.array_distinct(y)))
-    return F.greatest(ends, sets).cast("double")
+
+def _head(x: Column, y: Column) -> Column:
+    """How many entries both lists begin with."""
+    shorter = F.least(F.size(x), F.size(y))
+    same = F.zip_with(F.slice(x, 1, shorter), F.slice(y, 1, shorter), lambda u, v: u == v)
+    return _let(F.array_position(same, F.lit(False)), lambda first: F.when(first > 0, (first - 1).cast("int")).otherwise(shorter))
+
+
+def _both_ends(x: Column, y: Column) -> Column:
+    """head, tail: entries that both lists begin and end with; the tail doesn't reach into the head."""
+    head = _head(x, y)
+    tail = _head(F.reverse(x), F.reverse(y))
+    return _let(head, lambda n: F.struct(n.alias("head"), F.least(tail, F.least(F.size(x), F.size(y)) - n).alias("tail")))
+
+
+def _cut(entries: Column, ends: Column) -> Column:
+    return F.slice(entries, ends["head"] + 1, F.size(entries) - ends["head"] - ends["tail"])
+
+
+def _equal_leaves(x: Column, y: Column) -> Column:
+    """Equal leaves of differing paragraphs: at both ends, or anywhere."""
+    leaves = lambda p: F.regexp_extract_all(
+        F.array_join(F.transform(p, lambda b: F.substr(b, F.lit(NODE + 1))), ""), F.lit(f".{{{LEAF_HASH}}}"), F.lit(0)
+    )
+    count = lambda p, q: _let(
+        _both_ends(p, q), lambda ends: F.greatest(ends["head"] + ends["tail"], F.size(F.array_intersect(p, q)))
+    )
+    return _let(F.struct(leaves(x).alias("x"), leaves(y).alias("y")), lambda s: count(s["x"], s["y"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: 1 for equal roots, else the larger of two shares of equal phrases.
+    """0 to 1: the share of equal leaves, of the text that has more; 1 for equal roots.
 
-    One counts those before the first and after the last difference against the
-    longer list, the other compares the sets of phrases, wherever they stand.
-    Two short texts are compared by their pieces as well.
+    The search goes down differing branches only. All leaves of the sections
+    that both begin with are equal; so are, among the other paragraphs, those
+    of the ones at both ends and then those of equal ones anywhere (repeated
+    ones count once there). Only leaves of what is left are compared, those at
+    both ends or those that stand anywhere, whichever are more.
     """
-    root, pieces = lambda f: F.split_part(f, F.lit("/"), F.lit(1)), lambda f: F.split_part(f, F.lit("/"), F.lit(5))
-    phrases = _alike(_level(a, 4), _level(b, 4))
-    both_short = (pieces(a) != "") & (pieces(b) != "")
-    return (
-        F.when(root(a) == root(b), 1.0)
-        .when(both_short, F.greatest(phrases, _alike(_level(a, 5), _level(b, 5))))
-        .otherwise(phrases)
-    )
 
+    def below(s: Column) -> Column:
+        """What is left under the first differing section."""
+        ends = _both_ends(_nodes(s["x"]), _nodes(s["y"]))
+
+        def between(e: Column) -> Column:
+            outside = _weight(s["x"]) - _weight(_cut(s["x"], e))
+            return _let(
+                F.struct(_cut(s["x"], e).alias("x"), _cut(s["y"], e).alias("y")),
+                lambda m: outside
+                + _weight(F.array_intersect(m["x"], m["y"]))
+                + _equal_leaves(F.array_except(m["x"], m["y"]), F.array_except(m["y"], m["x"])),
+            )
+
+        return _let(ends, between)
+
+    def from_sections(s: Column) -> Column:
+        skipped = _head(s["p"], s["q"]) * SECTION
+        rest = lambda p, n: F.slice(p, n + 1, F.size(p))
+        equal = _let(
+            F.least(skipped, F.size(s["x"]), F.size(s["y"])),
+            lambda n: _weight(F.slice(s["x"], F.lit(1), n))
+            + _let(F.struct(rest(s["x"], n).alias("x"), rest(s["y"], n).alias("y")), below),
+        )
+        return equal / F.greatest(_weight(s["x"]), _weight(s["y"]))
 
-def _for_likeness(fingerprint: Column) -> Column:
-    """A fingerprint without the levels that likeness() doesn't read."""
-    part = lambda level: F.split_part(fingerprint, F.lit("/"), F.lit(level))
-    return F.concat_ws("/", part(1), F.lit(""), F.lit(""), part(4), part(5))
+    both = F.struct(_level(a, 2).alias("p"), _level(b, 2).alias("q"), _level(a, 3).alias("x"), _level(b, 3).alias("y"))
+    root = lambda f: F.split_part(f, F.lit(":"), F.lit(1))
+    return F.when(root(a) == root(b), 1.0).otherwise(_let(both, from_sections))
 
 
 def changed_paragraphs(a: Column, b: Column) -> Column:
     """Numbers (from 0) of the paragraphs of the second fingerprint that the first one lacks."""
-    x, y = _level(a, 3), _level(b, 3)
-    marked = F.transform(y, lambda p, i: F.when(~F.array_contains(x, p), i))
+    marked = F.transform(_nodes(_level(b, 3)), lambda p, i: F.when(~F.array_contains(_nodes(_level(a, 3)), p), i))
     return F.filter(marked, lambda i: i.isNotNull())
 
 
@@ -147,7 +203,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
         .select(
             F.col("of_place").alias("place"),
             F.col("of_digest").alias("digest"),
-            F.struct(F.substring("text", F.lit(1), F.col("quarter")).alias("head"), _for_likeness(fingerprint(F.col("text"))).alias("next")).alias("from"),
+            F.struct(F.substring("text", F.lit(1), F.col("quarter")).alias("head"), fingerprint(F.col("text")).alias("next")).alias("from"),
         )
         .groupBy("place", "digest")
         .agg(F.first("from").alias("from"))
