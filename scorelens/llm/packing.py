@@ -30,6 +30,7 @@ WORDS_PER_CALL = 1000
 # ASCII punctuation; after an ASCII letter or digit and before a blank it is a token run of its own.
 PUNCTUATION = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 ALPHANUMERIC = b"0123456789abcdefghijklmnopqrstuvwxyz"
+OWN = ("pack_group", "sequence_id", "offset")
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
@@ -165,10 +166,13 @@ def pack_lengths(lengths: list[int], capacity: int) -> tuple[np.ndarray, np.ndar
 def place(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """The pieces with sequence_id and offset; other columns are carried along.
 
-    `pieces` has doc_id, piece, start and length (1 to `capacity`) and is read
-    twice, so it should be a written table. Groups come from a hash of a
-    piece's place and length, so rows that are equal in all of it share one.
+    `pieces` has doc_id, piece, length (1 to `capacity`) and piece_no, a number
+    of the row, and is read twice, so it must be a written table. Groups come
+    from a hash of that number, so rows equal in all else are dealt as well.
+    Columns named pack_group, sequence_id or offset are replaced; no rows give
+    none.
     """
+    pieces = pieces.drop(*OWN)
     groups = max(1, -(-pieces.count() // group))
     carried = pieces.schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
@@ -178,18 +182,21 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Da
         number, offset = pack_lengths(rows["length"].tolist(), capacity)
         return rows.drop(columns="pack_group").assign(sequence_id=key[0] * (1 << 32) + number, offset=offset)
 
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "start", "length"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("piece_no"), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(pack, f"{schema}, sequence_id bigint, offset bigint")
 
 
+def _numbered(pieces: DataFrame) -> DataFrame:
+    return pieces.withColumn("piece_no", F.monotonically_increasing_id())
+
+
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their ids, sequence_id and offset.
 
     Only lengths are packed; the ids meet their places in a join on a number
     that is written with the piece.
     """
-    pieces = tokenize(docs, tokenizer, capacity).withColumn("piece_no", F.monotonically_increasing_id())
-    pieces = settle(pieces, "pieces")
+    pieces = settle(_numbered(tokenize(docs, tokenizer, capacity)), "pieces")
     placed = settle(place(pieces.drop("ids"), capacity), "places").select("piece_no", "sequence_id", "offset")
     return pieces.join(placed, "piece_no").drop("piece_no")
 
@@ -197,4 +204,4 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
 def pack_digests(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
     """As pack(), with a CRC-32 in place of the ids, which then stay where they were made."""
     pieces = tokenize(docs, tokenizer, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return place(settle(pieces, "piece-digests"), capacity)
+    return place(settle(_numbered(pieces), "piece-digests"), capacity).drop("piece_no")

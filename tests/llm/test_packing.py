@@ -4,12 +4,12 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import EDGE_ROWS, prose
+from conftest import EDGE_ROWS, frame, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from scorelens.llm.packing import WordIds, pack, pack_digests, pack_lengths
+from scorelens.llm.packing import WordIds, pack, pack_digests, pack_lengths, place
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -118,3 +118,19 @@ def test_few_sequences():
 def test_long_prose(whole, by_word):
     text = prose(3000, "tokens").replace("the", "The,").replace("ou", "oü")
     assert np.frombuffer(next(iter(by_word([text.encode()]))), "<u4").tolist() == whole(text)
+
+
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    pieces = spark.range(4000).selectExpr(
+        "cast(null as bigint) doc_id", "0 piece", "0L start", "7L length", "id piece_no", "'x' offset", "1 pack_group", "2 sequence_id"
+    )
+    rows = place(pieces, 64, 100).collect()
+    sizes = np.bincount([r.sequence_id >> 32 for r in rows])
+    assert len(rows) == 4000 and len(sizes) == 40 and sizes.max() < 200
+    check_places(rows, 64)
+
+
+def test_many_empty_documents(spark):
+    rows = pack_digests(frame(spark, [(None, None)] * 300), capacity=64).collect()
+    assert check_places(rows, 64) == 5 and set(rows[0].asDict()) == {
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
