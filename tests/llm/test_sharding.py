@@ -39,5 +39,22 @@ def test_copies_are_scattered(spark, monkeypatch):
     assert all(25 <= sum(r.doc_id < 400 for r in got if r.shard == s) <= 75 for s in range(8))
 
 
+def test_equal_rows_are_scattered_and_starts_add_up(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(sharding, "COPIES", 50)
+    monkeypatch.setattr(sharding, "CELL", 4)
+    taken = []
+    shuffle = sharding._starts
+    monkeypatch.setattr(sharding, "_starts", lambda sizes: taken.append(sizes) or shuffle(sizes))
+    rows = [(None, None)] * 600 + [(i, prose(10, i)) for i in range(200)]
+    got = sharding.shard_digests(frame(spark, rows)).collect()
+    sizes = sorted((r.shuffle_bucket, r.n) for r in taken[0].collect())
+    assert sum(n for _, n in sizes) == 800 and max(n for _, n in sizes) < 80
+    before = {r.shuffle_bucket: r.shuffle_before for r in shuffle(taken[0]).collect()}
+    assert before == {b: sum(n for c, n in sizes if c < b) for b, _ in sizes}
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(8) for i in range(100)]
+    assert sum(r.doc_id is None for r in got) == 600
+
+
 def test_empty(empty):
     assert sharding.shard_digests(empty).count() == 0
