@@ -51,7 +51,8 @@ def statistics(text: bytes | None) -> list[float]:
         share(gone(MARKS), 0.05, n),
         share(gone(b"!"), 0.01, n),
         share(sum(len(w) <= 3 for w in words), 0.4, n),
-        share(len(counts), 0.9, n) if n < 200 else float(np.log(len(counts) / n)) + 0.25 * float(np.log(n / 200)),
+        # Longer texts repeat more words; the second term makes up for that.
+        share(len(counts), 0.9, n) + 0.25 * float(np.log1p(n / 200)),
         share(max(counts.values(), default=0), 0.1, n),
         share(sum(map(eq, words, words[1:])), 0.01, n),
         share(sum(len(w) == 1 and w in b"#$%&*|<>{}[]=_~^\\/+@-" for w in words), 0.02, n),
@@ -160,12 +161,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of `docs` whose score is at least `least`, columns unchanged.
 
+    Labels of one class only, or none, tell good from bad in no way: all rows
+    stay then. An empty table gives an empty one.
     The model sees the statistics of the same rows; scoring then runs beside
     the row itself, so nothing is joined and repeated ids can't mix.
     """
     model = fit(settle(described(docs), "statistics"), labels)
     if isinstance(model, float):
-        return docs if model >= least else docs.limit(0)
+        return docs
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -29,6 +29,16 @@ def test_too_few_labels(spark, edge, rows, score):
     assert {r.score for r in quality.quality_scores(edge, labels(spark, rows)).collect()} == {score}
 
 
+@pytest.mark.parametrize("rows", [[], [(1, 1, "t")], [(1, 0, "t"), (4, 0, "t")]])
+def test_one_class_rejects_nothing(spark, edge, rows):
+    assert quality.keep_good(edge, labels(spark, rows)).count() == len(EDGE_ROWS)
+
+
+def test_no_statistic_jumps_with_the_length():
+    x = np.array([quality.statistics(" ".join(f"w{i % 150}" for i in range(n)).encode()) for n in range(190, 211)])
+    assert np.abs(np.diff(x, axis=0)).max() < 0.01
+
+
 def test_moments_and_density():
     rng = np.random.default_rng(1)
     d = quality.STATISTICS
