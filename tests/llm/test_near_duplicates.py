@@ -4,6 +4,7 @@ import pytest
 from brute import fingerprint, groups
 from conftest import EDGE_ROWS, frame, prose
 
+from scorelens.llm import components as steps
 from scorelens.llm.components import components
 from scorelens.llm.simhash import fingerprint_links, keep_one, near_duplicates
 
@@ -66,6 +67,18 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(200), 0), 1000: 1000, 1001: 1000}
 
 
+def test_components_around_hubs(spark, monkeypatch):
+    """Stars with many leaves, joined by one of them: hubs go by broadcast, the rest by shuffle."""
+    monkeypatch.setattr(steps, "FEW", 10)
+    monkeypatch.setattr(steps, "MOST_HUBS", 1 << 4)
+    rng = random.Random(2)
+    edges = [(h, rng.randrange(1000 * h, 1000 * h + 300)) for h in (7, 8, 9) for _ in range(400)]
+    edges += [(7, 8500), (8, 8500), (30, 31), (31, 32)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    nodes = {n for e in edges for n in e}
+    assert got == {n: 30 if n in (30, 31, 32) else 9 if n == 9 or n >= 9000 else 7 for n in nodes}
+
+
 def test_one_of_each_group_stays(edge):
     kept = keep_one(edge)
     assert kept.schema == edge.schema
