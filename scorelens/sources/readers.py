@@ -62,12 +62,13 @@ def read_csv_comments(spark: SparkSession, path: str) -> DataFrame:
     placed = placed.withColumn("inside", (F.col("open") + F.sum(quotes).over(in_split)) % 2)
     # A record is named by the line that ends it, or by the split's end where none does.
     ends = F.when(F.col("inside") == 0, F.col("line"))
-    ahead = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # From the back: a frame that reaches to the last row is gone through anew for every row.
+    ahead = Window.partitionBy("file", "split").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     named = placed.withColumn("end", F.min(ends).over(ahead))
     # What a split leaves open goes on to the first end in a later one.
     first_end = named.groupBy("file", "split").agg(F.min(ends).alias("first_end"))
-    later = Window.partitionBy("file").orderBy("split").rowsBetween(1, Window.unboundedFollowing)
-    going_on = first_end.withColumn("next_end", F.first("first_end", ignorenulls=True).over(later))
+    later = Window.partitionBy("file").orderBy(F.desc("split")).rowsBetween(Window.unboundedPreceding, -1)
+    going_on = first_end.withColumn("next_end", F.last("first_end", ignorenulls=True).over(later))
     going_on = settle(going_on.select("file", "split", "next_end"), "csv-open-records")
     named = named.join(going_on, ["file", "split"]).withColumn("end", F.coalesce("end", "next_end", F.lit(-1)))
     records = named.groupBy("file", "end").agg(

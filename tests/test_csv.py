@@ -51,3 +51,9 @@ def test_only_a_header(spark, tmp_path):
     written(tmp_path / "a.csv", [("id", "body")])
     found = read_csv_comments(spark, str(tmp_path / "a.csv"))
     assert found.columns == ["id", "body"] and found.count() == 0
+
+
+def test_no_frame_is_gone_through_anew_for_every_row(spark, tmp_path):
+    written(tmp_path / "a.csv", [("id", "body"), ("a", "one\ntwo")])
+    plan = read_csv_comments(spark, str(tmp_path / "a.csv"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "unboundedfollowing" not in plan
