@@ -97,6 +97,23 @@ def test_groups_of_one_class_one_row_or_no_values(spark):
     assert logistic.fit_groups(df.where("false"), ["grp"], 0.5).count() == 0
 
 
+def test_groups_fitted_whole_or_step_by_step(spark, monkeypatch):
+    """Groups that a task can hold need no job per step; the answers are those of the steps that jobs take."""
+    rows = [(g, float((i * 7 + len(g)) % 3 == 0), [(i % 4, 1.0 + i % 2), (5, float(i))]) for g in ("a", "bb") for i in range(30)]
+    rows += [(None, 1.0, [(0, 1.0)]), ("empty", 1.0, []), ("empty", 0.0, [])]
+    df = spark.createDataFrame(rows, "grp string, y double, entries array<struct<slot:int,value:double>>")
+    found = {}
+    for held in (0, 65, 2**24):  # none, one of the groups, all
+        if held == 2**24:
+            monkeypatch.setattr(logistic, "_sums", None)
+        found[held] = {r.grp: r for r in logistic.fit_groups(df, ["grp"], 0.2, tolerance=1e-9, held=held).collect()}
+        assert set(found[held]) == {"a", "bb", "empty"}
+    for grp, r in found[0].items():
+        for held in (65, 2**24):
+            assert list(found[held][grp].known) == list(r.known)
+            assert np.allclose([found[held][grp].intercept, *found[held][grp].weights], [r.intercept, *r.weights], atol=1e-6)
+
+
 def test_bucket_model_keeps_its_buckets_when_saved(df, tmp_path):
     """A bucket without rows does not shift the others."""
     model = models.fit_logistic(df.where("score_bucket != 1.0"), 0.1)
