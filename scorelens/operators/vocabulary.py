@@ -106,9 +106,35 @@ def join_on_term(terms: DataFrame, table: DataFrame, by: Sequence[str] = ()) ->
     )
 
 
+def _counted_in_rows(rows: DataFrame, words: str, key: str) -> DataFrame:
+    """(key, term, tf) of each row by itself: its terms in order, cut where the next one begins. No task holds more than a row."""
+    ordered, starts, size = F.col("row_terms"), F.col("row_starts"), F.size("row_terms")
+    rows = rows.where(F.size(words) > 0).select(key, F.array_sort(words).alias("row_terms"))
+    begins = lambda i: (i == 0) | ~F.get(ordered, i).eqNullSafe(F.get(ordered, i - 1))
+    rows = rows.withColumn("row_starts", F.filter(F.sequence(F.lit(0), size - 1), begins))
+    found = F.transform(
+        starts,
+        lambda start, i: F.struct(
+            F.get(ordered, start).alias("term"), (F.coalesce(F.get(starts, i + 1), size) - start).cast("bigint").alias("tf")
+        ),
+    )
+    return rows.select(key, F.inline(found))
+
+
 def term_frequencies(df: DataFrame, words: str = "words", key: str = "id") -> DataFrame:
-    """Bag of words in long form: (key, term, tf)."""
-    return df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """Bag of words in long form: (key, term, tf).
+
+    A row's terms are counted in the row, so nothing is grouped; only rows that
+    share their key, or have none, are added up.
+    """
+    rows = settle(df.select(key, words), "row-terms")
+    shared = settle(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("shared_key")), "shared-keys")
+    if shared.isEmpty():
+        return _counted_in_rows(rows, words, key)
+    is_shared = F.col(key).eqNullSafe(F.col("shared_key"))
+    several = _counted_in_rows(rows.join(shared, is_shared, "left_semi"), words, key)
+    several = several.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    return _counted_in_rows(rows.join(shared, is_shared, "left_anti"), words, key).unionByName(several)
 
 
 def tfidf_terms(df: DataFrame, words: str = "words", key: str = "id") -> DataFrame:

@@ -241,3 +241,17 @@ def test_explain_weights_names_and_ties(spark):
         ("bottom", "word b"),
         ("bottom", "word a"),
     ]
+
+
+def test_terms_are_counted_in_their_row(spark):
+    """No group of (key, term) is held unless rows share their key; those are added up."""
+    from scorelens.operators.vocabulary import term_frequencies
+
+    schema = "id bigint, words array<string>"
+    single = spark.createDataFrame([(1, ["b", "a", "b", ""]), (2, []), (3, None), (4, ["a", None])], schema)
+    found = term_frequencies(single)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(1, "", 1), (1, "a", 1), (1, "b", 2), (4, "a", 1), (4, None, 1)}
+    shared = spark.createDataFrame([(1, ["b", "a"]), (1, ["b"]), (None, ["c"]), (None, ["c", "d"]), (2, ["a"])], schema)
+    found = sorted(map(str, map(tuple, term_frequencies(shared).collect())))
+    assert found == ["(1, 'a', 1)", "(1, 'b', 2)", "(2, 'a', 1)", "(None, 'c', 2)", "(None, 'd', 1)"]
