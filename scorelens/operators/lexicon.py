@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelens.session import settle
+
 SALTS = 16
 
 
@@ -26,7 +28,8 @@ def _hits(df: DataFrame, entries: DataFrame, words: str, key: str) -> DataFrame:
     its position: where the lexicon is too large to be broadcast, a frequent
     word is then spread over as many tasks. Where it is broadcast, no token moves.
     """
-    salted = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Written, so that its size is known before the tokens are dealt out for a join that needs no dealing.
+    salted = settle(entries, "lexicon-entries").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     tokens = df.select(key, F.posexplode(words).alias("position", "word"))
     return tokens.withColumn("salt", F.col("position") % SALTS).join(salted, ["word", "salt"]).drop("salt")
 

@@ -201,7 +201,7 @@ def lexicon_filter(spark, sf):
 
 
 def lexicon_filter_by_join(spark, sf):
-    kept = lexicon.with_lexicon_words(_words(spark, sf), _lexicon(spark))
+    kept = lexicon.with_lexicon_words(settle(_words(spark, sf), "tokenized"), _lexicon(spark))
     return kept.select(*_joined("filtered"))
 
 

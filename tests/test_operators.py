@@ -255,3 +255,13 @@ def test_terms_are_counted_in_their_row(spark):
     shared = spark.createDataFrame([(1, ["b", "a"]), (1, ["b"]), (None, ["c"]), (None, ["c", "d"]), (2, ["a"])], schema)
     found = sorted(map(str, map(tuple, term_frequencies(shared).collect())))
     assert found == ["(1, 'a', 1)", "(1, 'b', 2)", "(2, 'a', 1)", "(None, 'c', 2)", "(None, 'd', 1)"]
+
+
+def test_a_small_lexicon_is_broadcast_from_the_first_plan(spark):
+    """Tokens would be dealt out before the size of an unwritten lexicon is known."""
+    from scorelens.operators import lexicon
+    from scorelens.sources.readers import lexicon_frame
+
+    rows = spark.createDataFrame([(1, ["good", "x"]), (2, ["y"])], "id bigint, words array<string>")
+    for found in (lexicon.with_lexicon_words(rows, lexicon_frame(spark, {"good": 3})), lexicon.with_sentiment(rows, lexicon_frame(spark, {"good": 3}))):
+        assert "BroadcastHashJoin [word" in found._jdf.queryExecution().executedPlan().toString()
