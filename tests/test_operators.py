@@ -265,3 +265,22 @@ def test_a_small_lexicon_is_broadcast_from_the_first_plan(spark):
     rows = spark.createDataFrame([(1, ["good", "x"]), (2, ["y"])], "id bigint, words array<string>")
     for found in (lexicon.with_lexicon_words(rows, lexicon_frame(spark, {"good": 3})), lexicon.with_sentiment(rows, lexicon_frame(spark, {"good": 3}))):
         assert "BroadcastHashJoin [word" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_over_packed_rows(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from scorelens.functions.vectors import nonzero_slots
+    from scorelens.operators.packed import packed, slot_moments
+
+    rows = [(float(i), Vectors.sparse(5, {i % 4: i + 1.0}) if i % 3 else Vectors.dense([0, 0, 0, 0, i])) for i in range(50)]
+    df = spark.createDataFrame(rows, ["y", "v"])
+    records = packed(df, F.col("y"), nonzero_slots("v"), "test-packed")
+    # A record holds many rows: no value is turned to a row and to Arrow in a pass.
+    assert records.count() < 50 and {f.dataType.simpleString() for f in records.schema} == {"binary"}
+    count, moments = slot_moments(records, 5)
+    x, y = np.array([v.toArray() for _, v in rows]), np.array([y for y, _ in rows])
+    assert count == 50 and np.allclose(moments, np.column_stack([x.sum(0), (x * x).sum(0), y @ x]))
+    count, moments = slot_moments(packed(df.where("false"), F.col("y"), nonzero_slots("v"), "test-packed"), 5)
+    assert count == 0 and not moments.any()
