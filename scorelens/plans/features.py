@@ -83,7 +83,9 @@ def feature_plan(
         stop = stop.setStopWords(list(stop_words))
 
     def bag(size: int) -> VocabularyCounter:
-        return VocabularyCounter(inputCol="filtered", outputCol="words_features", vocabSize=size)
+        # Of the words with the stop words in between: the vocabulary has none, so the bag is that of `filtered`.
+        words, gone = ("filtered", []) if kind == "sentiment" else ("words", stop.getStopWords())
+        return VocabularyCounter(inputCol=words, outputCol="words_features", vocabSize=size, stopWords=gone)
 
     if kind == "record":
         return Pipeline(

@@ -104,21 +104,23 @@ class CommentFeatures(Transformer, _HasLexicon, DefaultParamsReadable, DefaultPa
 
 
 def with_comment_features(df: DataFrame, entries: DataFrame | None, key: str = "id") -> DataFrame:
+    """The rows meet their sentiment last: where nothing reads the texts any more, they are not shuffled."""
     body, words = F.col("body"), F.col("words")
-    if entries is not None and "sentiment" not in df.columns:
-        df = with_sentiment(df, entries, key=key)
-    return df.withColumns(
-        {
-            "score_double": scores.score_double(F.col("score")),
-            "words_count": text.words_count(words),
-            "chars_count": text.chars_count(words),
-            "avg_word_length": text.mean_or_zero(text.chars_count(words), text.words_count(words)),
-            "link_count": text.link_count(body),
-            "hour": text.hour_of_day(F.col("created_utc")),
-            "question_mark": text.char_count(body, "?"),
-            "excl_mark": text.char_count(body, "!"),
-        }
-    )
+    features = {
+        "score_double": scores.score_double(F.col("score")),
+        "words_count": text.words_count(words),
+        "chars_count": text.chars_count(words),
+        "avg_word_length": text.mean_or_zero(text.chars_count(words), text.words_count(words)),
+        "link_count": text.link_count(body),
+        "hour": text.hour_of_day(F.col("created_utc")),
+        "question_mark": text.char_count(body, "?"),
+        "excl_mark": text.char_count(body, "!"),
+    }
+    featured = df.withColumns(features)
+    if entries is None or "sentiment" in df.columns:
+        return featured
+    order = [*df.columns, "sentiment", *(c for c in features if c not in df.columns)]
+    return with_sentiment(featured, entries, key=key).select(*order)
 
 
 class RecordFeatures(Transformer, _HasLexicon, DefaultParamsReadable, DefaultParamsWritable):
@@ -179,17 +181,27 @@ class VocabularyCounter(
     """
 
     vocabSize = Param(Params._dummy(), "vocabSize", "terms kept", TypeConverters.toInt)
+    stopWords = Param(Params._dummy(), "stopWords", "words that are no terms, in any case", TypeConverters.toListString)
 
     @keyword_only
     def __init__(
-        self, *, inputCol: str = "filtered", outputCol: str = "words_features", vocabSize: int = 2**18
+        self,
+        *,
+        inputCol: str = "filtered",
+        outputCol: str = "words_features",
+        vocabSize: int = 2**18,
+        stopWords: list[str] = (),
     ):
         super().__init__()
-        self._setDefault(inputCol="filtered", outputCol="words_features", vocabSize=2**18)
+        self._setDefault(inputCol="filtered", outputCol="words_features", vocabSize=2**18, stopWords=[])
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
-        uses = settle(term_uses(dataset, self.getInputCol()), "term-uses")
+        uses = term_uses(dataset, self.getInputCol())
+        if stop := [word.lower() for word in self.getOrDefault(self.stopWords)]:
+            # A stop word leaves once here, not at each of its uses; a bag passes over what is no term.
+            uses = uses.where(~F.lower("term").isin(stop))
+        uses = settle(uses, "term-uses")
         best = top_terms(uses, self.getOrDefault(self.vocabSize)).select("term", "uses").collect()
         terms = [row["term"] for row in sorted(best, key=lambda row: (-row["uses"], row["term"]))]
         return _count_model(terms, self.getInputCol(), self.getOutputCol())

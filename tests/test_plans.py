@@ -1,9 +1,10 @@
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from scorelens.plans.experiments import (
 )
 from scorelens.plans.features import PLANS, feature_plan, fit_features
 from scorelens.plans.stages import CommentFeatures, CommentTokenizer, ScoreLabeler, TermPCA, VocabularyCounter
-from scorelens.session import write_once
+from scorelens.session import settle, write_once
 from scorelens.sources.readers import lexicon_frame, read_json_comments
 from scorelens.sources.tables import SMALL_LEXICON, comments
 
@@ -379,3 +380,17 @@ def test_accuracy_of_no_rows(spark):
 def test_scores_that_are_no_numbers_are_left_out(spark):
     df = spark.createDataFrame([(1, "4"), (2, "x"), (3, None)], "id int, score string")
     assert [row["id"] for row in with_score(df).collect()] == [1]
+
+
+def test_bag_features_shuffle_no_text(spark, real, lexicon):
+    """The rows meet their sentiment without body and words, and stop words leave the counts, not every row."""
+    rows = settle(CommentTokenizer().transform(real), "test-tokenized")
+    fitted = fit_features(rows, feature_plan("bag", buckets=30, lexicon=lexicon, tokenized=True))
+    plan = fitted.transform(rows).select("id", "features")._jdf.queryExecution().optimizedPlan().toString()
+    left_side = plan[plan.index("LeftOuter") :].split("\n")[1]
+    assert re.search(r"[\[ ]body#|[\[ ]words#", left_side) is None and "filtered" not in plan
+    stop = StopWordsRemover(inputCol="words", outputCol="f")
+    plain = VocabularyCounter(inputCol="f", vocabSize=30).fit(stop.transform(rows))
+    assert plain.vocabulary == fitted.vocabulary
+    bags = plain.transform(stop.transform(rows)).select("id", "words_features").orderBy("id").collect()
+    assert bags == fitted.transform(rows).select("id", "words_features").orderBy("id").collect()
