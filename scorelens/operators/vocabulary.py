@@ -15,6 +15,9 @@ from scorelens.session import settle
 HOT_SHARE = 65_536
 SALTS = 64
 
+# Where Spark's row numbers hold the partition.
+RANGE_BITS = 33
+
 
 def term_uses(df: DataFrame, words: str = "words", by: Sequence[str] = ()) -> DataFrame:
     """How often each term occurs; counted before the shuffle, so no term is hot."""
@@ -54,6 +57,22 @@ def top_terms(uses: DataFrame, size: int, by: Sequence[str] = ()) -> DataFrame:
     return uses.where((F.col("uses") > last) | ((F.col("uses") == last) & (digest <= F.lit(cut))))
 
 
+def ranked_terms(uses: DataFrame) -> DataFrame:
+    """(term, uses, slot): terms numbered from the most used on, terms used equally often in their own order.
+
+    A sort over ranges numbers the terms inside each range, and the sizes of
+    the ranges before it, one row a range, are added: no task and no driver
+    holds the terms.
+    """
+    placed = uses.select("term", "uses").orderBy(F.desc("uses"), "term").withColumn("place", F.monotonically_increasing_id())
+    placed = settle(placed, "ranked-terms").withColumn("range", F.shiftright("place", RANGE_BITS))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.broadcast(sizes.select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
+    inside = F.col("place") - F.shiftleft("range", RANGE_BITS)
+    return placed.join(before, "range").select("term", "uses", (inside + F.col("before")).cast("int").alias("slot"))
+
+
 def document_frequency(df: DataFrame, words: str = "words") -> DataFrame:
     """In how many rows each term occurs. Repeats go away inside the row."""
     terms = df.select(F.explode(F.array_distinct(words)).alias("term"))
@@ -106,7 +125,7 @@ def join_on_term(terms: DataFrame, table: DataFrame, by: Sequence[str] = ()) ->
     )
 
 
-def _counted_in_rows(rows: DataFrame, words: str, key: str) -> DataFrame:
+def counted_in_rows(rows: DataFrame, words: str, key: str) -> DataFrame:
     """(key, term, tf) of each row by itself: its terms in order, cut where the next one begins. No task holds more than a row."""
     ordered, starts, size = F.col("row_terms"), F.col("row_starts"), F.size("row_terms")
     rows = rows.where(F.size(words) > 0).select(key, F.array_sort(words).alias("row_terms"))
@@ -130,11 +149,11 @@ def term_frequencies(df: DataFrame, words: str = "words", key: str = "id") -> Da
     rows = settle(df.select(key, words), "row-terms")
     shared = settle(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("shared_key")), "shared-keys")
     if shared.isEmpty():
-        return _counted_in_rows(rows, words, key)
+        return counted_in_rows(rows, words, key)
     is_shared = F.col(key).eqNullSafe(F.col("shared_key"))
-    several = _counted_in_rows(rows.join(shared, is_shared, "left_semi"), words, key)
+    several = counted_in_rows(rows.join(shared, is_shared, "left_semi"), words, key)
     several = several.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
-    return _counted_in_rows(rows.join(shared, is_shared, "left_anti"), words, key).unionByName(several)
+    return counted_in_rows(rows.join(shared, is_shared, "left_anti"), words, key).unionByName(several)
 
 
 def tfidf_terms(df: DataFrame, words: str = "words", key: str = "id") -> DataFrame:

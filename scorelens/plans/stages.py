@@ -14,23 +14,27 @@ from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.common import _py2java
 from pyspark.ml.feature import CountVectorizerModel, PCAModel
-from pyspark.ml.linalg import DenseMatrix, DenseVector
+from pyspark.ml.linalg import DenseMatrix, DenseVector, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelens.functions import scores, text
+from scorelens.functions.vectors import SPARSE, settled_vectors, sparse_vector
 from scorelens.operators.lexicon import with_lexicon_words, with_sentiment
 from scorelens.operators.pca import principal_components
 from scorelens.operators.quantile import upper_quartile
-from scorelens.operators.vocabulary import term_uses, top_terms
-from scorelens.session import settle
+from scorelens.operators.vocabulary import counted_in_rows, join_on_term, ranked_terms, term_uses, top_terms
+from scorelens.session import settle, write_once
 
 HOURS = 24
 
+# The widest vocabulary that is handed to Spark's own bag, which every process holds whole.
+HELD_TERMS = 2**18
+
 
 class _HasLexicon(Params):
     """A written lexicon (word, valence) of any size, and the rows' unique key; see `operators.lexicon`."""
@@ -176,8 +180,9 @@ class VocabularyCounter(
 ):
     """Bag of words over the `vocabSize` most used terms.
 
-    Fits to Spark's `CountVectorizerModel`. Unlike Spark's own fit, terms of
-    equal use come in term order, so the vocabulary never changes between runs.
+    Fits to Spark's `CountVectorizerModel`, for more than HELD_TERMS to a
+    `WrittenVocabularyModel`. Unlike Spark's own fit, terms of equal use come in
+    term order, so the vocabulary never changes between runs.
     """
 
     vocabSize = Param(Params._dummy(), "vocabSize", "terms kept", TypeConverters.toInt)
@@ -196,17 +201,100 @@ class VocabularyCounter(
         self._setDefault(inputCol="filtered", outputCol="words_features", vocabSize=2**18, stopWords=[])
         self._set(**self._input_kwargs)
 
-    def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
+    def _fit(self, dataset: DataFrame) -> CountVectorizerModel | WrittenVocabularyModel:
         uses = term_uses(dataset, self.getInputCol())
         if stop := [word.lower() for word in self.getOrDefault(self.stopWords)]:
             # A stop word leaves once here, not at each of its uses; a bag passes over what is no term.
             uses = uses.where(~F.lower("term").isin(stop))
         uses = settle(uses, "term-uses")
-        best = top_terms(uses, self.getOrDefault(self.vocabSize)).select("term", "uses").collect()
+        best = top_terms(uses, self.getOrDefault(self.vocabSize))
+        if self.getOrDefault(self.vocabSize) > HELD_TERMS:
+            path = write_once(ranked_terms(best), "vocabulary")
+            size = dataset.sparkSession.read.parquet(path).count()
+            return WrittenVocabularyModel(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), terms=path, size=size)
+        best = best.select("term", "uses").collect()
         terms = [row["term"] for row in sorted(best, key=lambda row: (-row["uses"], row["term"]))]
         return _count_model(terms, self.getInputCol(), self.getOutputCol())
 
 
+class WrittenVocabularyModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Bag of words over a written vocabulary (term, uses, slot) of any size, which no process holds whole.
+
+    A row's terms are counted in the row and meet their slots in a join; the
+    vectors are as long as the row has terms. Rows are told apart by a number
+    that is written with them. A null word array has an empty bag.
+    """
+
+    terms = Param(Params._dummy(), "terms", "folder of the vocabulary's Parquet table", TypeConverters.toString)
+    size = Param(Params._dummy(), "size", "terms of the vocabulary", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(
+        self, *, inputCol: str = "filtered", outputCol: str = "words_features", terms: str = "", size: int = 0
+    ):
+        super().__init__()
+        self._setDefault(inputCol="filtered", outputCol="words_features", terms="", size=0)
+        self._set(**self._input_kwargs)
+
+    def table(self) -> DataFrame:
+        return SparkSession.active().read.parquet(self.getOrDefault(self.terms))
+
+    @property
+    def vocabulary(self) -> list[str]:
+        """All terms in slot order, for vocabularies that the driver can hold."""
+        return [row["term"] for row in sorted(self.table().collect(), key=lambda row: row["slot"])]
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        words, bag = self.getInputCol(), self.getOutputCol()
+        number, entries = f"{bag}_row", f"{bag}_entries"
+        rows = settle(dataset.withColumn(number, F.monotonically_increasing_id()), "bag-rows")
+        counted = settle(counted_in_rows(rows, words, number), "bag-counts")
+        found = join_on_term(counted, self.table())
+        entry = F.struct("slot", F.col("tf").alias("value"))
+        bags = found.groupBy(number).agg(F.array_sort(F.collect_list(entry)).alias(entries))
+        slots, counts = (F.coalesce(F.col(entries)[name], F.array()) for name in ("slot", "value"))
+        parts = sparse_vector(F.lit(self.getOrDefault(self.size)), slots, counts.cast("array<double>"))
+        return settled_vectors(rows.join(bags, number, "left").withColumn(bag, parts).drop(number, entries), bag, "bags")
+
+
+class SparseAssembler(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Numbers and vectors side by side in a sparse vector, without a name for every slot in the schema.
+
+    Spark's `VectorAssembler` makes an attribute per slot on the driver. Null
+    and NaN are errors, as they are there.
+    """
+
+    @keyword_only
+    def __init__(self, *, inputCols: list[str] = (), outputCol: str = "features"):
+        super().__init__()
+        self._setDefault(outputCol="features")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        start, slots, values = F.lit(0), [], []
+        for name in self.getInputCols():
+            if isinstance(dataset.schema[name].dataType, VectorUDT):
+                parts = F.unwrap_udt(name)
+                whole = F.sequence(F.lit(0), F.size(parts["values"]) - 1)
+                slots.append(_moved(F.when(parts["type"] == SPARSE, parts["indices"]).otherwise(whole), start))
+                values.append(parts["values"])
+                start = start + F.coalesce(parts["size"], F.size(parts["values"]))
+            else:
+                value = F.col(name).cast("double")
+                slots.append(F.when(value == 0, F.array().cast("array<int>")).otherwise(F.array(start.cast("int"))))
+                values.append(F.when(value == 0, F.array().cast("array<double>")).otherwise(F.array(value)))
+                start = start + 1
+        every = F.concat(*values)
+        bad = every.isNull() | F.exists(every, lambda v: v.isNull() | F.isnan(v))
+        every = F.when(bad, F.raise_error(F.lit("a feature is null or NaN")).cast("array<double>")).otherwise(every)
+        vector = sparse_vector(start, F.concat(*slots), every)
+        return settled_vectors(dataset.withColumn(self.getOutputCol(), vector), self.getOutputCol(), "assembled")
+
+
+def _moved(slots: Column, start: Column) -> Column:
+    return F.transform(slots, lambda slot: (slot + start).cast("int"))
+
+
 def _pca_model(loadings, shares, input_column: str, output_column: str) -> PCAModel:
     """Spark's PCAModel from loadings that were found elsewhere; the library has no public constructor for it."""
     sc = SparkContext._active_spark_context

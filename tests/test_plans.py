@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import PCA, StopWordsRemover, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizerModel, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -382,6 +382,20 @@ def test_scores_that_are_no_numbers_are_left_out(spark):
     assert [row["id"] for row in with_score(df).collect()] == [1]
 
 
+def test_an_unlimited_vocabulary_stays_off_the_driver(spark, lexicon, monkeypatch):
+    """Same vectors as Spark's own bag and assembler, rows with equal, null and empty word lists included; no slot has a name in the schema."""
+    texts = ["best idiot best ab", "best idiot best ab", "cd ab http://x.example.com?", "", "zz zz"]
+    rows = [(i if i < 4 else None, t, None, "3600", str(i)) for i, t in enumerate(texts)]
+    view = spark.createDataFrame(rows + rows[:1], "id long, body string, author string, created_utc string, score string")
+    whole = fit_features(view, feature_plan("record", buckets=None, lexicon=lexicon))
+    held = fit_features(view, feature_plan("record", buckets=1000, lexicon=lexicon))
+    assert not isinstance(whole.model.stages[2], CountVectorizerModel)
+    assert whole.vocabulary == held.vocabulary == ["best", "ab", "idiot", "zz", "cd", "com", "example", "http"]
+    dense = lambda fitted: sorted(fitted.transform(view).select("body", vector_to_array("features")).collect())
+    assert dense(whole) == dense(held) and len(dense(whole)) == 6
+    assert not whole.transform(view).schema["features"].metadata
+
+
 def test_bag_features_shuffle_no_text(spark, real, lexicon):
     """The rows meet their sentiment without body and words, and stop words leave the counts, not every row."""
     rows = settle(CommentTokenizer().transform(real), "test-tokenized")
