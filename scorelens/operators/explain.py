@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOP = 10
 WEIGHT_SCHEMA = "side string, slot int, feature string, weight double"
@@ -25,5 +26,13 @@ def ranked_weights(weights: Sequence[float], names: Sequence[str], k: int = TOP)
     return rows
 
 
+def ranked_slots(weights: DataFrame, k: int = TOP) -> list[tuple]:
+    """(side, slot, weight), as `ranked_weights` has them, of a table (slot, weight) of any size."""
+    rows = []
+    for side, order in (("top", F.desc("weight")), ("bottom", F.asc("weight"))):
+        rows += [(side, row["slot"], row["weight"]) for row in weights.orderBy(order, "slot").limit(k).collect()]
+    return rows
+
+
 def explain_weights(spark: SparkSession, weights: Sequence[float], names: Sequence[str], k: int = TOP) -> DataFrame:
     return spark.createDataFrame(ranked_weights(weights, names, k), WEIGHT_SCHEMA)

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.session import settle
@@ -22,6 +22,27 @@ KINDS = ("float64", "int32", "int32", "float64")
 RECORD_ENTRIES = 2**18
 
 
+# Where Spark's row numbers hold the partition.
+RANGE_BITS = 33
+
+
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """A written copy of the rows with their number, from 0 without gaps, in the order in which they lie.
+
+    A row's number inside its partition is written with it, and the sizes of
+    the partitions before it, one row each, are added: no task and no driver
+    holds the rows.
+    """
+    placed = settle(df.withColumn(column, F.monotonically_increasing_id()), name)
+    part, before = f"{column}_range", f"{column}_before"
+    placed = placed.withColumn(part, F.shiftright(column, RANGE_BITS))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    starts = F.broadcast(sizes.select(part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before)))
+    inside = F.col(column) - F.shiftleft(part, RANGE_BITS)
+    return placed.join(starts, part).withColumn(column, inside + F.col(before)).drop(part, before)
+
+
 def packed(df: DataFrame, label: Column, entries: Column, name: str) -> DataFrame:
     """A written copy of the rows' labels and of their entries, lists of (slot, value)."""
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelens.operators.packed import numbered
 from scorelens.operators.quantile import value_at_rank_of_settled
 from scorelens.session import settle
 
@@ -15,9 +16,6 @@ from scorelens.session import settle
 HOT_SHARE = 65_536
 SALTS = 64
 
-# Where Spark's row numbers hold the partition.
-RANGE_BITS = 33
-
 
 def term_uses(df: DataFrame, words: str = "words", by: Sequence[str] = ()) -> DataFrame:
     """How often each term occurs; counted before the shuffle, so no term is hot."""
@@ -60,17 +58,10 @@ def top_terms(uses: DataFrame, size: int, by: Sequence[str] = ()) -> DataFrame:
 def ranked_terms(uses: DataFrame) -> DataFrame:
     """(term, uses, slot): terms numbered from the most used on, terms used equally often in their own order.
 
-    A sort over ranges numbers the terms inside each range, and the sizes of
-    the ranges before it, one row a range, are added: no task and no driver
-    holds the terms.
+    A sort deals the terms to ranges and numbers them inside each; see `numbered`.
     """
-    placed = uses.select("term", "uses").orderBy(F.desc("uses"), "term").withColumn("place", F.monotonically_increasing_id())
-    placed = settle(placed, "ranked-terms").withColumn("range", F.shiftright("place", RANGE_BITS))
-    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("range").agg(F.count("*").alias("n"))
-    before = F.broadcast(sizes.select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
-    inside = F.col("place") - F.shiftleft("range", RANGE_BITS)
-    return placed.join(before, "range").select("term", "uses", (inside + F.col("before")).cast("int").alias("slot"))
+    placed = numbered(uses.select("term", "uses").orderBy(F.desc("uses"), "term"), "slot", "ranked-terms")
+    return placed.withColumn("slot", F.col("slot").cast("int"))
 
 
 def document_frequency(df: DataFrame, words: str = "words") -> DataFrame:

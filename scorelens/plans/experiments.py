@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from scorelens.functions.vectors import nonzero_slots
 from scorelens.operators import bayes, explain, logistic
+from scorelens.operators.blocked import WrittenLinearModel
 from scorelens.operators.counts import class_distribution, majority_baseline
 from scorelens.operators.evaluate import accuracy
 from scorelens.operators.filters import first_rows, keep_real_comments
@@ -147,6 +148,10 @@ def prepare(rows: DataFrame, kind: str, binary: bool, options: Options) -> Prepa
 
 def _weights(data: Prepared, model) -> list[tuple]:
     """(bucket, side, slot, feature, weight) of a fitted model: every bucket's for one-vs-rest."""
+    if isinstance(model, WrittenLinearModel):
+        ranked = explain.ranked_slots(model.weights())
+        names = data.fitted.names_of([slot for _, slot, _ in ranked], model.width)
+        return [(None, side, slot, name, weight) for (side, slot, weight), name in zip(ranked, names, strict=True)]
     if hasattr(model, "theta"):
         per_class = {0.0: model.theta.toArray()[0]}
     elif isinstance(model, models.BucketLogistic):

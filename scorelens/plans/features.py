@@ -178,11 +178,16 @@ class FittedFeatures:
     def input_columns(self) -> list[str]:
         return self.model.stages[-1].getInputCols()
 
-    def names(self, width: int) -> list[str]:
-        """A name for each of the `width` feature slots, in slot order."""
+    def _plain_names(self) -> dict[str, list[str]]:
+        """Names of the slots of each input column, that of the words being one."""
         blocks = {column: [column] for column in self.input_columns}
         if "hour_encoded" in blocks:
             blocks["hour_encoded"] = [f"hour={hour}" for hour in range(HOURS - 1)]
+        return blocks
+
+    def names(self, width: int) -> list[str]:
+        """A name for each of the `width` feature slots, in slot order."""
+        blocks = self._plain_names()
         for column in ("words_features", "words_reduced"):
             if column in blocks:
                 unnamed = width - sum(len(names) for other, names in blocks.items() if other != column)
@@ -190,6 +195,21 @@ class FittedFeatures:
                 blocks[column] = terms or [f"Feature {slot}" for slot in range(unnamed)]
         return [name for names in blocks.values() for name in names]
 
+    def names_of(self, slots: Sequence[int], width: int) -> list[str]:
+        """The names of a few slots; of a written vocabulary only their terms are read."""
+        bag = next((s for s in self.model.stages if isinstance(s, WrittenVocabularyModel)), None)
+        if bag is None:
+            names = self.names(width)
+            return [names[slot] for slot in slots]
+        blocks = list(self._plain_names().items())
+        at = self.input_columns.index("words_features")
+        before, after = ([name for _, names in part for name in names] for part in (blocks[:at], blocks[at + 1 :]))
+        words = range(len(before), width - len(after))
+        wanted = [slot - words.start for slot in slots if slot in words]
+        terms = {row["slot"]: f"word {row['term']}" for row in bag.table().where(F.col("slot").isin(wanted)).collect()}
+        name = lambda slot: terms[slot - words.start] if slot in words else before[slot] if slot < words.start else after[slot - words.stop]
+        return [name(slot) for slot in slots]
+
 
 def fit_features(comments: DataFrame, plan: Pipeline) -> FittedFeatures:
     return FittedFeatures(plan.fit(with_score(comments)))

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions.scores import squared_error
-from scorelens.operators import least_squares, logistic
+from scorelens.operators import blocked, least_squares, logistic
 from scorelens.operators.evaluate import accuracy, regression_errors
 from scorelens.operators.splits import RANDOM_SEED, TEST, TRAIN, TUNING_PERCENT, hash_split, test_part, train_part
-from scorelens.plans.stages import classifier_model, linear_model
+from scorelens.plans.stages import HELD_TERMS, classifier_model, linear_model
 
 SCORE, BUCKET = "score_double", "score_bucket"
 
@@ -45,7 +45,11 @@ def _linear(reg: float = 0.0, **params) -> LinearRegression:
     return LinearRegression(featuresCol="features", labelCol=SCORE, regParam=reg, **params)
 
 
-def fit_linear(train: DataFrame, reg: float = 0.0) -> LinearRegressionModel:
+def fit_linear(train: DataFrame, reg: float = 0.0) -> LinearRegressionModel | blocked.WrittenLinearModel:
+    """Spark's own fit, which holds a few dozen numbers per slot on the driver; above HELD_TERMS slots the weights stay a table."""
+    width = vector_width(train)
+    if width > HELD_TERMS:
+        return blocked.fit_linear(train, SCORE, "features", width, reg)
     return _linear(reg).fit(train)
 
 

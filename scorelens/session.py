@@ -48,6 +48,11 @@ def _local_folder() -> str:
     return folder
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Deletes what is written to the shared folder inside, at the end; what results still read must be written elsewhere before."""
@@ -55,10 +60,8 @@ def released(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in _written.pop():
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+            delete(spark, path)
 
 
 _written: list[list[str]] = []
