@@ -36,7 +36,7 @@ TASK_ENTRIES, HELD_SUMS = 2**20, 2**23
 # Records and blocks in an Arrow batch: half a megabyte each, about.
 BATCH = 32
 FILE_GROUP = 2**24
-TOLERANCE, MOST = 1e-4, 200
+TOLERANCE, MOST = 1e-4, 1000
 
 STATE = "x binary, r binary, p binary, d binary, c binary"
 RECORD = "rb int, sb int, row binary, col binary, value binary"
