@@ -115,3 +115,25 @@ def test_cap_is_exact_on_repeated_rows(spark, n):
     assert ids == sorted(i for i, _ in rows if i is not None)[: len(ids)]
     assert first_rows(df, n).exceptAll(df).count() == 0 and first_rows(df, 0).count() == 41
     assert first_rows(df.withColumn("id", F.col("id").cast("string")), n).count() == min(n, 40)
+
+
+def test_wide_path_goes_on_until_it_is_settled(spark, monkeypatch):
+    """Spreads of two and a half orders of magnitude: every system, that without penalty too, is settled, however many steps it takes."""
+    rng = np.random.default_rng(9)
+    turn = np.linalg.qr(rng.normal(size=(600, 600)))[0]
+    x = rng.normal(size=(700, 600)) * np.geomspace(1, 3e-3, 600) @ turn
+    y = x @ turn.T @ rng.normal(size=600) + rng.normal(size=700)
+    c, steps = x - x.mean(axis=0), []
+    moments = np.column_stack([x.sum(axis=0), (x * x).sum(axis=0), x.T @ y])
+    monkeypatch.setattr(least_squares, "slot_moments", lambda records, width: (700, moments))
+    monkeypatch.setattr(least_squares, "times_covariance", lambda records, q, mean, rows: steps.append(1) or c.T @ (c @ q) / (rows - 1))
+    df = spark.createDataFrame([(float(v), Vectors.dense([1.0])) for v in y], ["y", "features"])
+    regs = (0.0, 0.125, 8.0)
+    found = least_squares.solve_path(df, "y", "features", 600, regs)
+    z = c / x.std(axis=0)
+    for reg, (intercept, w) in zip(regs, found):
+        left = z.T @ (y - x @ w - intercept) / 700 - reg / y.std() * w * x.std(axis=0)
+        assert np.linalg.norm(left) <= (1.1e-4 if reg else 1.1e-3) * np.linalg.norm(z.T @ (y - y.mean()) / 700)
+    assert len(steps) > 100
+    with pytest.raises(ArithmeticError):
+        least_squares.solve_path(df, "y", "features", 600, regs, most=20)
