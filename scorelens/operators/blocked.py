@@ -7,17 +7,18 @@ the records on to the blocks of the other side. The driver holds a few sums.
 
 A penalty means what Spark's does for many slots: slopes of standardised
 features are shrunk by reg / sd(y), deviations with rows - 1; features without
-variance weigh nothing. The system is solved in the rows, where slots that few
-rows use are near the diagonal: (K / rows + penalty) a = y, with K the products
-of the centred, scaled rows, by preconditioned conjugate gradients.
+variance weigh nothing. A fit deals the entries by blocks of slots alone: the
+product of all rows with each other, K, times a vector over the rows is then
+one pass, in which a block of slots is held by one task. Steps are conjugate
+gradients for the weights, kept in the rows: the driver holds a few numbers per
+row, and no process one per slot.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable, Iterator
+from contextlib import AbstractContextManager
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelens.functions.vectors import nonzero_slots
-from scorelens.operators.packed import numbered
-from scorelens.session import delete, fresh_path, released, settle, write_once
+from scorelens.operators.packed import BATCH_CONF, numbered, settle_records, small_batches, summed
+from scorelens.session import fresh_path, released, settle
 
 # Most rows or slots in a block, so that a place in it takes two bytes; blocks that are made of fewer, and fewest rows or slots.
 BLOCK, BLOCKS, LEAST = 2**16, 64, 1024
@@ -35,22 +36,13 @@ BLOCK, BLOCKS, LEAST = 2**16, 64, 1024
 TASK_ENTRIES, HELD_SUMS = 2**20, 2**23
 # Records and blocks in an Arrow batch: half a megabyte each, about.
 BATCH = 32
-FILE_GROUP = 2**24
-TOLERANCE, MOST = 1e-4, 1000
+TOLERANCE, MOST = 1e-4, 100_000
 
-STATE = "x binary, r binary, p binary, d binary, c binary"
 RECORD = "rb int, sb int, row binary, col binary, value binary"
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, str(BATCH))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_CONF, before)
+def _small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    return small_batches(spark, BATCH)
 
 
 @dataclass(frozen=True)
@@ -114,23 +106,8 @@ def _records(rows: DataFrame, sizes: _Sizes) -> DataFrame:
     return rows.select("number", "entries").mapInArrow(each, RECORD)
 
 
-def _blockwise(df: DataFrame, schema: str, of: Callable[..., tuple]) -> DataFrame:
-    """`of` the vectors of each block; arrays become binary columns, numbers doubles. A null vector is None."""
-    names = [part.split()[0] for part in schema.split(", ")]
-
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                cells = [batch.column(j)[i] for j in range(1, batch.num_columns)]
-                made = of(*(np.frombuffer(c.as_buffer()) if c.is_valid else None for c in cells))
-                made = [pa.array([m.tobytes()], pa.binary()) if isinstance(m, np.ndarray) else pa.array([float(m)]) for m in made]
-                yield pa.record_batch([batch.column(0).slice(i, 1), *made], names)
-
-    return df.mapInArrow(each, schema)
-
-
-def _product(records: DataFrame, vector: DataFrame, key: str, sizes: _Sizes, power: int = 1) -> DataFrame:
-    """(block, v) of the other side: what the records, their values taken to a power, make of a vector (block, v) of the side `key`."""
+def _product(records: DataFrame, vector: DataFrame, key: str, sizes: _Sizes) -> DataFrame:
+    """(block, v) of the other side: what the records make of a vector (block, v) of the side `key`."""
     to, here, there = ("sb", "row", "col") if key == "rb" else ("rb", "col", "row")
     size = sizes.size(to)
     vector = vector.select(F.col("block").alias(key), "v").hint("shuffle_hash")
@@ -147,7 +124,7 @@ def _product(records: DataFrame, vector: DataFrame, key: str, sizes: _Sizes, pow
             for i in range(batch.num_rows):
                 near, far = (np.frombuffer(batch.column(j)[i].as_buffer(), "uint16") for j in (1, 2))
                 value, v = (np.frombuffer(batch.column(j)[i].as_buffer()) for j in (3, 4))
-                found = np.bincount(far, value**power * v[near], size)
+                found = np.bincount(far, value * v[near], size)
                 block = batch.column(0)[i].as_py()
                 held[block] = held[block] + found if block in held else found
                 if len(held) * size >= HELD_SUMS:
@@ -224,192 +201,127 @@ class WrittenLinearModel:
         return rows.join(margins, "prediction_row", "left").withColumn("prediction", prediction).drop("prediction_row", "margin")
 
 
-@contextmanager
-def _bucketed(df: DataFrame, key: str, buckets: int) -> Iterator[DataFrame]:
-    """A written copy that meets blocks of `key` where it lies."""
-    spark, name = df.sparkSession, f"scorelens_{uuid.uuid4().hex}"
-    path = fresh_path(spark, f"records-{key}")
-    writer = df.repartition(buckets, key).write.format("parquet").option("path", path).option("parquet.block.size", FILE_GROUP)
-    try:
-        writer.bucketBy(buckets, key).saveAsTable(name)
-        yield spark.table(name)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
-def _as_blocks(rows: DataFrame, sizes: _Sizes, less: float) -> DataFrame:
-    """(block, v): the labels of the rows, in the order of their numbers, less their mean."""
-
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [(np.array(v.values.field(1)) - less).tobytes() for v in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], ["block", "v"])
-
-    block = F.expr(f"int(number div {sizes.row_size})").alias("block")
-    labels = rows.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("number", "y"))).alias("ys"))
-    return labels.mapInArrow(each, "block int, v binary")
-
-
-def fit_linear(
-    df: DataFrame, label: str, vector: str, width: int, reg: float, tolerance: float = TOLERANCE, most: int = MOST
-) -> WrittenLinearModel:
-    """Weights and intercept; a step is one job over the records of both sides.
-
-    Steps end when the residual, in the preconditioner's measure, is `tolerance`
-    of the first one, or `most` are done. Without penalty and with more slots
-    than rows there are many answers; steps from zero go to one of them.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, "weights")
-    with released(spark), _small_batches(spark):
-        rows = _entries(df, vector, F.col(label).cast("double").alias("y"))
-        count, y_mean, y_sd = rows.agg(F.count("*"), F.avg("y"), F.stddev_samp("y")).first()
-        if not count:
-            raise ValueError("no row to fit on")
-        sizes = _Sizes.of(spark, count, width)
-        labels = settle(_as_blocks(rows, sizes, y_mean), "labels")
-        dealt = rows.select("number", "entries").repartition(sizes.tasks("rb"), F.expr(f"int(number div {sizes.row_size})"))
-        with _bucketed(_records(dealt, sizes), "rb", sizes.tasks("rb")) as by_row:
-            scales = _slot_scales(by_row, labels, sizes)
-            with _bucketed(_scaled(by_row, scales), "sb", sizes.tasks("sb")) as by_slot:
-                steps = most if y_sd else 0
-                penalty = reg / y_sd if y_sd else 0.0
-                answer = _solve(by_row, by_slot, _begin(by_row, by_slot, labels, scales, sizes, penalty), sizes, penalty, tolerance, steps)
-            shift = _write_weights(by_row, answer, scales, sizes, path)
-    return WrittenLinearModel(spark, path, width, sizes.slot_blocks, float(y_mean - shift))
+BY_SLOT = "block int, row binary, col binary, value binary, pull binary, mean binary, scale binary"
+BY_SLOT_KINDS = ("int32", "uint16", "float64", "float64")
 
 
-def _sums(df: DataFrame, *columns: str) -> list[float]:
-    return [v or 0.0 for v in df.agg(*(F.sum(c) for c in columns)).first()]
-
-
-def _slot_scales(by_row: DataFrame, labels: DataFrame, sizes: _Sizes) -> DataFrame:
-    """(block, mean, scale, pull, centre): of every slot the mean, 1 / variance or 0, mean / variance; of the block the sum of mean² / variance."""
-    ones = _blockwise(labels, "block int, v binary", lambda y: (np.ones(len(y)),))
-    sums, squares = (_product(by_row, ones, "rb", sizes, power) for power in (1, 2))
+def _by_slot(records: DataFrame, sizes: _Sizes) -> DataFrame:
+    """BY_SLOT of every block of slots that has entries: rows, places and values over their slot's deviation; of its slots mean / deviation, mean and 1 / deviation or 0."""
+    names = [part.split()[0] for part in BY_SLOT.split(", ")]
     rows = sizes.rows
 
-    def scales(s: np.ndarray, q: np.ndarray) -> tuple:
+    def out(block: int, held: list[tuple]) -> pa.RecordBatch:
+        row, col, value = (np.concatenate(part) for part in zip(*held))
+        s, q = (np.bincount(col, value**power, sizes.slot_size) for power in (1, 2))
         mean = s / rows
-        variance = np.clip(q - s * mean, 0, None) / max(rows - 1, 1)
-        varies = np.sqrt(variance) > 1e-7 * (1 + np.abs(mean))
-        scale = np.divide(1, variance, out=np.zeros(len(s)), where=varies)
-        return mean, scale, scale * mean, float(scale @ mean**2)
-
-    both = sums.join(squares.withColumnRenamed("v", "q"), "block").select("block", "v", "q")
-    schema = "block int, mean binary, scale binary, pull binary, centre double"
-    return settle(_blockwise(both, schema, scales), "slot-scales")
-
-
-def _scaled(records: DataFrame, scales: DataFrame) -> DataFrame:
-    """The records with values divided by their slots' variances."""
-    names = [part.split()[0] for part in RECORD.split(", ")]
+        sd = np.sqrt(np.clip(q - s * mean, 0, None) / max(rows - 1, 1))
+        scale = np.divide(1, sd, out=np.zeros(len(s)), where=sd > 1e-7 * (1 + np.abs(mean)))
+        parts = [row, col, value * scale[col], mean * scale, mean, scale]
+        return pa.record_batch([pa.array([block], pa.int32()), *(pa.array([part.tobytes()], pa.binary()) for part in parts)], names)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
         for batch in batches:
-            made = []
             for i in range(batch.num_rows):
-                col = np.frombuffer(batch.column(3)[i].as_buffer(), "uint16")
-                value, scale = (np.frombuffer(batch.column(j)[i].as_buffer()) for j in (4, 5))
-                made.append((value * scale[col]).tobytes())
-            yield pa.record_batch([*batch.columns[:4], pa.array(made, pa.binary())], names)
-
-    met = records.join(scales.select(F.col("block").alias("sb"), "scale").hint("shuffle_hash"), "sb")
-    return met.select(*names, "scale").mapInArrow(each, RECORD)
+                block = batch.column(0)[i].as_py()
+                if held and block != last:
+                    yield out(last, held)
+                    held = []
+                row, col, value = (np.frombuffer(batch.column(j)[i].as_buffer(), kind) for j, kind in ((2, "uint16"), (3, "uint16"), (4, "float64")))
+                held.append((row + np.int32(batch.column(1)[i].as_py() * sizes.row_size), col, value))
+                last = block
+        if held:
+            yield out(last, held)
 
+    dealt = records.select("sb", "rb", "row", "col", "value").repartition(sizes.tasks("sb"), "sb").sortWithinPartitions("sb")
+    return settle_records(dealt.mapInArrow(each, BY_SLOT), "by-slot")
 
-def _begin(by_row: DataFrame, by_slot: DataFrame, labels: DataFrame, scales: DataFrame, sizes: _Sizes, penalty: float) -> DataFrame:
-    """(block, x, r, p, d, c): the state before the first step.
 
-    x is the answer so far, r the residual, p the last direction, d the
-    system's diagonal, and c the rows' products with the slots' means.
-    """
-    rows = sizes.rows
-    (centre,) = _sums(scales, "centre")
-    pulls = _product(by_slot, scales.select("block", F.col("mean").alias("v")), "sb", sizes).withColumnRenamed("v", "c")
-    # A value and the scaled value of the same entry meet as squares: the scaled one is the value over the variance.
-    roots = _blockwise(scales.select("block", "scale"), "block int, v binary", lambda scale: (np.divide(1, scale, out=np.zeros(len(scale)), where=scale > 0),))
-    squares = _product(by_slot, roots, "sb", sizes, 2).withColumnRenamed("v", "square")
+def _times_rows(by_slot: DataFrame, v: np.ndarray) -> np.ndarray:
+    """K v: every row's product with the sum of all centred, scaled rows, each taken v times."""
+    sent, n = by_slot.sparkSession.sparkContext.broadcast((v, v.sum())), len(v)
 
-    def start(y: np.ndarray, square: np.ndarray | None, c: np.ndarray | None) -> tuple:
-        square, c = (np.zeros(len(y)) if v is None else v[: len(y)].copy() for v in (square, c))
-        diagonal = np.clip(square - 2 * c + centre, 0, None) / rows + penalty
-        return np.zeros(len(y)), y, np.zeros(len(y)), np.where(diagonal > 0, diagonal, 1.0), c
+    def add(total: np.ndarray, arrays: list[np.ndarray]) -> None:
+        row, col, value, pull = arrays
+        v, whole = sent.value
+        u = np.bincount(col, value * v[row], len(pull)) - pull * whole
+        total += np.bincount(row, value * u[col], n)
+        total -= pull @ u
 
-    begun = labels.join(squares, "block", "left").join(pulls, "block", "left").select("block", "v", "square", "c")
-    return settle(_blockwise(begun, f"block int, {STATE}", start), "begun")
+    found = summed(by_slot.select("row", "col", "value", "pull"), n, add, BY_SLOT_KINDS)
+    sent.destroy()
+    return found
 
 
-def _solve(
-    by_row: DataFrame, by_slot: DataFrame, state: DataFrame, sizes: _Sizes, penalty: float, tolerance: float, most: int
-) -> DataFrame:
-    """(block, v): the answer. The products of a step's vectors, added up in Spark, say how far it goes and which way the next one does.
+def _solve(by_slot: DataFrame, y: np.ndarray, penalty: float, tolerance: float, most: int) -> np.ndarray:
+    """The rows' multipliers a, of which the weights are sums.
 
-    With t the product of the direction p, the system turns p into q = (t - sum(p) c - mean) / n + penalty p.
+    These are the steps that conjugate gradients take for the weights: s is
+    what is left of y, K s gives the gradient's length, and p turns with it.
     """
-    spark, n = state.sparkSession, sizes.rows
-    first, beta, alpha, q = None, 0.0, 0.0, np.zeros(5)
-    before = None
-
-    def met(x, r, p, d, c, t) -> tuple:
-        t = np.zeros(len(p)) if t is None else t[: len(p)]
-        vectors = np.stack([t, c, np.ones(len(p)), p, r])
-        products = np.concatenate([(vectors / d @ vectors.T).ravel(), vectors @ p, vectors.sum(axis=1)])
-        return x, r, p, d, c, t.copy(), *products
-
-    sums = [f"s{i}" for i in range(35)]
-    schema = f"block int, {STATE}, t binary, {', '.join(f'{s} double' for s in sums)}"
-    for _ in range(most):
-        current = _moved(state, alpha, q, beta)
-        t = _product(by_slot, _product(by_row, current.select("block", F.col("p").alias("v")), "rb", sizes), "sb", sizes)
-        both = current.join(t.withColumnRenamed("v", "t"), "block", "left")
-        path = write_once(_blockwise(both, schema, met), "steps")
-        if before:
-            delete(spark, before)
-        state, before = spark.read.parquet(path), path
-        found = np.array(_sums(state, *sums))
-        gram, along, total = found[:25].reshape(5, 5), found[25:30], found[30:]
-        norm, sum_p = gram[4, 4], total[3]
-        first = norm if first is None else first
-        mean = (total[0] - sum_p * total[1]) / n
-        q = np.array([1 / n, -sum_p / n, -mean / n, penalty, 0.0])
-        bend = q @ along
-        alpha = norm / bend if bend > 0 else 0.0
-        ahead = np.array([0.0, 0.0, 0.0, 0.0, 1.0]) - alpha * q
-        left = max(float(ahead @ gram @ ahead), 0.0)
-        if alpha == 0.0 or left <= tolerance**2 * first:
+    n = len(y)
+    a, s = np.zeros(n), y.copy()
+    turned = _times_rows(by_slot, s)
+    p, p_turned = s.copy(), turned.copy()
+    norm = first = float(s @ turned)
+    for step in range(most + 1):
+        if norm <= tolerance**2 * first:
             break
-        beta = left / norm
-    return settle(_moved(state, alpha, q, 0.0).select("block", F.col("x").alias("v")), "answer")
-
+        if step == most:
+            raise ArithmeticError(f"not settled after {most} steps")
+        bent = p_turned / n + penalty * p
+        alpha = norm / float(p_turned @ bent)
+        a += alpha * p
+        s -= alpha * bent
+        turned = _times_rows(by_slot, s)
+        left = float(s @ turned)
+        p, p_turned, norm = s + left / norm * p, turned + left / norm * p_turned, left
+    return a
 
-def _moved(state: DataFrame, alpha: float, q: np.ndarray, beta: float) -> DataFrame:
-    """The state after a step of length `alpha`, with its next direction; `q` says what the direction was turned into."""
 
-    def each(x, r, p, d, c, t=None) -> tuple:
-        if t is not None:
-            x, r = x + alpha * p, r - alpha * (q[0] * t + q[1] * c + q[2] + q[3] * p)
-        return x, r, r / d + beta * p, d, c
+def fit_linear(
+    df: DataFrame, label: str, vector: str, width: int, reg: float, tolerance: float = TOLERANCE, most: int = MOST
+) -> WrittenLinearModel:
+    """Weights and intercept; a step is one job of one stage.
 
-    columns = ["block", "x", "r", "p", "d", "c", *(["t"] if "t" in state.columns else [])]
-    return _blockwise(state.select(*columns), f"block int, {STATE}", each)
+    Steps end when the gradient is `tolerance` of the first one; `most` without
+    that are an error. Without penalty and with more slots than rows there are
+    many answers; steps from zero go to the shortest one.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "weights")
+    with released(spark), _small_batches(spark):
+        rows = _entries(df, vector, F.col(label).cast("double").alias("y"))
+        labels = rows.select("number", "y").toArrow()
+        if not labels.num_rows:
+            raise ValueError("no row to fit on")
+        y = np.zeros(labels.num_rows)
+        y[labels.column(0).to_numpy()] = labels.column(1).to_numpy()
+        y_mean, y_sd = y.mean(), y.std(ddof=1) if len(y) > 1 else 0.0
+        sizes = _Sizes.of(spark, len(y), width)
+        by_slot = _by_slot(_records(rows, sizes), sizes)
+        answer = _solve(by_slot, y - y_mean, reg / y_sd, tolerance, most) if y_sd > 0 else np.zeros(len(y))
+        shift = _write_weights(by_slot, answer, sizes, path)
+    return WrittenLinearModel(spark, path, width, sizes.slot_blocks, float(y_mean - shift))
 
 
-def _write_weights(by_row: DataFrame, answer: DataFrame, scales: DataFrame, sizes: _Sizes, path: str) -> float:
+def _write_weights(by_slot: DataFrame, answer: np.ndarray, sizes: _Sizes, path: str) -> float:
     """Writes (block, v, shift) for every block of slots; the product of all weights with the means."""
-    n, size = sizes.rows, sizes.slot_size
-    sums = settle(_blockwise(answer, "block int, v binary, whole double", lambda v: (v, float(v.sum()))), "answer")
-    (whole,) = _sums(sums, "whole")
+    spark = by_slot.sparkSession
+    sent, whole = spark.sparkContext.broadcast(answer), answer.sum()
 
-    def weights(v: np.ndarray | None, mean: np.ndarray | None, scale: np.ndarray | None) -> tuple:
-        if v is None:
-            return np.zeros(size), 0.0
-        w = scale * (v - mean * whole) / n
-        return w, float(mean @ w)
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                kinds = (*BY_SLOT_KINDS, "float64", "float64")
+                row, col, value, pull, mean, scale = (np.frombuffer(batch.column(j)[i].as_buffer(), kind) for j, kind in enumerate(kinds, 1))
+                w = scale * (np.bincount(col, value * sent.value[row], len(pull)) - pull * whole) / sizes.rows
+                parts = [batch.column(0).slice(i, 1), pa.array([w.tobytes()], pa.binary()), pa.array([float(mean @ w)])]
+                yield pa.record_batch(parts, ["block", "v", "shift"])
 
-    spark = answer.sparkSession
+    found = by_slot.mapInArrow(each, "block int, v binary, shift double")
     every = spark.range(sizes.slot_blocks).select(F.col("id").cast("int").alias("block"))
-    found = every.join(_product(by_row, sums.select("block", "v"), "rb", sizes), "block", "left")
-    found = found.join(scales.select("block", "mean", "scale"), "block", "left")
-    _blockwise(found, "block int, v binary, shift double", weights).write.parquet(path)
-    return _sums(spark.read.parquet(path), "shift")[0]
+    nothing = F.lit(bytes(8 * sizes.slot_size))
+    every.join(found, "block", "left").select("block", F.coalesce("v", nothing).alias("v"), "shift").write.parquet(path)
+    sent.destroy()
+    return spark.read.parquet(path).agg(F.sum("shift")).first()[0] or 0.0
