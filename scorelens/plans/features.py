@@ -32,7 +32,7 @@ from scorelens.plans.stages import (
     VocabularyCounter,
     WrittenVocabularyModel,
 )
-from scorelens.session import write_once
+from scorelens.session import delete, write_once
 
 # Vocabulary or bucket count asked for by default, and the
 # vocabulary of the words-only plan.
@@ -152,13 +152,30 @@ class FittedFeatures:
     def transform(self, comments: DataFrame) -> DataFrame:
         return self.model.transform(comments)
 
+    def narrow(self, comments: DataFrame, *keep: str) -> DataFrame:
+        """The transformed rows, of which only `keep` is needed: what no later stage reads is not written again.
+
+        A written bag goes as soon as the vectors made of it are written.
+        """
+        rows, stages = comments, self.model.stages
+        for i, stage in enumerate(stages):
+            read = (WrittenVocabularyModel, SparseAssembler)
+            if all(isinstance(s, read) for s in stages[i:]):
+                used = {c for s in stages[i:] for c in (s.getInputCols() if isinstance(s, SparseAssembler) else [s.getInputCol()])}
+                rows = rows.select(*(c for c in rows.columns if c in used or c in keep))
+            before, rows = rows, stage.transform(rows)
+            if isinstance(stage, SparseAssembler) and isinstance(stages[i - 1], WrittenVocabularyModel):
+                for folder in {file.rpartition("/")[0] for file in before.inputFiles()}:
+                    delete(rows.sparkSession, folder)
+        return rows.select(*keep)
+
     def featured(self, comments: DataFrame, *keep: str) -> DataFrame:
         """Only what fits and evaluations read, and no per-slot metadata.
 
         A bag of 50,000 terms would otherwise put 50,000 attribute records into
         the schema, and with it into every file footer.
         """
-        rows = self.transform(comments).where(F.col("score_double").isNotNull())
+        rows = self.narrow(comments, "id", *keep, "score_double", "score_bucket", "features").where(F.col("score_double").isNotNull())
         plain = F.col("features").alias("features", metadata={})
         return rows.select("id", *keep, "score_double", "score_bucket", plain)
 

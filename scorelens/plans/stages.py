@@ -28,7 +28,7 @@ from scorelens.operators.lexicon import with_lexicon_words, with_sentiment
 from scorelens.operators.pca import principal_components
 from scorelens.operators.quantile import upper_quartile
 from scorelens.operators.vocabulary import counted_in_rows, join_on_term, ranked_terms, term_uses, top_terms
-from scorelens.session import settle, write_once
+from scorelens.session import delete, settle, write_once
 
 HOURS = 24
 
@@ -247,14 +247,20 @@ class WrittenVocabularyModel(Model, HasInputCol, HasOutputCol, DefaultParamsRead
     def _transform(self, dataset: DataFrame) -> DataFrame:
         words, bag = self.getInputCol(), self.getOutputCol()
         number, entries = f"{bag}_row", f"{bag}_entries"
-        rows = settle(dataset.withColumn(number, F.monotonically_increasing_id()), "bag-rows")
-        counted = settle(counted_in_rows(rows, words, number), "bag-counts")
+        spark = dataset.sparkSession
+        copies = [write_once(dataset.withColumn(number, F.monotonically_increasing_id()), "bag-rows")]
+        rows = spark.read.schema(dataset.withColumn(number, F.lit(0).cast("bigint")).schema).parquet(copies[0])
+        copies.append(write_once(counted_in_rows(rows, words, number), "bag-counts"))
+        counted = spark.read.parquet(copies[1])
         found = join_on_term(counted, self.table())
         entry = F.struct("slot", F.col("tf").alias("value"))
         bags = found.groupBy(number).agg(F.array_sort(F.collect_list(entry)).alias(entries))
         slots, counts = (F.coalesce(F.col(entries)[name], F.array()) for name in ("slot", "value"))
         parts = sparse_vector(F.lit(self.getOrDefault(self.size)), slots, counts.cast("array<double>"))
-        return settled_vectors(rows.join(bags, number, "left").withColumn(bag, parts).drop(number, entries), bag, "bags")
+        made = settled_vectors(rows.join(bags, number, "left").withColumn(bag, parts).drop(number, entries), bag, "bags")
+        for path in copies:
+            delete(spark, path)
+        return made
 
 
 class SparseAssembler(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):

@@ -288,7 +288,7 @@ def _plan_slots(kind: str, vector: str = "features", buckets: int | None = DEFAU
     def query(spark, sf):
         rows = settle(CommentTokenizer().transform(_real(spark, sf)), "tokenized")
         plan = feature_plan(kind, buckets=buckets, lexicon=_lexicon(spark), tokenized=True)
-        return _slots(fit_features(rows, plan).transform(rows), vector)
+        return _slots(fit_features(rows, plan).narrow(rows, "id", vector), vector)
 
     return query
 
