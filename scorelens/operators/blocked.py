@@ -1,9 +1,8 @@
 """Least squares over more slots than a process should hold: rows and weights are met block by block.
 
-Every vector, one number per row or per slot, is a table of blocks, and so are
-the rows' entries: a record has the entries of one block of rows in one block
-of slots. A product sends blocks of the vector to the records, and the sums of
-the records on to the blocks of the other side. The driver holds a few sums.
+The rows' entries are records of one block of rows in one block of slots, and
+weights are a table of blocks. A prediction sends blocks of the weights to the
+records, and the sums of the records on to the blocks of rows.
 
 A penalty means what Spark's does for many slots: slopes of standardised
 features are shrunk by reg / sd(y), deviations with rows - 1; features without
